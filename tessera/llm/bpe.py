@@ -351,17 +351,25 @@ def encode_digests(docs: DataFrame, tokenizer_file: bytes) -> DataFrame:
 
 
 def encode_documents(docs: DataFrame, tokenizer_file: bytes) -> DataFrame:
-    """The rows of docs with two more columns, token_ids array<int> and decoded string; nulls as in encode_digests."""
-    names = [c for c in docs.columns if c not in ("token_ids", "decoded")]
-    kept = docs.select(*names)
-    at = names.index("text")
+    """doc_id, source, n_tokens, token_ids array<int>, ids_sha256 and decoded_sha256 of every row; nulls as in encode_digests.
+
+    docs: doc_id, text and source; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = compiled(tokenizer_file)
-        for b in batches:
-            ids = t.encode_all([x or "" for x in b.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([t.decode(x) for x in ids], pa.string())], names=[*names, "token_ids", "decoded"])
-
-    from pyspark.sql import types as T
-
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):  # ids of so many texts are held at once
+                b = whole.slice(at, 1000)
+                n, ids, shas, decoded = [], [], [], []
+                for found in t.entries([x or "" for x in b.column(2).to_pylist()]):
+                    text = " ".join(map(_second, found))
+                    ids.append(np.fromstring(text, np.int32, sep=" ") if text else np.zeros(0, np.int32))
+                    n.append(len(ids[-1]))
+                    shas.append(hashlib.sha256(text.encode()).hexdigest())
+                    decoded.append(hashlib.sha256(" ".join(map(_third, found)).encode()).hexdigest())
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
+                yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int64()), lists, pa.array(shas, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "source", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256"])
+
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    return base.mapInArrow(run, "doc_id long, source string, n_tokens long, token_ids array<int>, ids_sha256 string, decoded_sha256 string")

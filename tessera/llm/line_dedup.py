@@ -69,17 +69,28 @@ def drop_bitmaps(docs: DataFrame, min_key_chars: int = 10, slices: tuple[int, ..
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """doc_id, lines (before), n_dropped and kept_text for every row of docs; rows as many as docs has."""
-    base = _identity(docs)
-    side = bitmaps.select(F.col("doc_id").alias("b_id"), F.col("text_hash").alias("b_hash"), "n_dropped", "words")
-    joined = base.join(side, (F.col("doc_id").eqNullSafe(F.col("b_id"))) & (F.col("text_hash") == F.col("b_hash")), "left")
+    """Every row of docs with its columns and _lines (before), _n_dropped and _kept_text; rows as many as docs has."""
+    base = docs.select("*", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_whole"))
+    side = bitmaps.select(F.col("doc_id").alias("_b_id"), F.col("text_hash").alias("_b_hash"), F.col("n_dropped").alias("_dropped"), F.col("words").alias("_words"))
+    joined = base.join(side, (F.col("doc_id").cast("long").eqNullSafe(F.col("_b_id"))) & (F.xxhash64("_whole") == F.col("_b_hash")), "left")
     # zero words between those of the bitmap are put back, so that a line finds its bit at once
-    dense = F.expr("flatten(transform(words, (x, i) -> concat(array_repeat(0L, cast(x.word - if(i = 0, 0, get(words, i - 1).word + 1) as int)), array(x.bits))))")
-    joined = joined.withColumn("dense", dense).withColumn("lines", lines_of(F.col("text")))
-    kept = F.expr("filter(lines, (x, i) -> coalesce(getbit(get(dense, cast(i div 64 as int)), i % 64), 0) = 0)")
-    return joined.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), F.when(F.col("n_dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"))
+    dense = F.expr("flatten(transform(_words, (x, i) -> concat(array_repeat(0L, cast(x.word - if(i = 0, 0, get(_words, i - 1).word + 1) as int)), array(x.bits))))")
+    joined = joined.withColumn("_dense", dense).withColumn("_split", lines_of(F.col("_whole")))
+    kept = F.expr("filter(_split, (x, i) -> coalesce(getbit(get(_dense, cast(i div 64 as int)), i % 64), 0) = 0)")
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.size("_split").cast("long").alias("_lines"), F.coalesce("_dropped", F.lit(0)).cast("long").alias("_n_dropped"), F.when(F.col("_dropped").isNull(), F.col("_whole")).otherwise(F.array_join(kept, "\n")).alias("_kept_text"))
 
 
 def dedup_lines(docs: DataFrame, min_key_chars: int = 10, slices: tuple[int, ...] = (1024, 1)) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept_text of every row: drop_bitmaps, then apply_bitmaps."""
-    return apply_bitmaps(docs, drop_bitmaps(docs, min_key_chars, slices))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = apply_bitmaps(base, drop_bitmaps(base, min_key_chars, slices))
+    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.col("_kept_text").alias("kept_text"))
+
+
+def cleaned_documents(docs: DataFrame, min_key_chars: int = 10, slices: tuple[int, ...] = (1024, 1)) -> DataFrame:
+    """The rows of docs with their columns; text is what stays of it (null stays null), n_chars, if there, its number of characters."""
+    out = apply_bitmaps(docs, drop_bitmaps(docs, min_key_chars, slices))
+    new = {"text": F.when(F.col("text").isNotNull(), F.col("_kept_text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_n_dropped") > 0, F.char_length("_kept_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])

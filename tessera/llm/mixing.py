@@ -58,7 +58,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), shar
         # the level if all sources with less room are at their caps
         .withColumn("level", (share * F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
     )
-    open_level = F.min(F.when(F.col("level") <= F.col("room"), F.col("level"))).over(Window.partitionBy())
+    # the first source that stays under its cap sets the level of all that follow
+    open_level = F.min(F.when(F.col("level") <= F.col("room"), F.struct("room", "place", "level"))).over(Window.partitionBy())["level"]
     return ranked.select("source", "source_size", F.least(F.col("cap"), F.coalesce(open_level * F.col("weight"), F.col("cap"))).alias("target"))
 
 
@@ -93,6 +94,25 @@ def _cut(items: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select(F.col("s").alias("source"), F.col("low").alias("cut"))
 
 
+def mix_plan(items: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """One row for each source of items (source, size, h): plan_source, source_size, target, whole (copies of every document) and cut (one more for hashes below)."""
+    goal = targets(items.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    goal = goal.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
+    goal = materialize(goal, "mix-goal")
+    cut = _cut(items, goal)
+    plan = goal.join(cut.withColumnRenamed("source", "cut_source"), F.col("source").eqNullSafe(F.col("cut_source")), "left")
+    return materialize(plan.select(F.col("source").alias("plan_source"), "source_size", "target", "whole", F.coalesce("cut", F.lit(0)).alias("cut")), "mix-plan")
+
+
+def _copies(h: Column) -> Column:
+    return (F.col("whole") + F.when(h < F.col("cut"), 1).otherwise(0)).cast("long")
+
+
+def _items(docs: DataFrame, seed: str) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), unit_hash(F.col("doc_id"), seed).alias("h"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken for every row of docs.
 
@@ -101,14 +121,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     doc_id share a hash and are taken together. Empty sources (size 0) get
     target 0. The same rows give the same result in any run and order.
     """
-    items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), unit_hash(F.col("doc_id"), seed).alias("h"))
-    items = materialize(items, "mix-items")  # no texts: some numbers a document
-    goal = targets(items.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    goal = goal.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
-    goal = materialize(goal, "mix-goal")
-    cut = _cut(items, goal)
-    plan = goal.join(cut.withColumnRenamed("source", "cut_source"), F.col("source").eqNullSafe(F.col("cut_source")), "left").select(F.col("source").alias("s"), "source_size", "target", "whole", F.coalesce("cut", F.lit(0)).alias("cut"))
-    out = items.join(plan, F.col("source").eqNullSafe(F.col("s")), "left")
-    copies = (F.col("whole") + F.when(F.col("h") < F.col("cut"), 1).otherwise(0)).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    items = materialize(_items(docs, seed), "mix-items")  # no texts: some numbers a document
+    out = items.join(mix_plan(items, weights, share, most), F.col("source").eqNullSafe(F.col("plan_source")), "left")
+    return out.withColumn("copies", _copies(F.col("h"))).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
+    """The rows of docs that mix takes, with their columns, as often as it takes them; rows without words go."""
+    plan = mix_plan(materialize(_items(docs, seed), "mix-items"), weights, share, most).select(*[F.col(c).alias(f"_mix_{c}") for c in ("plan_source", "whole", "cut")])
+    out = docs.join(plan, F.col("source").cast("string").eqNullSafe(F.col("_mix_plan_source")), "left")
+    n = F.col("_mix_whole") + F.when(unit_hash(F.col("doc_id"), seed) < F.col("_mix_cut"), 1).otherwise(0)
+    out = out.withColumn("_mix_n", F.when(word_count(F.col("text").cast("string")) > 0, n).otherwise(0).cast("int")).filter("_mix_n > 0")
+    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
