@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import SPACES, ascii_lower
+from tessera.llm.common import SPACES, ascii_lower, materialize
 
 
 def lines_of(text: Column) -> Column:
@@ -55,12 +55,13 @@ def drop_bitmaps(docs: DataFrame, min_key_chars: int = 10, slices: tuple[int, ..
         .filter(F.length("key") >= min_key_chars)
         .select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     )
-    dropped, rest = None, keyed
+    # numbers only; dealing by range reads its input twice
+    dropped, rest = None, materialize(keyed, "lines-keyed")
     for n in slices:
         # text_hash only decides among rows of one doc_id
         ranged = rest.withColumn("slice", F.pmod(F.xxhash64(F.lit("slice"), "doc_id"), F.lit(n))).repartitionByRange("h1", "h2", "slice").sortWithinPartitions("h1", "h2", "slice", F.col("doc_id").asc_nulls_last(), "pos")
         stream = Window.partitionBy("h1", "h2", "slice").orderBy(F.col("doc_id").asc_nulls_last(), "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        seen = ranged.withColumn("is_first", F.first("doc_id").over(stream).eqNullSafe(F.col("doc_id")))
+        seen = materialize(ranged.withColumn("is_first", F.first("doc_id").over(stream).eqNullSafe(F.col("doc_id"))), "lines-seen")
         later = seen.filter(~F.col("is_first")).select("doc_id", "text_hash", "pos")
         dropped = later if dropped is None else dropped.unionAll(later)
         rest = seen.filter("is_first").drop("slice", "is_first")
