@@ -13,6 +13,7 @@ from tessera.operators import downcast as narrow
 from tessera.operators.explode import explode
 from tessera.operators.join import bbox_filter, distance_join, spatial_join
 from tessera.plans import shapes as s
+from tessera.sources import flatgeobuf, geoparquet, text
 from tessera.types import Geo, geo, geometry, multipoint, point, polygon
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -506,6 +507,56 @@ def geojson_geometries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select("l_orderkey", F.get_json_object("j", "$.type").alias("kind"), F.size(F.from_json(F.get_json_object("j", "$.coordinates"), "array<array<double>>")).cast("long").alias("n_vertices"))
 
 
+# files
+
+
+@query(f"WITH {s.SQL_CUSTOMERS} SELECT c_custkey, round(x, 6) AS x, round(y, 6) AS y FROM cust")
+def csv_wkt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = s.workspace(spark, "csv")
+    text.write_csv(s.customers(spark, sf_dir), path)
+    df = text.read_csv(spark, path, point(), "g", "c_custkey bigint, c_nationkey int, c_acctbal double, g string")
+    return df.select("c_custkey", r6(F.col("g.x"), "x"), r6(F.col("g.y"), "y"))
+
+
+@query(f"WITH {s.SQL_CUSTOMERS} SELECT c_custkey::VARCHAR AS id, c_nationkey::BIGINT AS c_nationkey, c_acctbal, round(x, 6) AS x, round(y, 6) AS y FROM cust")
+def geojson_lines_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = s.workspace(spark, "geojsonl")
+    text.write_geojson_lines(s.customers(spark, sf_dir).withColumnRenamed("c_custkey", "id"), path)
+    df = text.read_geojson_lines(spark, path, point())
+    return df.select("id", "c_nationkey", "c_acctbal", r6(F.col("geometry.x"), "x"), r6(F.col("geometry.y"), "y"))
+
+
+@query(f"WITH {s.SQL_ELLS} SELECT s_suppkey, 7 * f * f AS area FROM ells")
+def geojson_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = s.workspace(spark, "geojson")
+    text.write_geojson(s.suppliers(spark, sf_dir).coalesce(1), path)
+    df = text.read_geojson(spark, path, polygon(), "s_suppkey bigint, s_nationkey int")
+    return df.select("s_suppkey", r6(st.area(geo(df, "geometry")), "area"))
+
+
+@query(f"""WITH {s.SQL_CUSTOMERS} SELECT 'WKB' AS encoding, count(*) AS n, count(*) FILTER (x BETWEEN -30 AND 45 AND y BETWEEN -20 AND 40) AS n_box, min(x) AS xmin, max(y) AS ymax FROM cust
+UNION ALL SELECT 'native', count(*), count(*) FILTER (x BETWEEN -30 AND 45 AND y BETWEEN -20 AND 40), min(x), max(y) FROM cust""")
+def geoparquet_roundtrip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for encoding in ("WKB", "native"):
+        path = s.workspace(spark, "geoparquet")
+        geoparquet.write_geoparquet(s.customers(spark, sf_dir).repartition(4), path, encoding, generate_covering=encoding == "WKB")
+        found = geoparquet.GeoParquetDataset.open(spark, path)
+        box = found.bbox()
+        hits = found.read(bbox=(-30.0, -20.0, 45.0, 40.0)).agg(F.count("*").alias("n_box"))
+        row = hits.select(F.lit(encoding).alias("encoding"), F.lit(found.num_rows).cast("long").alias("n"), "n_box", F.lit(box[0]).alias("xmin"), F.lit(box[3]).alias("ymax"))
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
+@query(f"""WITH {s.SQL_CUSTOMERS} SELECT c_custkey, round(x, 6) AS x, round(y, 6) AS y FROM cust WHERE x BETWEEN -30 AND 45 AND y BETWEEN -20 AND 40""")
+def flatgeobuf_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = s.workspace(spark, "flatgeobuf")
+    flatgeobuf.write_flatgeobuf(s.customers(spark, sf_dir).repartition(4), path)
+    df = flatgeobuf.read_flatgeobuf(spark, path, bbox=(-30.0, -20.0, 45.0, 40.0), columns=["c_custkey"])
+    return df.select("c_custkey", r6(F.col("geometry.x"), "x"), r6(F.col("geometry.y"), "y"))
+
+
 # kernels
 
 

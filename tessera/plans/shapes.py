@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir); a temporary one where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
+
+
 def vertex(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
