@@ -31,13 +31,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, shuffle_partitions
 
 #: Characters and documents of a chunk; segments that a set is cut into for counting.
-CHUNK_CHARS, CHUNK_DOCS, SEGMENTS = 24_000_000, 60_000, 8
+CHUNK_CHARS, CHUNK_DOCS, SEGMENTS = 24_000_000, 60_000, 4
 _MARK, _NO_ID = 0xFFFF, -(1 << 40)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -171,28 +171,38 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def contract(links: DataFrame) -> DataFrame:
-    """node and root (the smallest node that links reach) for every node of links (a, b). Contracts links until none is left."""
+    """node and root for every node of links (a, b); nodes that links connect share a root, the smallest of them. Contracts links until none is left."""
     edges = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "cc-links")
     roots: DataFrame | None = None
     while not edges.isEmpty():
         # each node hangs on its smallest neighbour, if that is smaller; one jump shortens chains
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("node"), F.least("a", "p").alias("up"))
-        up = materialize(up, "cc-up")
         top = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        up = materialize(up.join(top, "up").select("node", F.col("top").alias("up")), "cc-jump")
+        up = materialize(up.join(top, "up").select("node", F.col("top").alias("up")), "cc-up")
         if roots is None:
             roots = up.select("node", F.col("up").alias("root"))
         else:
             to = up.select(F.col("node").alias("root"), F.col("up").alias("new"))
-            roots = roots.join(to, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
-        roots = materialize(roots, "cc-roots")
+            roots = materialize(roots.join(to, "root", "left").select("node", F.coalesce("new", "root").alias("root")), "cc-roots")
         x, y = up.select(F.col("node").alias("a"), F.col("up").alias("x")), up.select(F.col("node").alias("b"), F.col("up").alias("y"))
         moved = edges.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         edges = materialize(moved.filter("a < b").distinct(), "cc-links")
     return roots if roots is not None else links.sparkSession.createDataFrame([], "node long, root long")
 
 
+def _more_links(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots after some more links."""
+    r = roots.select("node", "root")
+    x, y = (r.select(F.col("node").alias(f"n{k}"), F.col("root").alias(f"r{k}")) for k in "ab")
+    moved = links.join(x, F.col("a") == F.col("na"), "left").join(y, F.col("b") == F.col("nb"), "left")
+    new = contract(moved.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    to = new.select(F.col("node").alias("root"), F.col("root").alias("new"))
+    old = r.join(to, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+    fresh = new.join(r.select("node"), "node", "left_anti")
+    return materialize(old.unionAll(fresh), "join-roots")
+
+
 def _counted(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
     """Those of pairs (a, b) that link, by partial overlaps in the fragments of the two sets."""
     left = segments.select(F.col("rep").alias("a"), "fragment", F.col("part").alias("x"))
@@ -202,54 +212,67 @@ def _counted(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataF
     return overlap.filter((den + num) * F.col("both") >= num * (F.col("size_a") + F.col("size_b"))).select("a", "b")
 
 
+def _fits(num: int, den: int, rest: Column, size: Column, rest2: Column, size2: Column) -> Column:
+    """Whether two sets may link whose first common shingle has rest and rest2 shingles from it on: sizes and what is left must allow enough in common."""
+    return (den * F.least(size, size2) >= num * F.greatest(size, size2)) & ((den + num) * F.least(rest, rest2) >= num * (size + size2))
+
+
 def _open_lists(lists: DataFrame, roots: DataFrame, turn: int) -> tuple[DataFrame, int]:
     """The rows of the lists whose members are not yet one component, each with its root and its list's hub for this turn; how many pairs across components they hold."""
-    now = lists.join(roots, lists["rep"] == roots["node"], "left").select("h", "rep", "size", F.coalesce("root", "rep").alias("root"))
-    parts = now.groupBy("h", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("x"), "rep", "size")).alias("first"))
-    by = parts.groupBy("h").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq"), F.count("*").alias("k"), F.min(F.struct("first.x", "first.rep", "first.size", "root")).alias("hub")).filter("k > 1")
+    now = lists.join(roots, lists["rep"] == roots["node"], "left").select("h", "rep", "size", "rest", "own", F.coalesce("root", "rep").alias("root"))
+    # first the set with the fewest shingles of its own, as that of which others are copies; then any
+    rank = F.col("own").cast("long") if turn == 0 else F.xxhash64("rep", F.lit(turn))
+    parts = now.groupBy("h", "root").agg(F.count("*").alias("n"), F.min(F.struct(rank.alias("x"), "rep", "size", "rest")).alias("first"))
+    by = parts.groupBy("h").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq"), F.count("*").alias("k"), F.min(F.struct("first.x", "first.rep", "first.size", "first.rest", "root")).alias("hub")).filter("k > 1")
     by = materialize(by, "join-hubs")
     across = by.agg(F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("sq")), F.lit(0))).first()[0] // 2
-    return materialize(now.join(by.select("h", "hub"), "h"), "join-open"), across
+    return now.join(by.select("h", "hub"), "h"), across
+
+
+def _hopeful(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows of lists that may link with the list's smallest set at least: others link with none in it."""
+    least = lists.groupBy("h").agg(F.min("size").alias("least"), F.count("*").alias("n")).filter("n > 1").select("h", "least")
+    return lists.join(least, "h").filter((den + num) * F.col("rest") >= num * (F.col("size") + F.greatest("least", F.ceil(F.col("size") * num / den) - 1))).drop("least")
 
 
-def link_representatives(reps: DataFrame, num: int, den: int, given: DataFrame, hub_rounds: int = 6) -> DataFrame:
+def link_representatives(reps: DataFrame, num: int, den: int, given: DataFrame, hub_rounds: int = 3) -> DataFrame:
     """node and root for those of reps (rep, size, hashes; distinct sets) that link with others. given: links (a, b) that hold anyway."""
-    spark = reps.sparkSession
     grams = reps.select("rep", "size", F.explode("hashes").alias("h"))
     twice = grams.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
     ordered = grams.join(twice, "h").groupBy("rep", "size").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("g"))
     # shingles of one set only come first in the order; they are in the prefix but in no list
     ordered = ordered.withColumn("prefix", F.expr(f"cast(size(g) - (size * {num} + {den - 1}) div {den} + 1 as int)")).filter("prefix > 0")
-    ordered = materialize(ordered.select("rep", "size", F.slice("g.h", F.lit(1), F.col("prefix")).alias("prefix"), F.col("g.h").alias("hashes")), "join-ordered")
-    lists = ordered.select("rep", "size", F.explode("prefix").alias("h"))
-    lists = materialize(lists.join(lists.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "h"), "join-lists")
+    ordered = materialize(ordered.select("rep", "size", "prefix", F.col("g.h").alias("hashes")), "join-ordered")
+    # rest: shingles of the set from this one on
+    lists = ordered.select("rep", "size", (F.col("size") - F.size("hashes")).alias("own"), F.size("hashes").alias("m"), F.posexplode(F.slice("hashes", F.lit(1), F.col("prefix"))).alias("pos", "h"))
+    lists = lists.select("rep", "size", "own", (F.col("m") - F.col("pos")).alias("rest"), "h")
+    lists = materialize(_hopeful(_hopeful(lists, num, den), num, den), "join-lists")
     fragment = F.pmod("h", F.lit(SEGMENTS)).cast("int")
     segments = materialize(ordered.select("rep", F.explode("hashes").alias("h")).groupBy("rep", fragment.alias("fragment")).agg(F.collect_list("h").alias("part")), "join-segments")
     n_rows = lists.count()
-    links, roots, done, hubs = given, contract(given), spark.createDataFrame([], "a long, b long"), True
-    for turn in range(hub_rounds + 2):
+    roots, done = contract(given), None
+    for turn in range(hub_rounds + 1):
         now, across = _open_lists(lists, roots, turn)
         if not across:
             break
-        last = not hubs or turn >= hub_rounds or across <= 2 * n_rows
-        rep, size = F.col("rep"), F.col("size")
+        last = turn == hub_rounds or across <= 2 * n_rows
+        rep, size, rest = F.col("rep"), F.col("size"), F.col("rest")
         if last:  # all pairs across components
-            two = now.select("h", F.col("rep").alias("rep2"), F.col("size").alias("size2"), F.col("root").alias("root2"))
-            met = now.join(two, "h").filter((F.col("rep") < F.col("rep2")) & (F.col("root") != F.col("root2")))
+            two = now.select("h", F.col("rep").alias("rep2"), F.col("size").alias("size2"), F.col("rest").alias("rest2"), F.col("root").alias("root2"))
+            met = now.join(two, "h").filter((F.col("rep") < F.col("rep2")) & (F.col("root") != F.col("root2")) & _fits(num, den, rest, size, F.col("rest2"), F.col("size2")))
             pairs = met.select(rep.alias("a"), F.col("rep2").alias("b"), size.alias("size_a"), F.col("size2").alias("size_b"))
         else:
             hub, hub_size = F.col("hub.rep"), F.col("hub.size")
-            pairs = now.filter(F.col("root") != F.col("hub.root")).select(F.least(rep, hub).alias("a"), F.greatest(rep, hub).alias("b"), F.when(rep < hub, size).otherwise(hub_size).alias("size_a"), F.when(rep < hub, hub_size).otherwise(size).alias("size_b"))
-        fits = den * F.least("size_a", "size_b") >= num * F.greatest("size_a", "size_b")
-        pairs = materialize(pairs.filter(fits).distinct().join(done, ["a", "b"], "left_anti"), "join-pairs")
+            met = now.filter((F.col("root") != F.col("hub.root")) & _fits(num, den, rest, size, F.col("hub.rest"), hub_size))
+            pairs = met.select(F.least(rep, hub).alias("a"), F.greatest(rep, hub).alias("b"), F.when(rep < hub, size).otherwise(hub_size).alias("size_a"), F.when(rep < hub, hub_size).otherwise(size).alias("size_b"))
+        pairs = pairs.distinct()
+        pairs = materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "join-pairs")
         found = materialize(_counted(pairs, segments, num, den), "join-links")
-        hubs = not found.isEmpty()
-        if hubs:
-            links = links.unionAll(found)
-            roots = contract(links)
+        if not found.isEmpty():
+            roots = _more_links(roots, found)
         if last:
             break
-        done = done.unionAll(pairs.select("a", "b"))
+        done = pairs.select("a", "b") if done is None else done.unionAll(pairs.select("a", "b"))
     return roots
 
 
