@@ -51,3 +51,8 @@ def id_hash_mod(c: Column, m: int) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows of a few numbers; df should be a written table. Otherwise joins shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

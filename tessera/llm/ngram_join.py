@@ -31,10 +31,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, shuffle_partitions
+from tessera.llm.common import broadcast_if_small, materialize, shuffle_partitions
 
 #: Characters and documents of a chunk; segments that a set is cut into for counting.
 CHUNK_CHARS, CHUNK_DOCS, SEGMENTS = 24_000_000, 60_000, 4
@@ -152,10 +153,11 @@ def _sizes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc, size, s1, s2 (a 128-bit hash of the set) and hashes; within a chunk only the first of equal sets has hashes."""
+    """doc, size, s1, s2 (a 128-bit hash of the set), row (a number of its own) and hashes; within a task only the first of equal sets has hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        row = TaskContext.get().partitionId() << 33
         for b in batches:
             rows = []
             for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -164,10 +166,11 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 new = d not in seen
                 if len(seen) < 100_000:
                     seen.add(d)
-                rows.append((i, len(s), (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), s.view(np.int64) if new else None))
-            yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["doc", "size", "s1", "s2", "hashes"])
+                row += 1
+                rows.append((i, len(s), (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), row, s.view(np.int64) if new else None))
+            yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((*[pa.int64()] * 5, pa.list_(pa.int64())))], ["doc", "size", "s1", "s2", "row", "hashes"])
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, size long, s1 long, s2 long, hashes array<long>")
+    return docs.select("doc", "text").mapInArrow(run, "doc long, size long, s1 long, s2 long, row long, hashes array<long>")
 
 
 def contract(links: DataFrame) -> DataFrame:
@@ -237,9 +240,10 @@ def _hopeful(lists: DataFrame, num: int, den: int) -> DataFrame:
 
 def link_representatives(reps: DataFrame, num: int, den: int, given: DataFrame, hub_rounds: int = 3) -> DataFrame:
     """node and root for those of reps (rep, size, hashes; distinct sets) that link with others. given: links (a, b) that hold anyway."""
-    grams = reps.select("rep", "size", F.explode("hashes").alias("h"))
+    grams = reps.select("rep", F.explode("hashes").alias("h"))
     twice = grams.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    ordered = grams.join(twice, "h").groupBy("rep", "size").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("g"))
+    # what is dealt by shingle is the shingle and the set's name; sizes come back by name
+    ordered = grams.join(twice, "h").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("g")).join(reps.select("rep", "size"), "rep")
     # shingles of one set only come first in the order; they are in the prefix but in no list
     ordered = ordered.withColumn("prefix", F.expr(f"cast(size(g) - (size * {num} + {den - 1}) div {den} + 1 as int)")).filter("prefix > 0")
     ordered = materialize(ordered.select("rep", "size", "prefix", F.col("g.h").alias("hashes")), "join-ordered")
@@ -247,8 +251,8 @@ def link_representatives(reps: DataFrame, num: int, den: int, given: DataFrame,
     lists = ordered.select("rep", "size", (F.col("size") - F.size("hashes")).alias("own"), F.size("hashes").alias("m"), F.posexplode(F.slice("hashes", F.lit(1), F.col("prefix"))).alias("pos", "h"))
     lists = lists.select("rep", "size", "own", (F.col("m") - F.col("pos")).alias("rest"), "h")
     lists = materialize(_hopeful(_hopeful(lists, num, den), num, den), "join-lists")
-    fragment = F.pmod("h", F.lit(SEGMENTS)).cast("int")
-    segments = materialize(ordered.select("rep", F.explode("hashes").alias("h")).groupBy("rep", fragment.alias("fragment")).agg(F.collect_list("h").alias("part")), "join-segments")
+    parts = F.array(*[F.expr(f"filter(hashes, h -> pmod(h, {SEGMENTS}) = {k})") for k in range(SEGMENTS)])
+    segments = materialize(ordered.select("rep", F.posexplode(parts).alias("fragment", "part")).filter(F.size("part") > 0), "join-segments")
     n_rows = lists.count()
     roots, done = contract(given), None
     for turn in range(hub_rounds + 1):
@@ -288,10 +292,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100)
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     sizes = materialize(_sizes(base, n, num, den), "join-sizes")
-    may_link = sizes.filter("may_link").select("doc").distinct()
+    may_link = broadcast_if_small(materialize(sizes.filter("may_link").select("doc").distinct(), "join-may-link"))
     sets = materialize(_sets(base.join(may_link, "doc", "left_semi"), n).filter("size > 0"), "join-sets")
     # one class for each distinct set, named by half of its hash
-    classes = materialize(sets.groupBy("s1", "s2").agg(F.max("size").alias("size"), F.first("hashes", ignorenulls=True).alias("hashes")).select(F.col("s1").alias("rep"), "size", "hashes"), "join-classes")
+    chosen = broadcast_if_small(materialize(sets.filter("hashes is not null").groupBy("s1", "s2").agg(F.min("row").alias("row")).select("row"), "join-chosen"))
+    classes = sets.join(chosen, "row", "left_semi").select(F.col("s1").alias("rep"), "size", "hashes")
     member = sets.select("doc", F.col("s1").alias("node")).distinct()
     several = member.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("doc", "a")
     given = member.join(several, "doc").filter("node <> a").select("a", F.col("node").alias("b"))
