@@ -52,7 +52,9 @@ def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: tuple[tupl
     kinds = T.StructType([T.StructField("id", T.StringType()), T.StructField("grams", T.ArrayType(T.StringType()))])
     grams = [(i, template_bigrams(t)) for i, t in templates]
     sizes = [len(g) for _, g in grams]
-    low, high = min(sizes) * threshold / (2 - threshold), max(sizes) * (2 - threshold) / threshold
+    # a little wider than exact, so that rounding loses no pair on the edge
+    factor = threshold / (2 - threshold) * (1 - 1e-9)
+    low, high = min(sizes) * factor, max(sizes) / factor
     known = F.array(*[F.struct(F.lit(i).alias("id"), F.array(*map(F.lit, g)).alias("grams")) for i, g in grams]).cast(T.ArrayType(kinds))
     every = F.array(*map(F.lit, sorted({x for _, g in grams for x in g})))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -62,11 +64,10 @@ def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: tuple[tupl
     least = 2 * max(1, int(low)) + 1
     words = lambda u: F.split(F.btrim(F.regexp_replace(F.lower(u), r"[^\p{L}\p{N}]+", " "), F.lit(SPACES)), " ", -1)
     df = df.select("doc_id", F.transform(F.filter("units", lambda u: F.char_length(u) >= least), words).alias("units"))
-    df = df.select("doc_id", F.filter("units", lambda w: F.size(w) > low).alias("units"))
+    df = df.select("doc_id", F.filter("units", lambda w: F.size(w) - 1 >= low).alias("units"))
     pairs = F.expr("transform(units, w -> array_distinct(transform(sequence(0, size(w) - 2), i -> concat(get(w, i), ' ', get(w, i + 1)))))")
     df = df.select("doc_id", F.filter(pairs, lambda g: F.size(g).between(low, high)).alias("units"))
     df = df.select("doc_id", F.size("units").cast("long").alias("n_units"), F.filter("units", lambda g: F.arrays_overlap(g, every)).alias("units"))
-    factor = threshold / (2 - threshold)
 
     def compared(g):
         fit = F.filter(known, lambda t: (F.size(t["grams"]) >= F.size(g) * factor) & (F.size(t["grams"]) * factor <= F.size(g)))
