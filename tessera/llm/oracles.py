@@ -65,3 +65,62 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, link.b FR
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = d.doc_id
 """
+
+
+def _licenses() -> str:
+    known = ", ".join(f"('{i}', [{', '.join(repr(g) for g in template_bigrams(t))}])" for i, t in TEMPLATES)
+    return rf"""
+WITH known(id, grams) AS (VALUES {known}),
+low AS (SELECT min(len(grams)) * 0.8 / 1.2 * (1 - 1e-9) AS least, max(len(grams)) * 1.2 / 0.8 / (1 - 1e-9) AS most FROM known),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+u AS (SELECT r, unnest(string_split(text, chr(10))) AS unit FROM d
+  UNION ALL SELECT r, unit FROM (SELECT r, unnest(string_split_regex(text, '
+[ 	-]*
+')) AS unit FROM d) WHERE contains(unit, chr(10))),
+w AS (SELECT r, string_split(trim(regexp_replace(lower(unit), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM u WHERE length(unit) >= 2 * greatest(1, (SELECT least FROM low)::INT) + 1),
+g AS (SELECT row_number() OVER () AS k, r, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) - 1 >= (SELECT least FROM low)),
+f AS (SELECT * FROM g WHERE len(g) BETWEEN (SELECT least FROM low) AND (SELECT most FROM low)),
+s AS (SELECT k, r, id, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM f JOIN known ON list_has_any(g, grams)),
+hit AS (SELECT * FROM s WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY k ORDER BY dice DESC, id) = 1),
+best AS (SELECT r, count(*) AS n, first(id ORDER BY dice DESC, id) AS id, max(dice) AS dice, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM hit GROUP BY r),
+n AS (SELECT r, count(*) AS n FROM f GROUP BY r)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_units, coalesce(best.n, 0)::BIGINT AS n_matches, best.id AS license, coalesce(best.dice, 0.0)::DOUBLE AS dice, coalesce(best.ids, '') AS licenses
+FROM d LEFT JOIN best ON best.r = d.r LEFT JOIN n ON n.r = d.r
+"""
+
+
+ORACLE_SQL["op9_licenses"] = _licenses()
+
+
+def _rules(reach: float = 6.0, least: int = 100) -> str:
+    from tessera.llm.quality_rules import RATIOS
+
+    names = list(RATIOS)
+    # a quantile is the smallest value that enough of the group's values reach
+    group = lambda by, level: ", ".join(f"quantile_disc({x}, 0.25) AS {level}1_{x}, quantile_disc({x}, 0.75) AS {level}3_{x}" for x in names)
+    pick = lambda x, q: f"CASE WHEN a.n >= {least} THEN a{q}_{x} WHEN b.n >= {least} THEN b{q}_{x} ELSE c{q}_{x} END"
+    fence = ", ".join(f"{pick(x, 1)} AS q1_{x}, {pick(x, 3)} AS q3_{x}" for x in names)
+    odd = " || ".join(f"CASE WHEN {x} > q3_{x} + greatest(q3_{x} - q1_{x}, {floor}) * {reach}" + (f" OR {x} < q1_{x} - greatest(q3_{x} - q1_{x}, {floor}) * {reach}" if low else "") + f" THEN '{x},' ELSE '' END" for x, (floor, low) in RATIOS.items())
+    count = " + ".join(f"(length(text) - length(replace(text, '{c}', '')))" for c in "#*$%&|<>")
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '{_GAP}'), lambda x: x <> '') AS w,
+  list_filter(string_split(text, chr(10)), lambda x: trim(x, {_STRIP}) <> '') AS lines FROM d),
+win AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+twice AS (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS n FROM win) WHERE n > 1),
+rep AS (SELECT r, sum(least(5, coalesce(nxt - i, 5)))::BIGINT AS n FROM twice GROUP BY r),
+m AS (SELECT r, doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  ({count})::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines,
+  length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS n_upper FROM w LEFT JOIN rep USING (r)),
+x AS (SELECT *, CASE WHEN n_words > 0 THEN word_chars::DOUBLE / n_words ELSE 0 END AS word_length, CASE WHEN n_words > 0 THEN n_symbols::DOUBLE / n_words ELSE 0 END AS symbols_per_word,
+  CASE WHEN word_chars > 0 THEN n_upper::DOUBLE / word_chars ELSE 0 END AS upper_share, CASE WHEN n_lines > 0 THEN n_dup_lines::DOUBLE / n_lines ELSE 0 END AS dup_line_share, CASE WHEN n_words > 0 THEN n_repeat_words::DOUBLE / n_words ELSE 0 END AS repeat_share FROM m),
+a AS (SELECT lang, source, count(*) AS n, {group("lang, source", "a")} FROM x GROUP BY lang, source),
+b AS (SELECT lang, count(*) AS n, {group("lang", "b")} FROM x GROUP BY lang),
+c AS (SELECT {group("", "c")} FROM x),
+f AS (SELECT a.lang, a.source, {fence} FROM a LEFT JOIN b ON a.lang IS NOT DISTINCT FROM b.lang CROSS JOIN c),
+o AS (SELECT x.*, rtrim({odd}, ',') AS outlier, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM x JOIN f ON x.lang IS NOT DISTINCT FROM f.lang AND x.source IS NOT DISTINCT FROM f.source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND outlier = '' AS kept, outlier FROM o
+"""
+
+
+ORACLE_SQL["op6_quality_rules"] = _rules()
