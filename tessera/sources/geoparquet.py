@@ -100,8 +100,8 @@ def merge(metas: list[GeoMeta]) -> GeoMeta:
             raise GeoError("files differ in version, primary column or geometry columns")
         for c, m in other.columns.items():
             mine = columns[c]
-            for k in ("encoding", "crs"):
-                if m.get(k) != mine.get(k):
+            for k, usual in (("encoding", None), ("crs", "OGC:CRS84")):
+                if m.get(k, usual) != mine.get(k, usual):
                     raise GeoError(f"files differ in {k} of {c}")
             if set(m.get("geometry_types") or []) != set(mine.get("geometry_types") or []):
                 raise GeoError(f"files differ in geometry_types of {c}")
