@@ -11,7 +11,8 @@ merge (u, v) -> w does three things:
 Where u equals v the arc goes before the arcs u are copied, else after: so
 u u u is read as w u. In the end a token sequence is a path of the automaton
 if and only if it is what applying the merges in order gives. The arcs are
-kept as a bit table: one row a token, one bit a state.
+kept as a bit table: one bit a state, one row for all tokens that may follow
+the same states.
 
 A word is encoded by dynamic programming over its symbols: for each end
 position exactly one token both matches the text there and has an arc from
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Words of more bytes are encoded one by one. Characters that are looked at together.
-LONG, BLOCK = 48, 4_000_000
+LONG, BLOCK = 48, 2_000_000
 #: White space between which a tokenizer's normalizer and splitter never look.
 _first, _second, _third = map(itemgetter, range(3))
 #: Letters of late versions of Unicode, past those that most tokenizers' tables know, may be none to them.
@@ -94,7 +95,13 @@ class Automaton:
             if u != v:
                 arcs[v, byte] &= ~bit
             done += 1
-        self.arcs, self.stride = memoryview(arcs.reshape(-1)), stride
+        # tokens that may follow the same states share a row
+        rows: dict[bytes, int] = {}
+        self.row = np.array([rows.setdefault(r.tobytes(), len(rows)) for r in arcs], np.int32)
+        del arcs
+        self.table = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), stride)
+        del rows
+        self.arcs, self.stride, self.row_of = memoryview(self.table.reshape(-1)), stride, self.row.tolist()
         self.n_states = len(states)
         self.ids = [vocab[t] for t in order]
         self.state = [state.get(t, -1) for t in order]
@@ -107,18 +114,20 @@ class Automaton:
         symbols = byte_symbols()
         self.tabled = all(c in self.inner and c in self.final for c in symbols)
         if self.tabled:
-            # the same as a table of transitions by byte, node 0 the root; -1: none
-            node = {p: i for i, p in enumerate(["", *sorted(self.prefix, key=len)])}
+            # the same as a table of transitions by byte; -1: none. Nodes without any, the last ones, have no row but the last
+            inside = {p[:-1] for p in self.prefix}
+            node = {p: i for i, p in enumerate(sorted({"", *self.prefix}, key=lambda p: (p not in inside, p)))}
             byte_of = {c: b for b, c in enumerate(symbols)}
-            self.goto = np.full((len(node), 256), -1, np.int32)
+            self.goto, self.leaf = np.full((len(inside) + 1, 256), -1, np.int32), len(inside)
             for p, i in node.items():
                 if p:
                     self.goto[node[p[:-1]], byte_of[p[-1]]] = i
+            del inside
             self.ends = np.full((2, len(node)), -1, np.int32)
             for k, texts in enumerate((self.inner, self.final)):
                 for t, i in texts.items():
                     self.ends[k, node[t]] = i
-            self.table, self.state_of = arcs, np.array(self.state, np.int32)
+            self.state_of = np.array(self.state, np.int32)
 
     def encode_many(self, words: list[bytes]) -> list[list[int]]:
         """encode() for many short words at once: words of one length step through the tables together."""
@@ -134,7 +143,7 @@ class Automaton:
                 p = self.state_of[last[rows, j]] if j else None
                 node = np.zeros(len(rows), np.int32)
                 for i in range(j + 1, n + 1):
-                    node = self.goto[node, text[rows, i - 1]]
+                    node = self.goto[np.minimum(node, self.leaf), text[rows, i - 1]]
                     alive = node >= 0
                     if not alive.all():
                         rows, node, p = rows[alive], node[alive], p if p is None else p[alive]
@@ -143,7 +152,7 @@ class Automaton:
                     t = self.ends[int(i == n), node]
                     fits = t >= 0
                     if p is not None:
-                        fits &= self.table[t, p >> 3] >> (p & 7).astype(np.uint8) & 1 == 1
+                        fits &= self.table[self.row[t], p >> 3] >> (p & 7).astype(np.uint8) & 1 == 1
                     last[rows[fits], i], start[rows[fits], i] = t[fits], j
             at_end, found, rows = np.full(len(at), n), [], np.arange(len(at))
             while at_end.any():
@@ -165,7 +174,7 @@ class Automaton:
             if not n:
                 return []
         last, start = [-1] * (n + 1), [0] * (n + 1)
-        inner, final, prefix, state, arcs, stride = self.inner, self.final, self.prefix, self.state, self.arcs, self.stride
+        inner, final, prefix, state, arcs, stride, row = self.inner, self.final, self.prefix, self.state, self.arcs, self.stride, self.row_of
         for j in range(n):
             p = state[last[j]] if j else -2
             if p == -1:
@@ -174,7 +183,7 @@ class Automaton:
             for i in range(j + 1, n + 1):
                 piece = word[j:i]
                 t = (inner if i < n else final).get(piece)
-                if t is not None and (p == -2 or arcs[t * stride + byte] >> shift & 1):
+                if t is not None and (p == -2 or arcs[row[t] * stride + byte] >> shift & 1):
                     last[i], start[i] = t, j
                 if piece not in prefix:
                     break
@@ -188,7 +197,7 @@ class Automaton:
 class Tokenizer:
     """Encodes and decodes as a tokenizers file says: special tokens, normalizer, splitting, byte symbols, merges."""
 
-    def __init__(self, file: bytes, cache: int = 400_000):
+    def __init__(self, file: bytes, cache: int = 300_000):
         spec = json.loads(file)
         model = spec["model"]
         if model["type"] != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or spec.get("decoder"):
@@ -299,7 +308,12 @@ class Tokenizer:
             for chunks in some:
                 yield [*map(get, chunks)] if not self.blank else [e for e in map(get, chunks) if e[0]]
             if len(self.cached) > self.room or size > 2 * BLOCK:  # one very long text of rare words
-                self.cached = {}
+                self.cached, self.blank = {}, False
+
+    def forget(self) -> None:
+        """Gives the cache's memory back: Python workers outlive a task."""
+        self.cached, self.blank = {}, False
+        gc.collect()
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0]
@@ -342,10 +356,12 @@ def encode_digests(docs: DataFrame, tokenizer_file: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = compiled(tokenizer_file)
-        for b in batches:
-            rows = [*t.digests([x or "" for x in b.column(1).to_pylist()])]
-            n, ids, labels = zip(*rows) if rows else ((), (), ())
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(labels, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                n, ids, labels = zip(*t.digests([x or "" for x in b.column(1).to_pylist()]), strict=True)
+                yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(labels, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        t.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
@@ -370,6 +386,7 @@ def encode_documents(docs: DataFrame, tokenizer_file: bytes) -> DataFrame:
                     decoded.append(hashlib.sha256(" ".join(map(_third, found)).encode()).hexdigest())
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
                 yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int64()), lists, pa.array(shas, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "source", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256"])
+        t.forget()
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     return base.mapInArrow(run, "doc_id long, source string, n_tokens long, token_ids array<int>, ids_sha256 string, decoded_sha256 string")
