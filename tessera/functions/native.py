@@ -61,6 +61,11 @@ def box_to_polygon(b: Geo) -> Geo:
     return Geo(F.when(c.isNotNull(), F.array(ring)), GeoType("polygon", "xy", b.type.crs, b.type.crs_form, b.type.edges))
 
 
+def _each(items: Column, constant: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """f of each item and a constant that is computed once. The constant goes along with the items: Spark takes no Python function out of an expression whose inner lambdas use variables of outer ones."""
+    return F.zip_with(items, F.array_repeat(constant, F.greatest(F.size(items), F.lit(0))), f)
+
+
 def paths(g: Geo) -> Column:
     """array<array<vertex>>: the lines and rings; each point is a path of its own. An empty point has none."""
     c, kind = _native(g).column, g.type.kind
@@ -205,10 +210,15 @@ def line_locate_point(line: Geo, p: Geo) -> Column:
         return F.struct(F.sqrt(n).alias("n"), t.alias("t"), (ex * ex + ey * ey).alias("d"))
 
     start = F.struct(F.lit(0.0).alias("done"), F.lit(math.inf).alias("d"), F.lit(0.0).alias("at"))
-    found = F.aggregate(_steps(line.column, at), start, lambda s, v: F.struct((s["done"] + v["n"]).alias("done"), F.least(s["d"], v["d"]).alias("d"), F.when(v["d"] < s["d"], s["done"] + v["t"] * v["n"]).otherwise(s["at"]).alias("at")))
+    share = F.aggregate(
+        _steps(line.column, at),
+        start,
+        lambda s, v: F.struct((s["done"] + v["n"]).alias("done"), F.least(s["d"], v["d"]).alias("d"), F.when(v["d"] < s["d"], s["done"] + v["t"] * v["n"]).otherwise(s["at"]).alias("at")),
+        lambda s: F.when(s["done"] == 0, F.lit(0.0)).otherwise(s["at"] / s["done"]),
+    )
     ok = lambda v: (F.abs(v["x"]) < math.inf) & (F.abs(v["y"]) < math.inf)
     finite = F.forall(line.column, ok) & ok(q)
-    return F.when(finite & (F.size(line.column) > 0), F.when(found["done"] == 0, F.lit(0.0)).otherwise(found["at"] / found["done"]))
+    return F.when(finite & (F.size(line.column) > 0), share)
 
 
 # predicates
@@ -257,36 +267,34 @@ def bbox_intersects(a: Geo, b: Geo) -> Column:
     return (p["xmax"] >= q["xmin"]) & (p["ymax"] >= q["ymin"]) & (p["xmin"] <= q["xmax"]) & (p["ymin"] <= q["ymax"])
 
 
-def _on(ring: Column, p: Column) -> Column:
-    """Whether a vertex lies on a path."""
-    return F.exists(_steps(ring, lambda a, b: ((b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"]) == 0) & p["x"].between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & p["y"].between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))), lambda v: v)
+#: What a vertex on the boundary adds to the number of crossings.
+_ON = 1_000_000
 
 
-def _crossings(ring: Column, p: Column) -> Column:
-    """How often a ray to the right crosses a ring, even or odd."""
-    hit = _steps(ring, lambda a, b: ((a["y"] > p["y"]) != (b["y"] > p["y"])) & (p["x"] < (b["x"] - a["x"]) * (p["y"] - a["y"]) / (b["y"] - a["y"]) + a["x"]))
-    return F.size(F.filter(hit, lambda v: v)) % 2 == 1
+def _crossing(a: Column, b: Column, p: Column) -> Column:
+    """_ON if p is on the edge, 1 if a ray from p to the right crosses it, else 0. Most edges are settled by comparisons."""
+    ends = (a["y"] > p["y"]) != (b["y"] > p["y"])
+    side = (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
+    off = ((p["y"] < a["y"]) & (p["y"] < b["y"])) | ((p["y"] > a["y"]) & (p["y"] > b["y"])) | ((p["x"] > a["x"]) & (p["x"] > b["x"]))
+    left = (p["x"] < a["x"]) & (p["x"] < b["x"])
+    return F.when(off, 0).when(left, F.when(ends, 1).otherwise(0)).when(side == 0, _ON).when(ends & ((side > 0) == (b["y"] > a["y"])), 1).otherwise(0)
 
 
-def _located(area: Geo, p: Column) -> tuple[Column, Column]:
-    """Whether a vertex is on an area's boundary, and whether it is inside by the rings' parity."""
-    rings = paths(area)
-    on = F.exists(rings, lambda r: _on(r, p))
-    return on, F.size(F.filter(rings, lambda r: _crossings(r, p))) % 2 == 1
+def _located(area: Geo, p: Column, test: Callable[[Column], Column]) -> Column:
+    """test of the sum of crossings over all rings."""
+    return F.aggregate(F.flatten(F.transform(paths(area), lambda r: _steps(r, lambda a, b: _crossing(a, b, p)))), F.lit(0), lambda t, v: t + v, test)
 
 
 def polygon_contains_point(area: Geo, p: Geo) -> Column:
     """Inside, not on the boundary."""
     check_same(_native(area, "polygon", "multipolygon"), _native(p, "point"))
-    on, inside = _located(area, p.column)
-    return F.when(area.column.isNotNull() & p.column.isNotNull(), ~on & inside)
+    return F.when(area.column.isNotNull() & p.column.isNotNull(), _located(area, p.column, lambda t: (t < _ON) & (t % 2 == 1)))
 
 
 def polygon_intersects_point(area: Geo, p: Geo) -> Column:
     """Inside or on the boundary."""
     check_same(_native(area, "polygon", "multipolygon"), _native(p, "point"))
-    on, inside = _located(area, p.column)
-    return F.when(area.column.isNotNull() & p.column.isNotNull(), on | inside)
+    return F.when(area.column.isNotNull() & p.column.isNotNull(), _located(area, p.column, lambda t: (t >= _ON) | (t % 2 == 1)))
 
 
 def type_id(g: Geo) -> Column:
@@ -320,7 +328,10 @@ def bounding_rect(g: Geo) -> Geo:
     """The box of x and y; null for null and empty geometries. The antimeridian is a line like others."""
     if g.type.kind == "box":
         return g
-    vs = F.filter(coords(g), _real)
+    if g.type.kind == "point":
+        c = g.column
+        return _with(g, F.when(_real(c), F.struct(c["x"].alias("xmin"), c["y"].alias("ymin"), c["x"].alias("xmax"), c["y"].alias("ymax"))), "box", "xy")
+    vs = coords(g)
     lo = lambda a: F.array_min(F.transform(vs, lambda p: p[a]))
     hi = lambda a: F.array_max(F.transform(vs, lambda p: p[a]))
     return _with(g, F.when(F.size(vs) > 0, F.struct(lo("x").alias("xmin"), lo("y").alias("ymin"), hi("x").alias("xmax"), hi("y").alias("ymax"))), "box", "xy")
@@ -360,11 +371,12 @@ def centroid(g: Geo) -> Geo:
             def ring(r: Column) -> Column:
                 o = F.get(r, F.lit(0))
 
-                def step(a: Column, b: Column) -> Column:
+                def step(s: Column, o: Column) -> Column:
+                    a, b = s["a"], s["b"]
                     k = (a["x"] - o["x"]) * (b["y"] - o["y"]) - (b["x"] - o["x"]) * (a["y"] - o["y"])
                     return _weighted(k, (a["x"] + b["x"] - 2.0 * o["x"]) * k, (a["y"] + b["y"] - 2.0 * o["y"]) * k)
 
-                s = _sums(_steps(r, step))
+                s = _sums(_each(_steps(r, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), o, step))
                 # area, and area times centroid, with the sign taken off
                 sign = F.when(s["w"] < 0, -1.0).otherwise(1.0)
                 return _weighted(sign * s["w"] / 2.0, sign * (s["x"] / 6.0 + s["w"] / 2.0 * o["x"]), sign * (s["y"] / 6.0 + s["w"] / 2.0 * o["y"]))
@@ -389,7 +401,8 @@ def map_coords(g: Geo, f: Callable[[Column], dict[str, Column]]) -> Geo:
     def walk(c: Column, depth: int) -> Column:
         return F.transform(c, lambda x: walk(x, depth - 1)) if depth else one(c)
 
-    return _with(g, F.when(g.column.isNotNull(), walk(g.column, DEPTH[g.type.kind])))
+    out = walk(g.column, DEPTH[g.type.kind])  # of a null array: null
+    return _with(g, out if DEPTH[g.type.kind] else F.when(g.column.isNotNull(), out))
 
 
 def affine_transform(g: Geo, matrix: tuple[Number, ...]) -> Geo:
@@ -407,30 +420,48 @@ def translate(g: Geo, dx: Number, dy: Number) -> Geo:
 def _origin(g: Geo, origin: str | tuple[Number, Number] | Geo) -> tuple[Column, Column]:
     if isinstance(origin, str):
         c = {"center": center, "centroid": centroid}[origin](g).column
-        return c["x"], c["y"]
+        return c["x"], c["y"]  # the same expression twice: evaluated once for both
     if isinstance(origin, Geo):
         return origin.column["x"], origin.column["y"]
     return tuple((F.lit(float(v)) if not isinstance(v, Column) else v) for v in origin)
 
 
+def _about(g: Geo, constants: list[Column], f: Callable[[Column, Column], dict[str, Column]]) -> Geo:
+    """map_coords whose map uses constants of the row: a struct of c0, c1 and so on."""
+    bound = F.struct(*[c.alias(f"c{k}") for k, c in enumerate(constants)])
+
+    def one(p: Column, c: Column) -> Column:
+        new = f(p, c)
+        return F.struct(*[new.get(a, p[a]).cast("double").alias(a) for a in g.type.dim])
+
+    def walk(v: Column, c: Column, depth: int) -> Column:
+        return _each(v, c, lambda x, k: walk(x, k, depth - 1)) if depth else one(v, c)
+
+    depth = DEPTH[_native(g).type.kind]
+    out = walk(g.column, bound, depth)
+    return _with(g, out if depth else F.when(g.column.isNotNull(), out))
+
+
 def rotate(g: Geo, degrees: Number, origin: str | tuple[Number, Number] | Geo = "center") -> Geo:
     """Counter-clockwise about the bounding box's center, the centroid or a point."""
     t = F.radians(degrees if isinstance(degrees, Column) else F.lit(float(degrees)))
-    x, y = _origin(g, origin)
-    return affine_transform(g, (F.cos(t), -F.sin(t), x - x * F.cos(t) + y * F.sin(t), F.sin(t), F.cos(t), y - x * F.sin(t) - y * F.cos(t)))
+
+    def turned(p: Column, c: Column) -> dict[str, Column]:
+        dx, dy = p["x"] - c["c0"], p["y"] - c["c1"]
+        return {"x": c["c0"] + dx * c["c2"] - dy * c["c3"], "y": c["c1"] + dx * c["c3"] + dy * c["c2"]}
+
+    return _about(g, [*_origin(g, origin), F.cos(t), F.sin(t)], turned)
 
 
 def scale(g: Geo, x_factor: Number, y_factor: Number | None = None, origin: str | tuple[Number, Number] | Geo = "center") -> Geo:
     y_factor = x_factor if y_factor is None else y_factor
-    x, y = _origin(g, origin)
-    return map_coords(g, lambda p: {"x": x + (p["x"] - x) * x_factor, "y": y + (p["y"] - y) * y_factor})
+    return _about(g, [*_origin(g, origin)], lambda p, c: {"x": c["c0"] + (p["x"] - c["c0"]) * x_factor, "y": c["c1"] + (p["y"] - c["c1"]) * y_factor})
 
 
 def skew(g: Geo, x_degrees: Number, y_degrees: Number | None = None, origin: str | tuple[Number, Number] | Geo = "center") -> Geo:
     y_degrees = x_degrees if y_degrees is None else y_degrees
-    tx, ty = (F.tan(F.radians(v if isinstance(v, Column) else F.lit(float(v)))) for v in (x_degrees, y_degrees))
-    x, y = _origin(g, origin)
-    return map_coords(g, lambda p: {"x": p["x"] + (p["y"] - y) * tx, "y": p["y"] + (p["x"] - x) * ty})
+    tangents = [F.tan(F.radians(v if isinstance(v, Column) else F.lit(float(v)))) for v in (x_degrees, y_degrees)]
+    return _about(g, [*_origin(g, origin), *tangents], lambda p, c: {"x": p["x"] + (p["y"] - c["c1"]) * c["c2"], "y": p["y"] + (p["x"] - c["c0"]) * c["c3"]})
 
 
 def _map_paths(g: Geo, f: Callable[[Column], Column]) -> Geo:
@@ -456,7 +487,8 @@ def densify(g: Geo, max_distance: float) -> Geo:
 
     def steps(a: Column, b: Column) -> Column:
         n = F.greatest(F.ceil(_distance(a, b) / max_distance), F.lit(1)).cast("int")
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i == 0, a).otherwise(_between(g, a, b, i / n)))
+        leg = F.struct(a.alias("a"), b.alias("b"), n.alias("n"))
+        return _each(F.sequence(F.lit(0), n - 1), leg, lambda i, s: F.when(i == 0, s["a"]).otherwise(_between(g, s["a"], s["b"], i / s["n"])))
 
     return _map_paths(g, lambda r: F.concat(F.flatten(_steps(r, steps)), F.slice(r, F.greatest(F.size(r), F.lit(1)), F.lit(1))))
 
@@ -480,22 +512,33 @@ def remove_repeated_points(g: Geo) -> Geo:
     """Of vertices that follow each other and are equal the first stays; of a multipoint's equal points, wherever they are."""
     if g.type.kind == "multipoint":
         return _with(g, F.array_distinct(g.column))
-    return _map_paths(g, lambda r: F.filter(r, lambda p, i: (i == 0) | (p != F.get(r, i - 1))))
+
+    def once(r: Column) -> Column:
+        # each vertex with the one before; the first has itself
+        n = F.greatest(F.size(r), F.lit(1))
+        before = F.concat(F.slice(r, F.lit(1), F.lit(1)), F.slice(r, F.lit(1), n - 1))
+        pairs = F.zip_with(r, before, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+        return F.transform(F.filter(pairs, lambda s, i: (i == 0) | (s["p"] != s["q"])), lambda s: s["p"])
+
+    return _map_paths(g, once)
 
 
 def line_interpolate_point(line: Geo, fraction: Number) -> Geo:
     """The place at a share of the length; below 0 the start, over 1 the end; null for NaN and lines without vertices."""
     c = _native(line, "linestring").column
     f = fraction if isinstance(fraction, Column) else F.lit(float(fraction))
-    total = euclidean_length(line)
-    goal = total * F.greatest(F.lit(0.0), F.least(F.lit(1.0), f))
-    dim = line.type.dim
-    place = T.StructType([T.StructField(a, T.DoubleType()) for a in dim])
+    place = T.StructType([T.StructField(a, T.DoubleType()) for a in line.type.dim])
     legs = _steps(c, lambda a, b: F.struct(a.alias("a"), b.alias("b"), _distance(a, b).alias("n")))
-    start = F.struct(F.lit(0.0).alias("done"), F.lit(None).cast(place).alias("at"))
-    walk = F.aggregate(legs, start, lambda s, v: F.struct((s["done"] + v["n"]).alias("done"), F.when(s["at"].isNotNull(), s["at"]).when((v["n"] > 0) & (s["done"] + v["n"] >= goal), _between(line, v["a"], v["b"], (goal - s["done"]) / v["n"])).cast(place).alias("at")))
+    goal = euclidean_length(line) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), f))
+    start = F.struct(goal.alias("goal"), F.lit(0.0).alias("done"), F.lit(None).cast(place).alias("at"))
+
+    def step(s: Column, v: Column) -> Column:
+        here = F.when(s["at"].isNotNull(), s["at"]).when((v["n"] > 0) & (s["done"] + v["n"] >= s["goal"]), _between(line, v["a"], v["b"], (s["goal"] - s["done"]) / v["n"]))
+        return F.struct(s["goal"].alias("goal"), (s["done"] + v["n"]).alias("done"), here.cast(place).alias("at"))
+
+    walk = F.aggregate(legs, start, step, lambda s: s["at"])
     last = F.get(c, F.size(c) - 1)
-    out = F.when(f >= 1, last).when(f <= 0, F.get(c, F.lit(0))).otherwise(F.coalesce(walk["at"], last))
+    out = F.when(f >= 1, last).when(f <= 0, F.get(c, F.lit(0))).otherwise(F.coalesce(walk, last))
     return _with(line, F.when(~F.isnan(f) & (F.size(c) > 0), out), "point")
 
 

@@ -53,6 +53,17 @@ def _dealt(df: DataFrame, b: Column, prefix: str, size: float, grow: float = 0.0
     return df.withColumn(f"_{prefix}box", F.when(b.isNotNull(), box)).filter(F.col(f"_{prefix}box").isNotNull())
 
 
+#: Input of fewer bytes a core is dealt to all cores before pairs are tested; larger input has tasks enough.
+SPREAD_BYTES = 4 << 20
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it is small: a small file is one task, but its pairs may be much work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+
+
 def candidates(left: DataFrame, left_geo: Geo, right: DataFrame, right_geo: Geo, size: float | None = None, grow: float = 0.0) -> DataFrame:
     """All columns of both sides for the pairs whose boxes, the left one grown, overlap or touch; each pair once.
 
@@ -65,20 +76,29 @@ def candidates(left: DataFrame, left_geo: Geo, right: DataFrame, right_geo: Geo,
     if clash:
         raise GeoError(f"rename columns that both sides have: {', '.join(sorted(clash))}")
     size = size or cell_size(right, right_geo)
-    a = _dealt(left, native.bounding_rect(left_geo).column, "l", size, grow)
+    a = _dealt(_spread(left), native.bounding_rect(left_geo).column, "l", size, grow)
     b = _dealt(right, native.bounding_rect(right_geo).column, "r", size)
     width = lambda c: F.greatest(c["xmax"] - c["xmin"], c["ymax"] - c["ymin"])
     own_a, own_b = _levels(width(F.col("_lbox")), size, 40), _levels(width(F.col("_rbox")), size, 40)
     # a pair meets at the level of the wider of the two
-    levels = sorted({r[0] for d, own in ((a, own_a), (b, own_b)) for r in d.select(own.alias("k")).distinct().collect()})
+    # points are as wide as the first level; for others one job tells which of the 40 levels occur
+    sides = [d.select(own.alias("k")) for d, own, g in ((a, own_a, left_geo), (b, own_b, right_geo)) if g.type.kind != "point" or (grow and g is left_geo)]
+    levels = sorted({0} | {r[0] for d in [sides[0].unionAll(sides[-1])] for r in d.distinct().collect()}) if sides else [0]
     every = F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")
 
-    def deal(d: DataFrame, own: Column, name: str) -> DataFrame:
-        d = d.withColumn(f"_{name}own", own).withColumn(f"_{name}level", F.explode(F.filter(every, lambda k: k >= own)))
+    def deal(d: DataFrame, own: Column, name: str, is_point: bool) -> DataFrame:
+        d = d.withColumn(f"_{name}own", F.lit(0) if is_point else own)
+        if levels == [0]:
+            d = d.withColumn(f"_{name}level", F.lit(0))
+        else:
+            d = d.withColumn(f"_{name}level", F.explode(F.filter(every, lambda k: k >= F.col(f"_{name}own"))))
+        if is_point:  # a point is in one cell of a level
+            w = F.lit(size) * F.pow(F.lit(2.0), F.col(f"_{name}level"))
+            return d.withColumn(f"_{name}x", F.floor(F.col(f"_{name}box.xmin") / w).cast("long")).withColumn(f"_{name}y", F.floor(F.col(f"_{name}box.ymin") / w).cast("long"))
         d = d.withColumn("_c", F.explode(_cells(F.col(f"_{name}box"), size, F.col(f"_{name}level"))))
         return d.withColumn(f"_{name}x", F.col("_c.cx")).withColumn(f"_{name}y", F.col("_c.cy")).drop("_c")
 
-    a, b = deal(a, own_a, "l"), deal(b, own_b, "r")
+    a, b = deal(a, own_a, "l", left_geo.type.kind == "point" and not grow), deal(b, own_b, "r", right_geo.type.kind == "point")
     joined = a.join(b, (F.col("_llevel") == F.col("_rlevel")) & (F.col("_lx") == F.col("_rx")) & (F.col("_ly") == F.col("_ry")))
     p, q = F.col("_lbox"), F.col("_rbox")
     w = F.lit(size) * F.pow(F.lit(2.0), F.col("_llevel"))
