@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera import functions as st
 from tessera.functions import kernel, native
 from tessera.operators import downcast as narrow
+from tessera.operators import rows
 from tessera.operators.explode import explode
 from tessera.operators.join import bbox_filter, distance_join, spatial_join
 from tessera.plans import shapes as s
@@ -470,6 +471,28 @@ def explode_multipoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explode(s.nation_points(spark, sf_dir), "g").select("c_nationkey", r6(F.col("g.x"), "x"), r6(F.col("g.y"), "y"))
 
 
+@query(f"WITH {s.SQL_CUSTOMERS} SELECT o_orderkey, round(x, 6) AS x, round(y, 6) AS y FROM orders LEFT JOIN cust ON c_custkey = CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderkey * 7 % 2000 END")
+def rows_take(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = s.table(spark, sf_dir, "orders").select("o_orderkey", F.expr("if(o_orderkey % 10 = 0, null, o_orderkey * 7 % 2000)").alias("at"))
+    return rows.take(s.customers(spark, sf_dir), "c_custkey", wanted, "at").select("o_orderkey", r6(F.col("g.x"), "x"), r6(F.col("g.y"), "y"))
+
+
+@query(f"WITH {s.SQL_CUSTOMERS} SELECT c_custkey // 100 AS chunk, count(*) AS n, round(min(x), 6) AS xmin FROM cust WHERE c_custkey >= 250 AND c_custkey < 1250 GROUP BY 1")
+def rows_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = rows.rechunk(rows.take_range(s.customers(spark, sf_dir), "c_custkey", 250, 1250), "c_custkey", 100)
+    return df.groupBy("chunk").agg(F.count("*").alias("n"), r6(F.min("g.x"), "xmin"))
+
+
+@query(f"WITH {s.SQL_CUSTOMERS} SELECT c_custkey, x > 0 AS east, round(x + y, 6) AS total FROM cust")
+def user_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import types as T
+
+    df = s.customers(spark, sf_dir)
+    g = geo(df, "g")
+    total = kernel.binary(lambda a, b: a.value[0] + b.value[1], T.DoubleType(), g, g)
+    return df.select("c_custkey", kernel.unary(lambda p: p.value[0] > 0, T.BooleanType(), g).alias("east"), r6(total, "total"))
+
+
 @query("SELECT c_custkey, 1 AS parts, 4 AS kind FROM customer WHERE c_custkey % 97 <> 0 UNION ALL SELECT c_custkey, NULL, NULL FROM customer WHERE c_custkey % 97 = 0")
 def cast_point_multipoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = s.some_customers(spark, sf_dir)
