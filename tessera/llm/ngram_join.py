@@ -82,12 +82,13 @@ def _sizes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     fragments = shuffle_partitions(docs.sparkSession)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _texts(batches):
+        for number, (ids, texts) in enumerate(_texts(batches)):
             sets = [shingles(x, n) for x in texts]
             size = np.array([len(s) for s in sets], np.int64)
             hashes = np.concatenate(sets)
             of = np.repeat(np.arange(len(sets), dtype=np.uint16), size)
-            key = f"{ids[0]}:{len(ids)}:{xxhash.xxh3_64_intdigest(hashes.tobytes() + np.array([x or 0 for x in ids], np.int64).tobytes())}"
+            # equal chunks may come from several tasks; another attempt of a task gives the same key for the same rows only
+            key = f"{TaskContext.get().partitionId()}:{number}:{xxhash.xxh3_64_intdigest(hashes.tobytes() + np.array([x or 0 for x in ids], np.int64).tobytes())}"
             order = np.argsort(hashes, kind="stable")
             h, o = hashes[order], of[order]
             start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)

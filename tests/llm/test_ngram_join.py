@@ -90,6 +90,12 @@ def test_chunks_and_fragments_answer_alike(spark, monkeypatch):
     assert got(ngram_join.near_duplicates(df)) == brute(rows)
 
 
+def test_the_same_rows_twice(spark):
+    rows = near(6, n=16)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert got(ngram_join.near_duplicates(df.unionAll(df))) == brute(rows + rows)
+
+
 def test_contract(spark):
     rng = random.Random(2)
     links = [(rng.randrange(80), rng.randrange(80)) for _ in range(55)] + [(k, k + 1) for k in range(100, 140)]
