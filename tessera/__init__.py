@@ -1,0 +1 @@
+"""Columnar vector geometry on Spark."""

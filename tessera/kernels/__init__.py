@@ -1,0 +1 @@
+"""Geometries as Python values: codecs and algorithms."""

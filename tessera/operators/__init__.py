@@ -1,0 +1 @@
+"""Joins, explode, downcast, rows by place."""
