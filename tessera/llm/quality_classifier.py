@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> tuple[np.nd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for b in batches:
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([features(x or "").tobytes() for x in b.column(2).to_pylist()], pa.binary())], ["doc_id", "quality", "features"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([features(x.as_py() or "").tobytes() for x in b.column(2)], pa.binary())], ["doc_id", "quality", "features"])
 
     # at most max_rows ids and labels are broadcast
     sample = base.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, features binary")
@@ -197,10 +197,10 @@ def score(docs: DataFrame, fitted: tuple[np.ndarray, Model], keep: tuple[str, ..
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
-        for b in batches:
+        for b in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):
             margin = []
-            for x in b.column(0).to_pylist():
-                at = features(x or "")
+            for x in b.column(0):
+                at = features(x.as_py() or "")
                 n = float(np.sqrt(squared[at].sum(dtype=np.float64)))
                 margin.append(float(weights[at].sum(dtype=np.float64)) / n + model.bias if n else model.bias)
             yield pa.record_batch([*b.columns[1:], pa.array(model.score(np.array(margin, float)), pa.float64())], [*b.schema.names[1:], to])
