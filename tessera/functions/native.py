@@ -330,7 +330,7 @@ def bounding_rect(g: Geo) -> Geo:
         return g
     if g.type.kind == "point":
         c = g.column
-        return _with(g, F.when(_real(c), F.struct(c["x"].alias("xmin"), c["y"].alias("ymin"), c["x"].alias("xmax"), c["y"].alias("ymax"))), "box", "xy")
+        return _with(g, F.when(c.isNotNull() & _real(c), F.struct(c["x"].alias("xmin"), c["y"].alias("ymin"), c["x"].alias("xmax"), c["y"].alias("ymax"))), "box", "xy")
     vs = coords(g)
     lo = lambda a: F.array_min(F.transform(vs, lambda p: p[a]))
     hi = lambda a: F.array_max(F.transform(vs, lambda p: p[a]))
