@@ -51,8 +51,16 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.stack([*means, *devs], 1)
 
 
+def _starts(ids: np.ndarray) -> np.ndarray:
+    """Places in sorted ids where another id starts."""
+    return np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])[: len(ids)])
+
+
 def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """For each query its k best candidates in the block: (query, candidate, score). Ties go to the smaller id; a query's own id is left out."""
+    """For each query its k best candidates in the block: (query, candidate, score). Ties go to the smaller id; a query's own id is left out.
+
+    An id that stands several times is one candidate with the best of its scores.
+    """
     order = np.argsort(c_ids, kind="stable")
     c_ids, c = c_ids[order], c[order]
     q_f, c_f = q.astype(float), c.astype(float)
@@ -68,9 +76,14 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
             apart = (s_q**2).sum(1)[:, None] + (s_c**2).sum(1)[None, :] - 2 * s_q @ s_c.T  # lower bound of the distance squared
             bound = (n_q[:, None] + n_c[None, live] - apart) / 2 + slack[:, live]
             if level == 0:  # scores of those that look best give a first floor
-                few = min(4 * k, len(live))
-                looks = np.where(alive[:, live], bound, -np.inf)
-                top = live[np.argpartition(-looks, few - 1, axis=1)[:, :few]]
+                looks, at = np.where(alive[:, live], bound, -np.inf), np.broadcast_to(np.arange(len(live)), bound.shape)
+                starts = _starts(c_ids[live])
+                if len(starts) < len(live):  # of each id the row that looks best, as the floor is the k-th best id's
+                    best = np.maximum.reduceat(looks, starts, axis=1)
+                    same = looks == np.repeat(best, np.diff([*starts, len(live)]), axis=1)
+                    looks, at = best, np.minimum.reduceat(np.where(same, at, len(live)), starts, axis=1)
+                few = min(4 * k, len(starts))
+                top = live[np.take_along_axis(at, np.argpartition(-looks, few - 1, axis=1)[:, :few], 1)]
                 scores = np.where(np.take_along_axis(alive, top, 1), np.einsum("qd,qnd->qn", q_f, c_f[top]), -np.inf)
                 if few >= k:
                     floor = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
@@ -80,9 +93,11 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
     scores = q_f @ c_f[live].T if exact else q.astype(object) @ c[live].astype(object).T
     for i, q_id in enumerate(q_ids.tolist()):
         at = np.flatnonzero(alive[i, live])
-        s = scores[i, at]
+        ids = c_ids[live[at]]
+        starts = _starts(ids)
+        s = np.maximum.reduceat(scores[i, at], starts) if len(starts) else scores[i, at]
         best = np.argsort(-s, kind="stable")[:k]  # candidates are in order of id
-        out += [(q_id, int(c_ids[live[at[j]]]), int(s[j])) for j in best]
+        out += [(q_id, int(ids[starts[j]]), int(s[j])) for j in best]
     return out
 
 

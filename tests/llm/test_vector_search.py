@@ -56,6 +56,31 @@ def test_several_vectors_of_one_id(spark):
     assert got(search(spark, rows)) == brute(rows, 5)
 
 
+@pytest.mark.parametrize("rows_a_block", [4, 12, 4096])
+def test_an_id_that_stands_often_takes_one_place(spark, monkeypatch, rows_a_block):
+    """Repeated rows and several vectors of one id do not push the next neighbours out."""
+    monkeypatch.setattr(vector_search, "CANDIDATE_ROWS", rows_a_block)
+    rng = np.random.default_rng(7)
+    rows = [(0, [1.0, 0.0, 0.0])] + [(7, [9.0, 0.0, 0.0])] * 8 + [(8, [8.0 + k / 8, 0.0, 0.0]) for k in range(7)]
+    rows += [(10 * k + 1, rng.normal(size=3).tolist()) for k in range(40)]
+    rng.shuffle(rows)
+    rows = [(int(i), [float(y) for y in x]) for i, x in rows]
+    assert len(brute(rows, 50)) == 5 and got(search(spark, rows, 50)) == brute(rows, 50)
+
+
+def test_block_with_repeated_ids():
+    rng = np.random.default_rng(8)
+    ids, c, q = rng.integers(0, 30, 200), rng.integers(-50, 50, (200, 8)), rng.integers(-50, 50, (6, 8))
+    ids[:60] = 3
+    for scale in (1, 2**40):  # the second is beyond what floats hold
+        found = vector_search.search_block(np.arange(6), q * scale, ids, c, 5)
+        expect = []
+        for i in range(6):
+            best = {j: max(sum(int(x) * scale * int(y) for x, y in zip(q[i], c[r])) for r in np.flatnonzero(ids == j)) for j in set(ids.tolist()) - {i}}
+            expect += [(i, j, s) for j, s in sorted(best.items(), key=lambda t: (-t[1], t[0]))[:5]]
+        assert found == expect
+
+
 def test_no_rows_and_clashing_names(spark):
     assert search(spark, []).count() == 0
     assert search(spark, [(1, [1.0])]).count() == 0
