@@ -689,3 +689,19 @@ def frechet_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = native.make_geometry("linestring", F.array(s.vertex(F.lit(0), F.lit(0)), s.vertex(F.lit(1000), F.lit(100))))
     return df.select("l_orderkey", r6(kernel.frechet_distance(geo(df, "g"), other), "distance"))
 
+
+@query()
+def wkt_all_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's point; SQL prints numbers near zero and near the axes differently."""
+    df = s.customers(spark, sf_dir)
+    return df.select("c_custkey", kernel.to_wkt(geo(df, "g")).column.alias("wkt"))
+
+
+# against a line of two vertices the walk on it steps once: the line's first vertices go with its start, the others with its end
+@query(f"""WITH {s.SQL_LINES}, d AS (SELECT l_orderkey, n, list_transform(range(1, n + 1), lambda i: sqrt(xs[i] ** 2 + ys[i] ** 2)) AS a, list_transform(range(1, n + 1), lambda i: sqrt((xs[i] - 1000) ** 2 + (ys[i] - 100) ** 2)) AS b FROM lines)
+SELECT l_orderkey, round(list_min(list_transform(range(1, n), lambda i: greatest(list_max(a[1:i]), list_max(b[i + 1:n])))), 6) AS distance FROM d""")
+def frechet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order's line, of any number of vertices."""
+    df = s.order_lines(spark, sf_dir)
+    other = native.make_geometry("linestring", F.array(s.vertex(F.lit(0), F.lit(0)), s.vertex(F.lit(1000), F.lit(100))))
+    return df.select("l_orderkey", r6(kernel.frechet_distance(geo(df, "g"), other), "distance"))

@@ -217,6 +217,31 @@ def test_frechet():
         f("POINT (0 0)", "LINESTRING (0 0, 1 1)")
 
 
+def brute_frechet(p, q):
+    """Over all ways to walk both lines."""
+    def walk(i, j):
+        here = math.dist(p[i], q[j])
+        ways = [walk(a, b) for a, b in ((i - 1, j), (i, j - 1), (i - 1, j - 1)) if a >= 0 and b >= 0]
+        return max(here, min(ways)) if ways else here
+    return walk(len(p) - 1, len(q) - 1)
+
+
+def test_frechet_and_wkt_queries_take_every_row(spark):
+    """Lines of more than two vertices and points near an axis are there too."""
+    import __spark_entry__ as entry
+    from tessera.plans import shapes
+
+    sf = "/root/testdata/sf0.001"
+    lines = {r[0]: [(v["x"], v["y"]) for v in r[1]] for r in shapes.order_lines(spark, sf).collect()}
+    found = {r[0]: r[1] for r in entry.queries()["frechet_lines"](spark, sf).collect()}
+    assert max(map(len, lines.values())) > 2 and found.keys() == lines.keys()
+    for k, p in lines.items():
+        assert found[k] == pytest.approx(brute_frechet(p, [(0, 0), (1000, 100)]), abs=1e-6)
+    points = {r[0]: (r[1]["x"], r[1]["y"]) for r in shapes.customers(spark, sf).select("c_custkey", "g").collect()}
+    texts = {r[0]: r[1] for r in entry.queries()["wkt_all_points"](spark, sf).collect()}
+    assert {k: from_wkt(t).value for k, t in texts.items()} == points
+
+
 def test_simple():
     assert planar.is_simple(from_wkt("LINESTRING (0 0, 2 0, 2 2, 0 0)")) and planar.is_ring(from_wkt("LINESTRING (0 0, 2 0, 2 2, 0 0)"))
     assert not planar.is_simple(from_wkt("LINESTRING (0 0, 2 2, 2 0, 0 2)"))
