@@ -6,8 +6,10 @@ plus or minus; decoding gives the language whose codeword has the least
 logistic loss, so that sure bits weigh more. Two languages that come near
 each other flag the row as ambiguous.
 
-The classifiers are fitted to at most max_rows labelled rows, those with the
-smallest hashes; predictions are made for every row and over whole texts.
+The classifiers are fitted to at most max_rows labelled rows with letters, of
+each language those with the smallest hashes: languages have the same share,
+what one does not fill goes to the others, and each has a row at least.
+Predictions are made for every row and over whole texts.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tessera.llm.common import id_hash_mod
+from tessera.llm.common import id_hash_mod, materialize
 
 #: Size of the hashed space of n-grams, lengths of n-grams in bytes of UTF-8.
 SPACE, LENGTHS = 1 << 12, (1, 2, 3, 4)
@@ -101,20 +104,58 @@ def held_out(doc_id: Column) -> Column:
     return id_hash_mod(doc_id, 3) == 1
 
 
+def shares(rows: dict[str, int], max_rows: int) -> dict[str, int]:
+    """How many of each language's rows are learned from: alike as far as there are so many, one at least."""
+    out, left = {}, max_rows
+    for k, (lang, n) in enumerate(sorted(rows.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, max(1, left // (len(rows) - k)))
+        left -= out[lang]
+    return out
+
+
+def pick(known: DataFrame, max_rows: int) -> DataFrame:
+    """doc_id and lang of the rows to learn from, at most max_rows or one a language."""
+
+    def lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.select([0, 2]).filter(pa.array(map(has_letter, b.column(1).to_pylist()), pa.bool_()))
+
+    # the level says how small a hash is: 8 steps for each halving
+    h = F.xxhash64("doc_id")
+    level = F.floor(-8 * F.log2(h / F.lit(2.0**64) + 0.5 + F.lit(2.0**-64))).cast("int")
+    ids = known.select("doc_id", "text", "lang").mapInArrow(lettered, "doc_id long, lang string").distinct()
+    ids = materialize(ids.select("doc_id", "lang", level.alias("level")), "language-ids")
+    # some hundred rows a language
+    steps = ids.groupBy("lang", "level").agg(F.count("*").alias("n")).collect()
+    rows: dict[str, int] = {}
+    for r in steps:
+        rows[r["lang"]] = rows.get(r["lang"], 0) + r["n"]
+    share, least, reached = shares(rows, max_rows), {}, dict.fromkeys(rows, 0)
+    for r in sorted(steps, key=lambda r: -r["level"]):
+        if reached[r["lang"]] < share[r["lang"]]:
+            reached[r["lang"]] += r["n"]
+            least[r["lang"]] = r["level"]
+    limits = ids.sparkSession.createDataFrame([(k, share[k], least[k]) for k in sorted(rows)], "lang string, share int, least int")
+    # hardly more rows than are picked come to the window
+    near = ids.join(F.broadcast(limits), "lang").filter("level >= least")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    return near.withColumn("place", place).filter("place <= share").select(F.col("doc_id").alias("p_doc_id"), F.col("lang").alias("p_lang"))
+
+
 def fit(docs: DataFrame, max_rows: int = 2500) -> Model:
-    """Train on at most max_rows rows that have a text and a language and are not held out: those with the smallest hashes."""
+    """Train on the rows that pick takes of those that have a text with letters and a language and are not held out."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = base.filter("text is not null and lang is not null").filter(~held_out(F.col("doc_id")))
-    picked = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    picked = pick(known, max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(i, k, vector(t).tobytes()) for i, t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) if has_letter(t)]
             yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.binary()))], ["doc_id", "lang", "vector"])
 
-    # at most max_rows ids are broadcast; each row has a vector of fixed size; one row an id
-    sample = known.join(F.broadcast(picked), known["doc_id"].eqNullSafe(picked["doc_id"]), "left_semi").mapInArrow(run, "doc_id long, lang string, vector binary")
-    got = sorted(sample.groupBy("doc_id").agg(F.min(F.struct("lang", "vector")).alias("x")).select("doc_id", "x.lang", "x.vector").collect(), key=lambda r: zlib.crc32(str(r[0]).encode()))
+    # the picked ids are broadcast; each row has a vector of fixed size; one row an id and language
+    sample = known.join(F.broadcast(picked), F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("lang") == F.col("p_lang")), "left_semi").mapInArrow(run, "doc_id long, lang string, vector binary")
+    got = sorted(sample.groupBy("doc_id", "lang").agg(F.min("vector").alias("vector")).collect(), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[1]))
     x = np.stack([np.frombuffer(r[2], np.float32) for r in got]) if got else np.zeros((0, SPACE), np.float32)
     return train(x, [r[1] for r in got])
 

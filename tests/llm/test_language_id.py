@@ -70,6 +70,26 @@ def test_nothing_or_one_language_to_learn(spark, none, clashing):
     assert language_id.identify(clashing).count() == clashing.count()
 
 
+def test_every_labelled_language_is_learned(spark):
+    """Among many rows of one language and many texts without letters."""
+    rows = [(k, "ba ko ti", "aa") for k in range(900)] + [(1000 + k, "12 34", "bb") for k in range(900)]
+    rows += [(2000 + k, "stra ung chen", "bb") for k in range(4)] + [(3000 + k, "oux", "cc") for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    assert language_id.fit(df, 12).languages == ["aa", "bb", "cc"]
+    assert {r.lang_pred for r in language_id.predict(df.filter("doc_id >= 2000"), language_id.fit(df, 12)).collect()} == {"bb", "cc"}
+    known = df.filter(~language_id.held_out(df.doc_id))
+    found = {}
+    for r in language_id.pick(known, 12).collect():
+        found.setdefault(r.p_lang, set()).add(r.p_doc_id)
+    order = known.filter("lang = 'aa'").selectExpr("doc_id", "xxhash64(doc_id) h").orderBy("h").collect()
+    assert sum(map(len, found.values())) == 12 and found["aa"] == {r.doc_id for r in order[: len(found["aa"])]}
+
+
+def test_shares():
+    assert language_id.shares({"a": 1000, "b": 2, "c": 50}, 100) == {"a": 49, "b": 2, "c": 49}
+    assert language_id.shares({"a": 3, "b": 3, "c": 3}, 1) == {"a": 1, "b": 1, "c": 1} and language_id.shares({}, 5) == {}
+
+
 def test_only_the_text_decides(spark):
     rows = some(3, 120)
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
