@@ -309,10 +309,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100)
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """The rows of docs with their columns, of each group that links hold together only those with the smallest doc_id, one of them. Rows with a null doc_id stay."""
+    """The rows of docs with their columns, of each group that links hold together only those with the smallest doc_id. Rows with a null doc_id stay.
+
+    Rows of one doc_id are one document, of which one row stays: the one whose
+    text sorts first (nulls last), among equal texts the one whose JSON does.
+    """
     found = near_duplicates(docs, n, num, den).filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("_n"))
     kept = materialize(found, "join-kept")
-    out = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi")
-    if not kept.filter("_n > 1").isEmpty():  # repeated rows
-        out = out.dropDuplicates(["doc_id"])
+    of = F.col("doc_id").cast("long") == F.col("_kept_id")
+    if kept.filter("_n > 1").isEmpty():
+        out = docs.join(kept, of, "left_semi")
+    else:  # repeated rows
+        rows = docs.join(kept.filter("_n > 1"), of, "left_semi").select(F.struct("*").alias("row"))
+        text = F.col("row.text").cast("string")
+        first = rows.groupBy(F.col("row.doc_id").alias("id")).agg(F.min_by("row", F.struct(text.isNull(), text, F.to_json("row"))).alias("row"))
+        out = docs.join(kept.filter("_n = 1"), of, "left_semi").unionAll(first.select("row.*"))
     return out.unionAll(docs.filter("doc_id is null"))

@@ -123,6 +123,13 @@ def test_one_of_each(docs, rows):
     assert sorted(i for i in ids if i is not None) == sorted(heads) and ids.count(None) == 1
 
 
+def test_one_of_repeated_rows_by_a_fixed_order(spark):
+    rows = [(1, "b one text of its own", "x"), (1, "a quite another text here", "z"), (1, "a quite another text here", "y"), (1, None, "w"), (2, "c some third text stands alone", "v")]
+    for some in (rows, rows[::-1], rows[2:] + rows[:2]):
+        df = spark.createDataFrame(some, "doc_id long, text string, source string").coalesce(1)
+        assert sorted(map(tuple, ngram_join.one_of_each(df).collect())) == [(1, "a quite another text here", "y"), (2, "c some third text stands alone", "v")]
+
+
 def test_no_rows_and_clashing_names(none, clashing, rows):
     assert ngram_join.near_duplicates(none).count() == 0 and ngram_join.one_of_each(none).count() == 0
     assert got(ngram_join.near_duplicates(clashing)) == brute([r[:2] for r in rows])
