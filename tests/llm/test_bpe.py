@@ -87,3 +87,16 @@ def test_ids_round_trip(docs, file, library):
 def test_no_rows_and_clashing_names(none, clashing, docs, file):
     assert bpe.encode_digests(none, file).count() == 0 and bpe.encode_documents(none, file).count() == 0
     assert bpe.encode_digests(clashing, file).count() == docs.count()
+
+
+@pytest.mark.parametrize("context", ["a{}b", "{}1", "1{}!"])
+def test_every_code_point(file, library, context):
+    t = bpe.Tokenizer(file)
+    every = [context.format(chr(c)) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(every[k : k + 2000]) for k in range(0, len(every), 2000)]
+    assert t.encode_all(texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_tables_as_they_are_sent(file, library, spark, rows):
+    t, texts = bpe.loaded(bpe.packed(spark, file)), [r[1] or "" for r in rows] + ["x" * 500, "日本語" * 300]
+    assert t.encode_all(texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
