@@ -1,31 +1,36 @@
 """Jaccard join of documents on word n-grams with vertical partitioning.
 
 Two documents link if their sets of shingles have a Jaccard similarity of at
-least num/den. The global order of shingles (rare first, then by hash) is cut
-into fragments by hash; work on a fragment needs no other one.
-
-1. Which shingles occur in several documents? Each fragment answers for its
-   hashes. What a chunk of documents holds twice is known before anything is
-   dealt, and goes out once a chunk: a shingle of a third of all documents
-   costs a row a chunk. A document with too few shared shingles links with
-   none and goes no further; the answer may err towards shared only.
+least num/den. The global order of shingles is: rare first, then by hash.
+
+1. Which shingles occur in several documents? Hashes are dealt by range. What
+   a chunk of documents holds twice is known before anything is dealt, and
+   goes out once a chunk: a shingle of a third of all documents costs a row a
+   chunk. A document with too few shared shingles links with none and goes no
+   further; the answer may err towards shared only.
 2. Documents with equal sets become one representative.
-3. Representatives put their shingles in the global order; those that link
-   share one of the first size - ceil(num/den size) + 1 (the prefix). Lists of
-   representatives by prefix shingle give candidates. First each list's
-   members are compared with one hub; what links is one component and its
-   members need no further comparison. When hubs find no more, members of
-   different components are compared, so that no link is lost, and a group of
-   near copies costs about its size.
-4. Candidates are counted by fragments: partial overlaps from the segments of
-   the two sets in each fragment, summed per pair.
-5. Components come from contracting links, round by round, as tables.
+3. The global order is cut into fragments, ranges of it that hold alike many
+   shingles of sets (a histogram of frequencies gives the cuts), and each set
+   into a segment for each fragment.
+4. Each fragment finds pairs by itself: sets that link share one of the first
+   size - ceil(num/den size) + 1 shingles of the order (the prefix), and each
+   fragment lists the sets by those prefix shingles that are its own. First
+   each list's members are compared with one hub; what links is one component
+   and its members need no further comparison. When hubs find no more, members
+   of different components are compared, so that no link is lost, and a group
+   of near copies costs about its size. These last lists are split into blocks
+   by size class and hash, and pairs of blocks are dealt: however long a list,
+   a task holds two blocks.
+5. Each fragment counts its partial overlap of a pair from the two sets'
+   segments; the partial overlaps are summed per pair.
+6. Components come from contracting links, round by round, as tables.
 
 Nothing about single documents goes to the driver, only sizes of tables.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +40,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import broadcast_if_small, materialize, shuffle_partitions
+from tessera.llm.common import broadcast_if_small, materialize, release_memory, shuffle_partitions
 
-#: Characters and documents of a chunk; segments that a set is cut into for counting.
-CHUNK_CHARS, CHUNK_DOCS, SEGMENTS = 24_000_000, 60_000, 4
+#: Characters and documents of a chunk; fragments that the order is cut into; members of a list that make a block.
+CHUNK_CHARS, CHUNK_DOCS, FRAGMENTS, LIST_ROWS = 12_000_000, 60_000, 8, 2000
 _MARK, _NO_ID = 0xFFFF, -(1 << 40)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -58,19 +63,20 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(out)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    """Chunks of documents: ids and texts."""
-    ids, texts, chars = [], [], 0
+def _chunks(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Chunks of documents: ids and sets. Texts are not held."""
+    ids, sets, chars = [], [], 0
     for b in batches:
-        for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            text = x.as_py()
             ids.append(i)
-            texts.append(x)
-            chars += len(x or "")
+            sets.append(shingles(text, n))
+            chars += len(text or "")
             if chars >= CHUNK_CHARS or len(ids) >= CHUNK_DOCS:
-                yield ids, texts
-                ids, texts, chars = [], [], 0
+                yield ids, sets
+                ids, sets, chars = [], [], 0
     if ids:
-        yield ids, texts
+        yield ids, sets
 
 
 def _sizes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -82,15 +88,16 @@ def _sizes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     fragments = shuffle_partitions(docs.sparkSession)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, (ids, texts) in enumerate(_texts(batches)):
-            sets = [shingles(x, n) for x in texts]
+        for number, (ids, sets) in enumerate(_chunks(batches, n)):
             size = np.array([len(s) for s in sets], np.int64)
             hashes = np.concatenate(sets)
-            of = np.repeat(np.arange(len(sets), dtype=np.uint16), size)
+            sets.clear()
+            of = np.repeat(np.arange(len(ids), dtype=np.uint16), size)
             # equal chunks may come from several tasks; another attempt of a task gives the same key for the same rows only
             key = f"{TaskContext.get().partitionId()}:{number}:{xxhash.xxh3_64_intdigest(hashes.tobytes() + np.array([x or 0 for x in ids], np.int64).tobytes())}"
             order = np.argsort(hashes, kind="stable")
             h, o = hashes[order], of[order]
+            del hashes, of, order
             start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
             count = np.diff(np.append(start, len(h)))
             alone = np.repeat(count == 1, count)
@@ -106,6 +113,8 @@ def _sizes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             cuts = np.flatnonzero(np.concatenate([[True], fragment[1:] != fragment[:-1], [True]])) if len(h) else [0]
             for a, z in zip(cuts, cuts[1:]):
                 yield pa.record_batch([pa.array([fragment[a]], pa.int32()), pa.array([key]), pa.array([None], pa.binary()), pa.array([h[a:z].tobytes()]), pa.array([o[a:z].tobytes()])], ["fragment", "chunk", "a", "b", "c"])
+            del h, o, fragment, order, first, alone
+        release_memory()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each fragment in the partition: which hashes came twice, as numbers by document of each chunk."""
@@ -134,6 +143,8 @@ def _sizes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 at += len(x)
                 if len(some):
                     yield pa.record_batch([pa.array([key]), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([np.bincount(some).astype(np.int64).tobytes()])], fields)
+            del rows, h, marked, order, s, new, group, weight, hit
+        release_memory()
 
     def total(table: pa.Table) -> pa.Table:
         """One chunk: its documents with the sums."""
@@ -159,7 +170,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         row = TaskContext.get().partitionId() << 33
-        for b in batches:
+        for b in (whole.slice(k, 500) for whole in batches for k in range(0, whole.num_rows, 500)):
             rows = []
             for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingles(x, n)
@@ -170,6 +181,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 row += 1
                 rows.append((i, len(s), (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), row, s.view(np.int64) if new else None))
             yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((*[pa.int64()] * 5, pa.list_(pa.int64())))], ["doc", "size", "s1", "s2", "row", "hashes"])
+        release_memory()
 
     return docs.select("doc", "text").mapInArrow(run, "doc long, size long, s1 long, s2 long, row long, hashes array<long>")
 
@@ -207,6 +219,30 @@ def _more_links(roots: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(old.unionAll(fresh), "join-roots")
 
 
+def cuts(ordered: DataFrame) -> list[tuple[int, int]]:
+    """Where the global order (df, h) is cut, ascending: FRAGMENTS - 1 places between which sets of ordered (g) have alike many shingles.
+
+    A histogram of document frequencies (steps of an eighth of a doubling, a
+    few hundred rows) gives them; within the few frequencies of a step a cut
+    is at a hash, as hashes are even.
+    """
+    step = F.floor(F.log2(F.col("df").cast("double")) * 8).cast("int")
+    found = ordered.select(F.explode("g.df").alias("df")).groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("df").alias("least"), F.max("df").alias("most")).orderBy("step").collect()
+    total, upto, out = sum(r["n"] for r in found), 0, []
+    for r in found:
+        while len(out) < FRAGMENTS - 1 and total * (len(out) + 1) <= FRAGMENTS * (upto + r["n"]):
+            share = (total * (len(out) + 1) / FRAGMENTS - upto) / r["n"]
+            df = r["least"] + (r["most"] - r["least"] + 1) * share
+            out.append((min(int(df), r["most"]), int((df - int(df)) * 2**64) - 2**63 if int(df) <= r["most"] else 2**63 - 1))
+        upto += r["n"]
+    return out
+
+
+def fragment_of(at: list[tuple[int, int]]):
+    """The fragment of a place (df, h) of the order, as a function of columns."""
+    return lambda x: sum((F.when((x["df"] > df) | ((x["df"] == df) & (x["h"] >= h)), 1).otherwise(0) for df, h in at), F.lit(0))
+
+
 def _counted(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
     """Those of pairs (a, b) that link, by partial overlaps in the fragments of the two sets."""
     left = segments.select(F.col("rep").alias("a"), "fragment", F.col("part").alias("x"))
@@ -230,7 +266,29 @@ def _open_lists(lists: DataFrame, roots: DataFrame, turn: int) -> tuple[DataFram
     by = parts.groupBy("h").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq"), F.count("*").alias("k"), F.min(F.struct("first.x", "first.rep", "first.size", "first.rest", "root")).alias("hub")).filter("k > 1")
     by = materialize(by, "join-hubs")
     across = by.agg(F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("sq")), F.lit(0))).first()[0] // 2
-    return now.join(by.select("h", "hub"), "h"), across
+    return now.join(by.select("h", "hub", F.col("n").alias("members")), "h"), across
+
+
+def _across(now: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs a, b, size_a and size_b of members of one list in different components that may link.
+
+    A list is dealt in blocks: by size class, since sizes of sets that link
+    are of one class or of neighbouring ones, and, where it has more than
+    LIST_ROWS members, by a hash of the member. Each pair of blocks is a key.
+    """
+    blocks = F.ceil(F.col("members") / LIST_ROWS).cast("int")
+    # sizes that are den/num apart differ by a little less than one
+    by_size = F.floor(F.log(F.col("size").cast("double")) * (0.999 / math.log(den / num)) if den > num else F.col("size")).cast("int")
+    dealt = now.select("h", "rep", "size", "rest", "root", "members", blocks.alias("blocks"), by_size.alias("class"), F.pmod(F.xxhash64(F.lit("block"), "rep"), blocks).cast("int").alias("block"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    one = dealt.select("h", "class", F.col("block").alias("x"), every.alias("y"), "rep", "size", "rest", "root")
+    # of two classes, the pairs are at the lower one
+    two = dealt.withColumn("at", F.explode(F.array(F.col("class"), F.col("class") - 1)))
+    two = two.select("h", F.col("at").alias("class"), every.alias("x"), F.col("block").alias("y"), *[F.col(c).alias(f"{c}2") for c in ("rep", "size", "rest", "root", "class")])
+    met = one.join(two, ["h", "class", "x", "y"]).filter(((F.col("class") < F.col("class2")) | (F.col("rep") < F.col("rep2"))) & (F.col("root") != F.col("root2")) & _fits(num, den, F.col("rest"), F.col("size"), F.col("rest2"), F.col("size2")))
+    swap = F.col("rep") > F.col("rep2")
+    either = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
+    return met.select(either("rep", "rep2").alias("a"), either("rep2", "rep").alias("b"), either("size", "size2").alias("size_a"), either("size2", "size").alias("size_b"))
 
 
 def _hopeful(lists: DataFrame, num: int, den: int) -> DataFrame:
@@ -247,12 +305,17 @@ def link_representatives(reps: DataFrame, num: int, den: int, given: DataFrame,
     ordered = grams.join(twice, "h").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("g")).join(reps.select("rep", "size"), "rep")
     # shingles of one set only come first in the order; they are in the prefix but in no list
     ordered = ordered.withColumn("prefix", F.expr(f"cast(size(g) - (size * {num} + {den - 1}) div {den} + 1 as int)")).filter("prefix > 0")
-    ordered = materialize(ordered.select("rep", "size", "prefix", F.col("g.h").alias("hashes")), "join-ordered")
+    ordered = materialize(ordered.select("rep", "size", "prefix", "g"), "join-ordered")
+    place = fragment_of(cuts(ordered))
     # rest: shingles of the set from this one on
-    lists = ordered.select("rep", "size", (F.col("size") - F.size("hashes")).alias("own"), F.size("hashes").alias("m"), F.posexplode(F.slice("hashes", F.lit(1), F.col("prefix"))).alias("pos", "h"))
-    lists = lists.select("rep", "size", "own", (F.col("m") - F.col("pos")).alias("rest"), "h")
+    lists = ordered.select("rep", "size", (F.col("size") - F.size("g")).alias("own"), F.size("g").alias("m"), F.posexplode(F.slice("g", F.lit(1), F.col("prefix"))).alias("pos", "s"))
+    lists = lists.select("rep", "size", "own", (F.col("m") - F.col("pos")).alias("rest"), F.col("s.h").alias("h"))
     lists = materialize(_hopeful(_hopeful(lists, num, den), num, den), "join-lists")
-    parts = F.array(*[F.expr(f"filter(hashes, h -> pmod(h, {SEGMENTS}) = {k})") for k in range(SEGMENTS)])
+
+    def segment(k: int) -> Column:
+        return F.transform(F.filter("g", lambda x: place(x) == k), lambda x: x["h"])
+
+    parts = F.array(*map(segment, range(FRAGMENTS)))
     segments = materialize(ordered.select("rep", F.posexplode(parts).alias("fragment", "part")).filter(F.size("part") > 0), "join-segments")
     n_rows = lists.count()
     roots, done = contract(given), None
@@ -263,9 +326,7 @@ def link_representatives(reps: DataFrame, num: int, den: int, given: DataFrame,
         last = turn == hub_rounds or across <= 2 * n_rows
         rep, size, rest = F.col("rep"), F.col("size"), F.col("rest")
         if last:  # all pairs across components
-            two = now.select("h", F.col("rep").alias("rep2"), F.col("size").alias("size2"), F.col("rest").alias("rest2"), F.col("root").alias("root2"))
-            met = now.join(two, "h").filter((F.col("rep") < F.col("rep2")) & (F.col("root") != F.col("root2")) & _fits(num, den, rest, size, F.col("rest2"), F.col("size2")))
-            pairs = met.select(rep.alias("a"), F.col("rep2").alias("b"), size.alias("size_a"), F.col("size2").alias("size_b"))
+            pairs = _across(now, num, den)
         else:
             hub, hub_size = F.col("hub.rep"), F.col("hub.size")
             met = now.filter((F.col("root") != F.col("hub.root")) & _fits(num, den, rest, size, F.col("hub.rest"), hub_size))

@@ -142,3 +142,49 @@ def test_few_words(spark):
     assert got(ngram_join.near_duplicates(df)) == brute(rows)
 
 
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_last_lists_in_blocks(spark, monkeypatch, seed):
+    """However small the blocks of the last lists are, no link is lost."""
+    monkeypatch.setattr(ngram_join, "LIST_ROWS", 4)
+    rows = near(20 + seed, n=80, groups=2, most=20)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got(ngram_join.near_duplicates(df)) == brute(rows)
+
+
+def test_pairs_of_a_list_come_once(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LIST_ROWS", 7)
+    rng = random.Random(3)
+    members = [(1, k, rng.choice([12, 13, 15, 16, 17, 20, 21, 25, 28, 33, 45])) for k in range(60)]
+    now = spark.createDataFrame([(h, k, s, s, k, 60) for h, k, s in members], "h long, rep long, size long, rest long, root long, members long")
+    pairs = [(r.a, r.b, r.size_a, r.size_b) for r in ngram_join._across(now, 75, 100).collect()]
+    expected = {(a, b, s, t) for _, a, s in members for _, b, t in members if a < b and 100 * min(s, t) >= 75 * max(s, t) and 175 * min(s, t) >= 75 * (s + t)}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == expected
+
+
+def test_cuts_part_the_order(spark):
+    """Fragments follow the global order and hold about alike."""
+    rng = random.Random(4)
+    grams = [(min(50, 2 + int(rng.expovariate(0.4))), rng.randrange(-(2**63), 2**63)) for _ in range(4000)]
+    ordered = spark.createDataFrame([(sorted(grams[k : k + 100]),) for k in range(0, 4000, 100)], "g array<struct<df:long,h:long>>")
+    at = ngram_join.cuts(ordered)
+    place = ngram_join.fragment_of(at)
+    from pyspark.sql import functions as F
+
+    of = [(r.df, r.h, r.f) for r in ordered.select(F.explode("g").alias("x")).select("x.df", "x.h", place(F.col("x")).alias("f")).collect()]
+    assert [f for *_, f in sorted(of)] == sorted(f for *_, f in of) and at == sorted(at)
+    sizes = [sum(f == k for *_, f in of) for k in range(ngram_join.FRAGMENTS)]
+    assert min(sizes) > 300 and max(sizes) < 700
+
+
+def test_a_shingle_of_many_unlike_sets_is_in_no_list(spark, monkeypatch):
+    """Ten words that thousands of else unlike texts share cost no pairs."""
+    seen = []
+    real = ngram_join._open_lists
+    monkeypatch.setattr(ngram_join, "_open_lists", lambda lists, roots, turn: seen.append(lists.count()) or real(lists, roots, turn))
+    passage = " ".join(f"p{i}" for i in range(10))
+    rows = [(k, f"{passage} {' '.join(f'q{k}x{i}' for i in range(30))}") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {(r.doc_id, r.component_id) for r in ngram_join.near_duplicates(df).collect()} == {(k, k) for k in range(3000)}
+    assert sum(seen) == 0
