@@ -10,7 +10,9 @@ from collections.abc import Callable
 from dataclasses import replace
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,13 +20,31 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.kernels import arrange, codecs, geodesic, planar
 from tessera.kernels.codecs import G
-from tessera.types import Geo, GeoError, GeoType, check_same
+from tessera.types import DEPTH, Geo, GeoError, GeoType, check_same
 
 _EMPTY_POINT = "an empty point has no place"
 
 
+def _lists(values: pa.Array, depth: int, dim: str) -> list | None:
+    """Nested lists of vertex tuples from the buffers of lists of structs; None if something within is null."""
+    if not depth:
+        if values.null_count:
+            return None
+        axes = [values.field(k) for k in range(len(dim))]
+        return None if any(a.null_count for a in axes) else list(zip(*(a.to_numpy().tolist() for a in axes), strict=True))
+    flat = _lists(values.flatten(), depth - 1, dim)  # what null lists may hold is left out
+    if flat is None:
+        return None
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False)).tolist()
+    return [flat[i:j] for i, j in zip([0, *ends], ends)]
+
+
 def decode(values: pa.Array, t: GeoType) -> list[G | None]:
     """Arrow values of a geometry column as Python geometries."""
+    if t.native and t.kind != "point" and [f.name for f in _leaf(values.type)] == list(t.dim) and not any(x.null_count for x in _inner(values)):
+        rows = _lists(values, DEPTH[t.kind], t.dim)
+        if rows is not None:
+            return [G(t.kind, t.dim, v) if ok else None for v, ok in zip(rows, values.is_valid().to_pylist(), strict=True)]
     rows = values.to_pylist()
     if t.native or t.kind == "box":
         return [codecs.from_native(t.kind, t.dim, v) for v in rows]
@@ -32,8 +52,35 @@ def decode(values: pa.Array, t: GeoType) -> list[G | None]:
     return [None if v is None else read(v) for v in rows]
 
 
+def _leaf(t: pa.DataType) -> pa.DataType:
+    while pa.types.is_list(t) or pa.types.is_large_list(t):
+        t = t.value_type
+    return t
+
+
+def _inner(values: pa.Array) -> list[pa.Array]:
+    """The lists within lists."""
+    out = []
+    while pa.types.is_list(values.type) or pa.types.is_large_list(values.type):
+        values = values.flatten()
+        out.append(values)
+    return out
+
+
 def encode(rows: list[G | None], t: GeoType) -> pa.Array:
     """Python geometries as Arrow values of a geometry column."""
+    if t.native and t.kind != "point":
+        # level by level: how long each list is, then the vertices
+        level, offsets = [None if g is None else g.value for g in rows], []
+        for _ in range(DEPTH[t.kind]):
+            offsets.append(np.concatenate([[0], np.cumsum([0 if v is None else len(v) for v in level])]).astype(np.int32))
+            level = [x for v in level if v is not None for x in v]
+        axes = zip(*level, strict=True) if level else [[]] * len(t.dim)
+        out = pa.StructArray.from_arrays([pa.array(a, pa.float64()) for a in axes], list(t.dim))
+        for k in range(len(offsets) - 1, -1, -1):
+            nulls = pa.array([g is None for g in rows]) if k == 0 and None in rows else None
+            out = pa.ListArray.from_arrays(pa.array(offsets[k]), out, mask=nulls)
+        return out.cast(to_arrow_type(t.storage))
     if t.native:
         return pa.array([codecs.to_native(g) for g in rows], to_arrow_type(t.storage))
     write = codecs.to_wkt if t.kind == "wkt" else codecs.to_wkb
@@ -46,16 +93,27 @@ def _call(f: Callable[..., Any], out: T.DataType | GeoType, geos: list[Geo], oth
     n, kind = len(geos), out.storage if isinstance(out, GeoType) else out
     arrow = None if isinstance(out, GeoType) else to_arrow_type(out)
 
-    def run(*arrays: pa.Array) -> pa.Array:
+    def run(arrays: tuple[pa.Array, ...]) -> pa.Array:
         cols = [decode(a, t) for a, t in zip(arrays, types)] + [a.to_pylist() for a in arrays[n:]]
         rows = [None if any(v is None for v in row) else f(*row) for row in zip(*cols, strict=True)]
         return encode(rows, out) if isinstance(out, GeoType) else pa.array(rows, arrow)
 
-    names = [f"a{k}" for k in range(n + len(others))]
-    # a function of as many Arrow arrays as there are columns, as the type hints of arrow_udf ask for
-    space: dict[str, Any] = {"pa": pa, "run": run}
-    exec(f"def kernel({', '.join(f'{a}: pa.Array' for a in names)}) -> pa.Array:\n    return run({', '.join(names)})", space)  # noqa: S102
-    return F.arrow_udf(space["kernel"], kind)(*[g.column for g in geos], *others)
+    return F.arrow_udf(_of_arity(run, n + len(others)), kind)(*[g.column for g in geos], *others)
+
+
+def _of_arity(run: Callable[[tuple[pa.Array, ...]], pa.Array], n: int) -> Callable[..., pa.Array]:
+    """run as a function of one, two or three Arrow arrays, as the type hints of arrow_udf ask for."""
+
+    def one(a: pa.Array) -> pa.Array:
+        return run((a,))
+
+    def two(a: pa.Array, b: pa.Array) -> pa.Array:
+        return run((a, b))
+
+    def three(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        return run((a, b, c))
+
+    return (one, two, three)[n - 1]
 
 
 def _number(c: float | Column) -> Column:
@@ -172,11 +230,21 @@ def _pair(name: str, a: Geo, b: Geo, strict: bool) -> Column:
                 return True
             if not (name == "equals" and p is None and q is None):
                 return False
+        elif name in _HOLDS and not _holds(*((p, q) if name in ("contains", "covers", "equals") else (q, p)), name == "equals"):
+            return False
         return arrange.predicate(name, x, y)
 
     return _call(run, T.BooleanType(), [a, b])
 
 
+#: Predicates that need one box to hold the other.
+_HOLDS = {"contains", "covers", "within", "covered_by", "equals"}
+
+
+def _holds(p: tuple[float, ...], q: tuple[float, ...], same: bool) -> bool:
+    return p == q if same else p[0] <= q[0] and p[1] <= q[1] and p[2] >= q[2] and p[3] >= q[3]
+
+
 def _box(g: G) -> tuple[float, float, float, float] | None:
     ps = [p[:2] for p in codecs.vertices(g)]
     return (min(p[0] for p in ps), min(p[1] for p in ps), max(p[0] for p in ps), max(p[1] for p in ps)) if ps else None
@@ -234,8 +302,13 @@ def is_simple(g: Geo) -> Column:
     return _call(planar.is_simple, T.BooleanType(), [g])
 
 
-def is_simple_ring(g: Geo) -> Column:
-    """A closed line that does not meet itself."""
+def is_ring(g: Geo) -> Column:
+    """A closed line that does not meet itself. Native lines that are not closed are settled by an expression."""
+    if g.type.kind == "linestring":
+        from tessera.functions import native
+
+        closed = native.is_closed(g)
+        return F.when(closed, _call(planar.is_ring, T.BooleanType(), [Geo(F.when(closed, g.column), g.type)])).otherwise(closed)
     return _call(planar.is_ring, T.BooleanType(), [g])
 
 
@@ -318,10 +391,12 @@ def polylabel(g: Geo, tolerance: float) -> Geo:
     return Geo(_call(planar.polylabel, t, [g], [_number(tolerance)]), t)
 
 
-def buffer(g: Geo, distance: float | Column, quadrant_segments: int = 8) -> Geo:
-    """A multipolygon in x and y."""
+def buffer(g: Geo, distance: float | Column, quadrant_segments: int = 8, cap: str = "round", join: str = "round", mitre_limit: float = 5.0) -> Geo:
+    """A multipolygon in x and y. cap: round, flat or square; join: round, mitre or bevel."""
+    if cap not in planar.CAPS or join not in planar.JOINS:
+        raise GeoError(f"no such cap or join: {cap}, {join}")
     t = _xy(g.type, "multipolygon")
-    return Geo(_call(lambda x, d: planar.buffer(x, d, quadrant_segments), t, [g], [_number(distance)]), t)
+    return Geo(_call(lambda x, d: planar.buffer(x, d, quadrant_segments, cap, join, mitre_limit), t, [g], [_number(distance)]), t)
 
 
 def _simplified(f: Callable[[G, float], G], g: Geo, epsilon: float | Column) -> Geo:

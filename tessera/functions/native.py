@@ -231,8 +231,8 @@ def is_empty(g: Geo) -> Column:
     return F.size(coords(g)) == 0
 
 
-def is_ring(g: Geo) -> Column:
-    """A closed line of at least four vertices. (Whether it crosses itself: is_simple.)"""
+def is_closed(g: Geo) -> Column:
+    """A line of at least four vertices that ends where it starts. Whether it is a ring: kernel.is_ring."""
     c = _native(g, "linestring").column
     return F.when(c.isNotNull(), (F.size(c) >= 4) & (F.get(c, F.lit(0)) == F.get(c, F.size(c) - 1)))
 
@@ -546,9 +546,101 @@ def line_interpolate_point(line: Geo, fraction: Number) -> Geo:
 WEB_MERCATOR = math.pi * EQUATOR_RADIUS
 
 
+#: The ellipsoid WGS 84: flattening and third flattening; scale on a zone's meridian; its easting; the northing of the equator in the south.
+_F = 1 / 298.257223563
+_N = _F / (2 - _F)
+_K0, _EAST, _SOUTH = 0.9996, 500_000.0, 10_000_000.0
+#: Krueger's series in the third flattening to the sixth power, from the conformal sphere to the plane and back.
+_POWERS = [_N**k for k in range(7)]
+_RADIUS = EQUATOR_RADIUS / (1 + _N) * (1 + _POWERS[2] / 4 + _POWERS[4] / 64 + _POWERS[6] / 256)
+_series = lambda rows: [sum(c * _POWERS[k + j + 1] for k, c in enumerate(row)) for j, row in enumerate(rows)]
+_TO_PLANE = _series((
+    (1 / 2, -2 / 3, 5 / 16, 41 / 180, -127 / 288, 7891 / 37800), (13 / 48, -3 / 5, 557 / 1440, 281 / 630, -1983433 / 1935360), (61 / 240, -103 / 140, 15061 / 26880, 167603 / 181440),
+    (49561 / 161280, -179 / 168, 6601661 / 7257600), (34729 / 80640, -3418889 / 1995840), (212378941 / 319334400,),
+))
+_TO_SPHERE = _series((
+    (1 / 2, -2 / 3, 37 / 96, -1 / 360, -81 / 512, 96199 / 604800), (1 / 48, 1 / 15, -437 / 1440, 46 / 105, -1118711 / 3870720), (17 / 480, -37 / 840, -209 / 4480, 5569 / 90720),
+    (4397 / 161280, -11 / 504, -830251 / 7257600), (4583 / 161280, -108847 / 3991680), (20648693 / 638668800,),
+))
+
+
+def utm_zone(crs: str) -> tuple[int, bool] | None:
+    """Zone and whether it is in the south, of EPSG codes 32601 to 32660 and 32701 to 32760."""
+    code = crs.removeprefix("EPSG:")
+    ok = code.isdigit() and len(code) == 5 and code[:3] in ("326", "327") and 1 <= int(code[3:]) <= 60
+    return (int(code[3:]), code[2] == "7") if ok else None
+
+
+def _conformal(tau: Column) -> Column:
+    """The tangent of the conformal latitude from that of the latitude."""
+    e = math.sqrt(_F * (2 - _F))
+    root = F.sqrt(1 + tau * tau)
+    sigma = F.sinh(e * F.atanh(e * tau / root))
+    return tau * F.sqrt(1 + sigma * sigma) - sigma * root
+
+
+def _to_utm(zone: int, south: bool) -> list[Callable[[Column], dict[str, Column]]]:
+    """Steps from degrees to metres: angle from the meridian and conformal latitude, the sphere's transverse plane, the ellipsoid's."""
+
+    def plane(p: Column) -> dict[str, Column]:
+        return {"x": F.asinh(F.sin(p["x"]) / F.sqrt(p["y"] * p["y"] + F.cos(p["x"]) * F.cos(p["x"]))), "y": F.atan2(p["y"], F.cos(p["x"]))}
+
+    def metres(p: Column) -> dict[str, Column]:
+        east, north = p["x"], p["y"]
+        for k, a in enumerate(_TO_PLANE, 1):
+            east, north = east + a * F.cos(2 * k * p["y"]) * F.sinh(2 * k * p["x"]), north + a * F.sin(2 * k * p["y"]) * F.cosh(2 * k * p["x"])
+        return {"x": _EAST + _K0 * _RADIUS * east, "y": (_SOUTH if south else 0.0) + _K0 * _RADIUS * north}
+
+    return [lambda p: {"x": F.radians(p["x"] - (6 * zone - 183)), "y": _conformal(F.tan(F.radians(p["y"])))}, plane, metres]
+
+
+def _from_utm(zone: int, south: bool) -> list[Callable[[Column], dict[str, Column]]]:
+    e2 = _F * (2 - _F)
+
+    def sphere(p: Column) -> dict[str, Column]:
+        eta, xi = p["x"], p["y"]
+        for k, b in enumerate(_TO_SPHERE, 1):
+            eta, xi = eta - b * F.cos(2 * k * p["y"]) * F.sinh(2 * k * p["x"]), xi - b * F.sin(2 * k * p["y"]) * F.cosh(2 * k * p["x"])
+        return {"x": eta, "y": xi}
+
+    def nearer(tau: Column, t: Column) -> Column:
+        """A step of Newton's method."""
+        now = _conformal(tau)
+        return tau + (t - now) / F.sqrt(1 + now * now) * (1 + (1 - e2) * tau * tau) / ((1 - e2) * F.sqrt(1 + tau * tau))
+
+    return [
+        lambda p: {"x": (p["x"] - _EAST) / (_K0 * _RADIUS), "y": (p["y"] - (_SOUTH if south else 0.0)) / (_K0 * _RADIUS)},
+        sphere,
+        lambda p: {"x": F.atan2(F.sinh(p["x"]), F.cos(p["y"])), "y": F.sin(p["y"]) / F.sqrt(F.sinh(p["x"]) * F.sinh(p["x"]) + F.cos(p["y"]) * F.cos(p["y"]))},
+        lambda p: {"x": F.degrees(p["x"]) + (6 * zone - 183), "y": F.degrees(F.atan(F.aggregate(F.sequence(F.lit(1), F.lit(4)), p["y"], lambda now, _: nearer(now, p["y"]))))},
+    ]
+
+
+def _chained(steps: list[Callable[[Column], dict[str, Column]]]) -> Callable[[Column], dict[str, Column]]:
+    """One step after another; each names what the one before gives, so that it is computed once."""
+
+    def bound(items: Column, step: Callable[[Column], dict[str, Column]]) -> Column:
+        return F.transform(items, lambda v: F.struct(*[c.alias(a) for a, c in step(v).items()]))
+
+    def one(p: Column) -> dict[str, Column]:
+        items = F.array(F.struct(p["x"].alias("x"), p["y"].alias("y")))
+        for step in steps:
+            items = bound(items, step)
+        at = F.get(items, F.lit(0))
+        return {"x": at["x"], "y": at["y"]}
+
+    return one
+
+
 def reproject(g: Geo, source: str, target: str) -> Geo:
-    """Between EPSG:4326 and EPSG:3857; others are not supported."""
-    if (source, target) == ("EPSG:4326", "EPSG:3857"):
+    """Between EPSG:4326, EPSG:3857 and the UTM zones on WGS 84 (EPSG:32601 to 32660 north, 32701 to 32760 south), from any to any; others are not supported."""
+    if source == target:
+        return g
+    if utm_zone(source) or utm_zone(target):
+        if source != "EPSG:4326" and target != "EPSG:4326":
+            return reproject(reproject(g, source, "EPSG:4326"), "EPSG:4326", target)
+        out = map_coords(g, _chained(_to_utm(*utm_zone(target)) if utm_zone(target) else _from_utm(*utm_zone(source))))
+    elif (source, target) == ("EPSG:4326", "EPSG:3857"):
         out = map_coords(g, lambda p: {"x": F.radians(p["x"]) * EQUATOR_RADIUS, "y": F.log(F.tan(math.pi / 4 + F.radians(p["y"]) / 2)) * EQUATOR_RADIUS})
     elif (source, target) == ("EPSG:3857", "EPSG:4326"):
         out = map_coords(g, lambda p: {"x": F.degrees(p["x"] / EQUATOR_RADIUS), "y": F.degrees(2 * F.atan(F.exp(p["y"] / EQUATOR_RADIUS)) - math.pi / 2)})
@@ -557,6 +649,32 @@ def reproject(g: Geo, source: str, target: str) -> Geo:
     return Geo(out.column, out.type.with_crs(target, "authority_code"))
 
 
+# from flat vertices
+
+
+def _cut(items: Column, offsets: Column) -> Column:
+    at = lambda i: F.get(offsets, i)
+    cut = F.transform(F.sequence(F.lit(0), F.size(offsets) - 2), lambda i: F.slice(items, at(i) + 1, at(i + 1) - at(i)))
+    return F.when(F.size(offsets) >= 2, cut).otherwise(F.filter(F.array(items), lambda _: F.lit(False)))
+
+
+def from_offsets(kind: str, coords: Column, *offsets: Column) -> Column:
+    """An array of geometries from an array of vertices and offsets into it, for each row.
+
+    Points need no offsets; lines and multipoints one array (where each
+    geometry starts, and the end); polygons and multilines two: where each
+    geometry starts among the rings, then where each ring starts among the
+    vertices; multipolygons three. Null arrays give null, fewer than two
+    offsets no geometries.
+    """
+    if kind not in DEPTH or len(offsets) != DEPTH[kind]:
+        raise GeoError(f"{kind} with {len(offsets)} arrays of offsets")
+    out = coords
+    for o in reversed(offsets):
+        out = _cut(out, o.cast("array<int>"))
+    return out
+
+
 # single and multi-part
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tessera import functions as st
 from tessera.functions import kernel, native
-from tessera.kernels import arrange, geodesic, planar
+from tessera.kernels import arrange, codecs, geodesic, planar
 from tessera.kernels.codecs import G, from_wkt, to_wkt, vertices
-from tessera.types import GeoError, geo, geometry, linestring, multipolygon, point, polygon
+from tessera.types import DEPTH, GeoError, GeoType, geo, geometry, linestring, multipolygon, point, polygon
 from tests.shapes import TYPES, column
 from tests.shapes import from_wkt as frame
 
@@ -275,3 +275,82 @@ def test_user_functions(spark):
 
     df = column(spark, "polygon")
     assert values(df, kernel.unary(lambda g: len(list(vertices(g))), T.LongType(), geo(df))) == [5, 9, None, 0]
+
+
+def test_rings_cross_nowhere(spark):
+    df = frame(spark, [["LINESTRING (0 0, 2 2, 2 0, 0 2, 0 0)"], ["LINESTRING (0 0, 2 0, 2 2, 0 0)"], ["LINESTRING (0 0, 2 0, 2 2)"], ["LINESTRING (0 0, 2 0, 0 0)"], [None]], [linestring()])
+    rows = df.orderBy("i").select(native.is_closed(geo(df)).alias("c"), kernel.is_ring(geo(df)).alias("r")).collect()
+    assert [tuple(r) for r in rows] == [(True, False), (True, True), (False, False), (False, False), (None, None)]
+
+
+def test_utm(spark):
+    """A published place (the CN Tower in zone 17), and a zone's meridian at the equator, north and south."""
+    df = frame(spark, [["POINT (-79.387139 43.642567)"]], [point()])
+    assert tuple(df.select(native.reproject(geo(df), "EPSG:4326", "EPSG:32617").column.alias("p")).first().p) == pytest.approx((630084, 4833438), abs=1)
+    df = frame(spark, [["POINT (2.294481 48.858370)"], ["POINT (3 0)"], ["POINT (3 -33.9)"]], [point()])
+    north = native.reproject(geo(df), "EPSG:4326", "EPSG:32631")
+    at = [tuple(r.p) for r in df.orderBy("i").select(north.column.alias("p")).collect()]
+    assert at[1] == pytest.approx((500_000, 0), abs=1e-6)
+    south = native.reproject(geo(df), "EPSG:4326", "EPSG:32731")
+    assert [r.p.y for r in df.orderBy("i").select(south.column.alias("p")).collect()][1:] == pytest.approx([10_000_000, 10_000_000 + at[2][1]])
+    web = native.reproject(native.reproject(north, "EPSG:32631", "EPSG:3857"), "EPSG:3857", "EPSG:4326")
+    for r in df.select(geo(df).column.alias("a"), web.column.alias("b")).collect():
+        assert tuple(r.b) == pytest.approx(tuple(r.a), abs=1e-8)
+    assert web.type.crs == "EPSG:4326" and native.utm_zone("EPSG:32661") is None and native.utm_zone("EPSG:32760") == (60, True)
+
+
+def test_buffer_styles():
+    square, line = from_wkt("POLYGON ((0 0, 2 0, 2 2, 0 2, 0 0))"), from_wkt("LINESTRING (0 0, 2 0, 2 2)")
+    area = lambda g: sum(abs(arrange.ring_area2(r)) / 2 * (1 if k == 0 else -1) for p in g.value for k, r in enumerate(p))
+    assert area(planar.buffer(square, 0.5, join="mitre")) == pytest.approx(9)
+    assert area(planar.buffer(square, 0.5, join="bevel")) == pytest.approx(8.5)
+    assert area(planar.buffer(square, 0.5, join="mitre", mitre_limit=1.2)) == pytest.approx(8.5)
+    assert area(planar.buffer(square, -0.5, join="mitre")) == pytest.approx(1)
+    assert area(planar.buffer(line, 0.5, cap="flat", join="mitre")) == pytest.approx(4)
+    assert area(planar.buffer(line, 0.5, cap="square", join="bevel")) == pytest.approx(4.875)
+    assert area(planar.buffer(from_wkt("POINT (1 1)"), 1, cap="square")) == pytest.approx(4) and planar.buffer(from_wkt("POINT (1 1)"), 1, cap="flat").value == []
+
+
+def test_from_offsets(spark):
+    df = spark.sql("select transform(sequence(0, 7), i -> named_struct('x', get(array(0D, 1D, 1D, 0D, 5D, 6D, 6D, 5D), i), 'y', get(array(0D, 0D, 1D, 0D, 5D, 5D, 6D, 5D), i))) c, array(0, 1, 2) a, array(0, 4, 8) b, array(0) e")
+    lines = df.select(native.from_offsets("linestring", F.col("c"), F.col("b")).alias("v")).first().v
+    assert [len(x) for x in lines] == [4, 4]
+    polygons = df.select(native.from_offsets("polygon", F.col("c"), F.col("a"), F.col("b")).alias("v")).first().v
+    assert [[len(r) for r in p] for p in polygons] == [[4], [4]]
+    assert df.select(native.from_offsets("linestring", F.col("c"), F.col("e")).alias("v")).first().v == []
+    with pytest.raises(GeoError):
+        native.from_offsets("polygon", F.col("c"), F.col("b"))
+
+
+def test_batches_by_buffers():
+    """Decoding and encoding whole batches gives what rows give one by one."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    rng = random.Random(3)
+    make = lambda depth: [make(depth - 1) for _ in range(rng.randint(0, 3))] if depth else (rng.random(), rng.random(), rng.random())
+    for kind in ("linestring", "polygon", "multipoint", "multilinestring", "multipolygon"):
+        t = GeoType(kind, "xyz")
+        rows = [None if rng.random() < 0.2 else G(kind, "xyz", make(DEPTH[kind])) for _ in range(60)]
+        plain = pa.array([codecs.to_native(g) for g in rows], to_arrow_type(t.storage))
+        assert kernel.decode(plain, t) == rows and kernel.decode(plain.slice(7, 20), t) == rows[7:27]
+        assert kernel.encode(rows, t).equals(plain) and kernel.decode(kernel.encode([], t), t) == []
+
+
+def test_arrangement_in_integers_and_rationals():
+    """Where coordinates are too far apart for integers, rationals give the same."""
+    rng = random.Random(5)
+    for _ in range(60):
+        ring = lambda: (lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y)])(*(rng.uniform(0.1, 3) for _ in range(4)))
+        a, b = G("polygon", "xy", [ring()]), G("polygon", "xy", [ring()])
+        exact = [arrange.relate(a, b)] + [arrange.overlay(a, b, op) for op in ("intersection", "union", "difference", "sym_difference")]
+        far = [G("polygon", "xy", [[(x * 2.0**-400, y * 2.0**-400) for x, y in g.value[0]]]) for g in (a, b)]
+        assert arrange.scale_of(*far) is None and arrange.relate(*far) == exact[0]
+        assert arrange.scale_of(a, b) is not None
+    rect = lambda x, y, w, h: G("polygon", "xy", [[(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]])
+    for _ in range(200):
+        a, b = (rect(*(float(rng.randint(0, 4)) for _ in range(2)), *(float(rng.randint(1, 3)) for _ in range(2))) for _ in range(2))
+        m = arrange.relate(a, b)
+        for name, patterns in arrange.PATTERNS.items():
+            assert arrange.predicate(name, a, b) == (any(arrange.matches(m, p) for p in patterns) != (name == "intersects"))
+        assert arrange.predicate("overlaps", a, b) == arrange.matches(m, "T*T***T**") and not arrange.predicate("crosses", a, b)
