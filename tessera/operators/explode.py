@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import native
 from tessera.kernels.codecs import G
-from tessera.types import SINGLE, Geo, geo
+from tessera.types import SINGLE, Geo, GeoType, geo
 
 
 def explode(df: DataFrame, name: str | None = None, index: str | None = None) -> DataFrame:
@@ -31,9 +32,16 @@ def explode(df: DataFrame, name: str | None = None, index: str | None = None) ->
 
         t = replace(g.type, kind="geometry") if g.type.kind != "wkb" else g.type
         parts = unary(_parts, T.ArrayType(T.BinaryType()), g)
-    out = df.select(*others, F.posexplode_outer(parts).alias(index or "_place", name))
-    out = out.withColumn(name, Geo(F.col(f"`{name}`"), t).alias(name))
-    return out if index else out.drop("_place")
+    one = F.explode_outer(parts).alias(name) if index is None else F.posexplode_outer(parts).alias(index, name)
+    out = df.select(*others, one)
+    return out.withColumn(name, Geo(F.col(f"`{name}`"), t).alias(name))
+
+
+def geometries(df: DataFrame, name: str, kind: str, coords: Column, *offsets: Column, dim: str = "xy") -> DataFrame:
+    """df with a row and a geometry column name for each geometry that native.from_offsets makes; rows without any stay, as null."""
+    items = native.from_offsets(kind, coords, *offsets)
+    out = df.select("*", F.explode_outer(items).alias(name))
+    return out.withColumn(name, Geo(F.col(f"`{name}`"), GeoType(kind, dim)).alias(name))
 
 
 def _parts(g: G) -> list[bytes]:

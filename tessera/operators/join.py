@@ -18,21 +18,41 @@ from pyspark.sql import functions as F
 
 from tessera import functions as st
 from tessera.functions import native
-from tessera.types import Geo, GeoError, geo
+from tessera.types import Geo, GeoError, free_name, geo
 
 Predicate = Callable[[Geo, Geo], Column]
 
 
+#: Rows of the right side that a cell should hold where they lie closest.
+CELL_ROWS = 64
 
-def cell_size(df: DataFrame, g: Geo, per_side: int = 256) -> float:
-    """A cell's width: the average box's, but the grid has at most per_side cells a side. One pass that gives five numbers."""
+
+def cell_size(df: DataFrame, g: Geo, rows: int = CELL_ROWS) -> float:
+    """A cell's width: as wide as the average box, or, for boxes that are small for how close they lie, as holds some rows where they lie closest.
+
+    A few passes that give some numbers: the extent, and how many rows the
+    average row shares its cell with, in a coarse grid and in finer ones while
+    these are many. There is no least share of the extent: a town in a world
+    table has cells of its own size.
+    """
     b = native.bounding_rect(g).column
-    s = df.agg(F.min(b["xmin"]), F.max(b["xmax"]), F.min(b["ymin"]), F.max(b["ymax"]), F.avg(F.greatest(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"]))).first()
+    s = df.agg(F.min(b["xmin"]), F.max(b["xmax"]), F.min(b["ymin"]), F.max(b["ymax"]), F.avg(F.greatest(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"])), F.count(b)).first()
     if s[0] is None:
         return 1.0
-    span = max(s[1] - s[0], s[3] - s[2])
-    size = max(s[4], span / per_side)
-    return size if size > 0 and math.isfinite(size) else 1.0
+    span, mean, n = max(s[1] - s[0], s[3] - s[2]), s[4], s[5]
+    if not (span > 0 and math.isfinite(span)):
+        return 1.0
+    size = max(mean, span / 256)
+    for _ in range(3):  # finer cells show where rows lie closer still
+        if not (size > mean and n > rows):
+            break
+        # how many rows the average row has in its cell
+        full = df.filter(b["xmin"].isNotNull()).groupBy(F.floor(b["xmin"] / size).alias("x"), F.floor(b["ymin"] / size).alias("y")).agg(F.count("*").alias("n"))
+        close = full.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0]
+        if close <= 2 * rows:
+            break
+        size = max(mean, size / math.sqrt(close / rows))
+    return size if size > 0 else span
 
 
 def _levels(width: Column, size: float, levels: int) -> Column:
@@ -48,16 +68,16 @@ def _cells(b: Column, size: float, level: Column) -> Column:
     return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
 
 
-def _dealt(df: DataFrame, b: Column, prefix: str, size: float, grow: float = 0.0) -> DataFrame:
+def _dealt(df: DataFrame, b: Column, name: str, grow: float = 0.0) -> DataFrame:
     box = F.struct((b["xmin"] - grow).alias("xmin"), (b["ymin"] - grow).alias("ymin"), (b["xmax"] + grow).alias("xmax"), (b["ymax"] + grow).alias("ymax"))
-    return df.withColumn(f"_{prefix}box", F.when(b.isNotNull(), box)).filter(F.col(f"_{prefix}box").isNotNull())
+    return df.withColumn(f"{name}box", F.when(b.isNotNull(), box)).filter(F.col(f"{name}box").isNotNull())
 
 
 #: Input of fewer bytes a core is dealt to all cores before pairs are tested; larger input has tasks enough.
 SPREAD_BYTES = 4 << 20
 
 
-def _spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """df over all cores if it is small: a small file is one task, but its pairs may be much work."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -76,35 +96,36 @@ def candidates(left: DataFrame, left_geo: Geo, right: DataFrame, right_geo: Geo,
     if clash:
         raise GeoError(f"rename columns that both sides have: {', '.join(sorted(clash))}")
     size = size or cell_size(right, right_geo)
-    a = _dealt(_spread(left), native.bounding_rect(left_geo).column, "l", size, grow)
-    b = _dealt(right, native.bounding_rect(right_geo).column, "r", size)
+    l, r = (f"{free_name(left, right)}{side}" for side in "lr")  # noqa: E741
+    a = _dealt(spread(left), native.bounding_rect(left_geo).column, l, grow)
+    b = _dealt(right, native.bounding_rect(right_geo).column, r)
     width = lambda c: F.greatest(c["xmax"] - c["xmin"], c["ymax"] - c["ymin"])
-    own_a, own_b = _levels(width(F.col("_lbox")), size, 40), _levels(width(F.col("_rbox")), size, 40)
+    p, q = F.col(f"{l}box"), F.col(f"{r}box")
+    own_a, own_b = _levels(width(p), size, 40), _levels(width(q), size, 40)
     # a pair meets at the level of the wider of the two
     # points are as wide as the first level; for others one job tells which of the 40 levels occur
     sides = [d.select(own.alias("k")) for d, own, g in ((a, own_a, left_geo), (b, own_b, right_geo)) if g.type.kind != "point" or (grow and g is left_geo)]
-    levels = sorted({0} | {r[0] for d in [sides[0].unionAll(sides[-1])] for r in d.distinct().collect()}) if sides else [0]
+    levels = sorted({0} | {x[0] for d in [sides[0].unionAll(sides[-1])] for x in d.distinct().collect()}) if sides else [0]
     every = F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")
 
     def deal(d: DataFrame, own: Column, name: str, is_point: bool) -> DataFrame:
-        d = d.withColumn(f"_{name}own", F.lit(0) if is_point else own)
+        d = d.withColumn(f"{name}own", F.lit(0) if is_point else own)
         if levels == [0]:
-            d = d.withColumn(f"_{name}level", F.lit(0))
+            d = d.withColumn(f"{name}level", F.lit(0))
         else:
-            d = d.withColumn(f"_{name}level", F.explode(F.filter(every, lambda k: k >= F.col(f"_{name}own"))))
+            d = d.withColumn(f"{name}level", F.explode(F.filter(every, lambda k: k >= F.col(f"{name}own"))))
         if is_point:  # a point is in one cell of a level
-            w = F.lit(size) * F.pow(F.lit(2.0), F.col(f"_{name}level"))
-            return d.withColumn(f"_{name}x", F.floor(F.col(f"_{name}box.xmin") / w).cast("long")).withColumn(f"_{name}y", F.floor(F.col(f"_{name}box.ymin") / w).cast("long"))
-        d = d.withColumn("_c", F.explode(_cells(F.col(f"_{name}box"), size, F.col(f"_{name}level"))))
-        return d.withColumn(f"_{name}x", F.col("_c.cx")).withColumn(f"_{name}y", F.col("_c.cy")).drop("_c")
-
-    a, b = deal(a, own_a, "l", left_geo.type.kind == "point" and not grow), deal(b, own_b, "r", right_geo.type.kind == "point")
-    joined = a.join(b, (F.col("_llevel") == F.col("_rlevel")) & (F.col("_lx") == F.col("_rx")) & (F.col("_ly") == F.col("_ry")))
-    p, q = F.col("_lbox"), F.col("_rbox")
-    w = F.lit(size) * F.pow(F.lit(2.0), F.col("_llevel"))
-    first = (F.floor(F.greatest(p["xmin"], q["xmin"]) / w) == F.col("_lx")) & (F.floor(F.greatest(p["ymin"], q["ymin"]) / w) == F.col("_ly"))
+            w = F.lit(size) * F.pow(F.lit(2.0), F.col(f"{name}level"))
+            return d.withColumn(f"{name}x", F.floor(F.col(f"{name}box.xmin") / w).cast("long")).withColumn(f"{name}y", F.floor(F.col(f"{name}box.ymin") / w).cast("long"))
+        d = d.withColumn(f"{name}c", F.explode(_cells(F.col(f"{name}box"), size, F.col(f"{name}level"))))
+        return d.withColumn(f"{name}x", F.col(f"{name}c.cx")).withColumn(f"{name}y", F.col(f"{name}c.cy"))
+
+    a, b = deal(a, own_a, l, left_geo.type.kind == "point" and not grow), deal(b, own_b, r, right_geo.type.kind == "point")
+    joined = a.join(b, (F.col(f"{l}level") == F.col(f"{r}level")) & (F.col(f"{l}x") == F.col(f"{r}x")) & (F.col(f"{l}y") == F.col(f"{r}y")))
+    w = F.lit(size) * F.pow(F.lit(2.0), F.col(f"{l}level"))
+    first = (F.floor(F.greatest(p["xmin"], q["xmin"]) / w) == F.col(f"{l}x")) & (F.floor(F.greatest(p["ymin"], q["ymin"]) / w) == F.col(f"{l}y"))
     overlap = (p["xmax"] >= q["xmin"]) & (p["ymax"] >= q["ymin"]) & (p["xmin"] <= q["xmax"]) & (p["ymin"] <= q["ymax"])
-    out = joined.filter((F.col("_llevel") == F.greatest("_lown", "_rown")) & overlap & first)
+    out = joined.filter((F.col(f"{l}level") == F.greatest(f"{l}own", f"{r}own")) & overlap & first)
     return out.select(*[F.col(f"`{c}`") for c in (*left.columns, *right.columns)])
 
 
@@ -120,16 +141,17 @@ def spatial_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
     and empty geometries match nothing.
     """
     test = predicate if callable(predicate) else {"intersects": st.intersects, "contains": st.contains, "within": st.within}.get(predicate) or getattr(st.kernel, predicate)
+    row = f"{free_name(left, right)}row"
     if how != "inner":
-        left = left.withColumn("_row", F.monotonically_increasing_id())
+        left = left.withColumn(row, F.monotonically_increasing_id())
     pairs = candidates(left, _named(left, left_on), right, _named(right, right_on), size)
     hits = pairs.filter(test(_typed(pairs, left, left_on), _typed(pairs, right, right_on)))
     if how == "inner":
         return hits
     if how == "left":
-        return left.join(hits.select("_row", *[F.col(f"`{c}`") for c in right.columns]), "_row", "left").drop("_row")
+        return left.join(hits.select(row, *[F.col(f"`{c}`") for c in right.columns]), row, "left").drop(row)
     if how in ("semi", "anti"):
-        return left.join(hits.select("_row").distinct(), "_row", f"left_{how}").drop("_row")
+        return left.join(hits.select(row).distinct(), row, f"left_{how}").drop(row)
     raise GeoError(f"unknown kind of join {how!r}")
 
 
@@ -140,6 +162,8 @@ def _typed(df: DataFrame, source: DataFrame, name: str) -> Geo:
 def distance_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, radius: float, size: float | None = None) -> DataFrame:
     """Pairs at most radius apart, with their distance."""
     pairs = candidates(left, _named(left, left_on), right, _named(right, right_on), size, radius)
+    if "distance" in pairs.columns:
+        raise GeoError("rename the column distance: the result has one")
     return pairs.withColumn("distance", st.distance(_typed(pairs, left, left_on), _typed(pairs, right, right_on))).filter(F.col("distance") <= radius)
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.types import free_name
+
 
 def take(df: DataFrame, place: str, indices: DataFrame, index: str) -> DataFrame:
     """A row for each row of indices: the row of df whose column place equals index. A null index, and one that is not there, gives nulls; places must be unique. indices' other columns stay."""
-    key = "_take_place"
+    key = f"{free_name(df, indices)}place"
     return indices.join(df.withColumnRenamed(place, key), F.col(index) == F.col(key), "left").drop(key)
 
 
@@ -19,4 +21,6 @@ def take_range(df: DataFrame, place: str, start: int, stop: int) -> DataFrame:
 
 def rechunk(df: DataFrame, place: str, rows: int) -> DataFrame:
     """df with a column chunk, dealt so that rows of one chunk of so many places are in one task."""
+    if "chunk" in df.columns:
+        raise ValueError("rename the column chunk: the result has one")
     return df.withColumn("chunk", F.floor(F.col(place) / rows).cast("long")).repartition("chunk")

@@ -200,3 +200,11 @@ def with_type(df: DataFrame, name: str, kind: GeoType) -> DataFrame:
 def check_same(a: Geo, b: Geo) -> None:
     if not a.type.same_reference(b.type):
         raise GeoError("the geometries have different coordinate reference systems or edges")
+
+
+def free_name(*dfs: DataFrame) -> str:
+    """What no column's name of these starts with, whatever its case."""
+    taken, name = [c.lower() for df in dfs for c in df.columns], "_t"
+    while any(c.startswith(name) for c in taken):
+        name += "_"
+    return name
