@@ -1,9 +1,12 @@
 """FlatGeobuf files: reading with an index search by box, and writing with a packed index.
 
 The file is magic bytes, a header, an optional packed R-tree and features,
-header and features being flatbuffers. Files are read by a Python data source,
-a partition for each file, or for each run of features where the index tells
-their places; a box searches the index first.
+header and features being flatbuffers. Files are read by a Python data source.
+A file with an index is read in runs of features, each a partition, which
+finds the places of its features in its part of the index's leaves. For a box
+the driver reads one upper level of the index, some thousand nodes at most,
+and only runs below nodes that meet the box become partitions. A file without
+an index is one partition.
 """
 
 from __future__ import annotations
@@ -12,9 +15,11 @@ import json
 import math
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +29,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.functions import kernel
 from tessera.kernels.codecs import G, from_wkb, to_wkb, vertices
-from tessera.sources.geoparquet import _arrow_fs, _Done
-from tessera.sources.paths import delete, exists, list_files
+from tessera.sources.geoparquet import THREADS, _arrow_fs, _Done
+from tessera.sources.paths import delete, exists, list_files, read_range
 from tessera.types import KINDS, Geo, GeoError, GeoType, geo, geometry_columns
 
 MAGIC = b"fgb\x03fgb\x00"
@@ -149,6 +154,10 @@ class Builder:
 # header
 
 
+def _columns(tables: list[Table]) -> list[tuple[str, str, bool]]:
+    return [(c.text(0), COLUMN_TYPES[c.number(1, "B")], bool(c.number(7, "?", True))) for c in tables]
+
+
 @dataclass
 class Header:
     name: str | None
@@ -172,7 +181,7 @@ class Header:
         t = Table.root(data[12 : 12 + size])
         kind = t.number(2, "B")
         dim = "xy" + "z" * bool(t.number(3, "?", False)) + "m" * bool(t.number(4, "?", False))
-        columns = [(c.text(0), COLUMN_TYPES[c.number(1, "B")], bool(c.number(7, "?", True))) for c in t.tables(7)]
+        columns = _columns(t.tables(7))
         crs, c = None, t.table(10)
         if c is not None:
             crs = c.text(4) or (f"{c.text(0) or 'EPSG'}:{c.number(1, 'i')}" if c.number(1, "i") else None)
@@ -346,9 +355,41 @@ def _write_properties(row: dict, columns: list[tuple[str, str]]) -> bytes:
 # the data source
 
 
+#: Features of a partition; nodes of the index that the driver looks at; bytes that a scan for columns reads at a time.
+RUN, NODES, SCAN_BYTES = 50_000, 4096, 1 << 20
+_LEAF = np.dtype([("x0", "<f8"), ("y0", "<f8"), ("x1", "<f8"), ("y1", "<f8"), ("offset", "<u8")])
+
+
 @dataclass
-class _File(InputPartition):
+class _Run(InputPartition):
+    """Features from first up to but without last by the index; all of the file's if last is 0."""
+
     path: str
+    first: int
+    last: int
+
+
+def runs(spark: SparkSession, path: str, header: Header, box: list[float] | None) -> list[tuple[str, int, int]]:
+    """The runs of features to be read, those aside that an upper level of the index shows to miss the box."""
+    if not header.index_size:
+        return [(path, 0, 0)]
+    spans = [(0, header.count)]
+    if box is not None:
+        sizes = _levels(header.count, header.node_size)
+        level = next(k for k, n in enumerate(sizes) if n <= NODES)
+        nodes = np.frombuffer(read_range(spark, path, header.end + _LEAF.itemsize * sum(sizes[level + 1 :]), _LEAF.itemsize * sizes[level]), _LEAF)
+        under = header.node_size**level
+        spans = []
+        for k in np.flatnonzero(_meet(nodes, box)).tolist():
+            if spans and spans[-1][1] == k * under:
+                spans[-1] = (spans[-1][0], min((k + 1) * under, header.count))
+            else:
+                spans.append((k * under, min((k + 1) * under, header.count)))
+    return [(path, a, min(a + RUN, z)) for first, z in spans for a in range(first, z, RUN)]
+
+
+def _meet(nodes: np.ndarray, box: list[float]) -> np.ndarray:
+    return (nodes["x1"] >= box[0]) & (nodes["y1"] >= box[1]) & (nodes["x0"] <= box[2]) & (nodes["y0"] <= box[3])
 
 
 class _Reader(DataSourceReader):
@@ -356,9 +397,11 @@ class _Reader(DataSourceReader):
         self.options, self.wanted = options, schema
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in json.loads(self.options["files"])]
+        return [_Run(*r) for r in json.loads(self.options["runs"])] or [_Run("", 0, 0)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        if not partition.path:
+            return
         fs, path = _arrow_fs(partition.path)
         box = json.loads(self.options.get("bbox", "null"))
         batch_size = int(self.options.get("batch_size", 65536))
@@ -370,16 +413,22 @@ class _Reader(DataSourceReader):
                 raise GeoError(f"{path} is not FlatGeobuf")
             header = Header.parse(head + f.read(struct.unpack_from("<I", head, 8)[0]))
             first = header.end + header.index_size
-            offsets = None
-            if box is not None and header.index_size:
-                offsets = search(f.read(header.index_size), header.count, header.node_size, tuple(box))
-            else:
-                f.seek(first)
+            offsets, left = None, math.inf
+            if partition.last:
+                f.seek(first - _LEAF.itemsize * (header.count - partition.first))
+                leaves = np.frombuffer(f.read(_LEAF.itemsize * (partition.last - partition.first)), _LEAF)
+                if box is not None:
+                    offsets = np.sort(leaves["offset"][_meet(leaves, box)]).tolist()
+                else:  # features follow each other in the order of the leaves
+                    left = len(leaves)
+                    first += int(leaves["offset"].min())
+            f.seek(first)
             rows: list[dict] = []
-            at = {c[0]: k for k, c in enumerate(header.columns)}
             want = [n for n in schema.names if n != name]
+            own, known = not header.columns, set(json.loads(self.options.get("scanned", "[]")))
             todo = iter(offsets) if offsets is not None else None
-            while True:
+            while left > 0:
+                left -= 1
                 if todo is not None:
                     nxt = next(todo, None)
                     if nxt is None:
@@ -393,8 +442,11 @@ class _Reader(DataSourceReader):
                 g = _read_geometry(shape, header.kind, header.dim) if shape is not None and (name in schema.names or box is not None) else None
                 if box is not None and offsets is None and not _meets(g, box):
                     continue
-                p = _read_properties(t.raw(1), header.columns)
-                row = {n: p.get(at[n]) for n in want}
+                columns = _columns(t.tables(2)) if own else header.columns
+                if own and (new := {c[0] for c in columns} - known):
+                    raise GeoError(f"columns beyond those of the first records: {', '.join(sorted(new))}; raise max_scan_records")
+                p = {columns[k][0]: v for k, v in _read_properties(t.raw(1), columns).items()}
+                row = {n: p.get(n) for n in want}
                 if name in schema.names:
                     row[name] = None if g is None else to_wkb(g)
                 rows.append(row)
@@ -432,12 +484,46 @@ def read_header(spark: SparkSession, path: str) -> Header:
     return Header.parse(read_bytes(spark, path, 12 + size))
 
 
-def read_flatgeobuf(spark: SparkSession, paths: str | list[str], bbox: tuple[float, float, float, float] | None = None, columns: list[str] | None = None, read_geometry: bool = True, batch_size: int = 65536, geometry_name: str = "geometry") -> DataFrame:
-    """The features of files whose headers agree. bbox searches each file's index, or looks at each feature where there is none."""
+def scan_columns(spark: SparkSession, path: str, header: Header, max_scan_records: int | None = 1000) -> list[tuple[str, str, bool]]:
+    """The columns that the first records name for themselves, in order; all records if max_scan_records is None. A column of two types raises."""
+    found: dict[str, tuple[str, str, bool]] = {}
+    at, data, n = header.end + header.index_size, b"", 0
+    while max_scan_records is None or n < max_scan_records:
+        size = struct.unpack_from("<I", data)[0] if len(data) >= 4 else None
+        if size is None or len(data) < 4 + size:
+            more = read_range(spark, path, at, max(SCAN_BYTES, 0 if size is None else size))
+            if not more:
+                break
+            data, at = data + more, at + len(more)
+            continue
+        for c in _columns(Table.root(data[4 : 4 + size]).tables(2)):
+            if found.setdefault(c[0], c)[1] != c[1]:
+                raise GeoError(f"records differ in the type of {c[0]}")
+        data, n = data[4 + size :], n + 1
+    return list(found.values())
+
+
+def read_flatgeobuf(
+    spark: SparkSession, paths: str | list[str], bbox: tuple[float, float, float, float] | None = None, columns: list[str] | None = None, read_geometry: bool = True, batch_size: int = 65536, geometry_name: str = "geometry", max_scan_records: int | None = 1000
+) -> DataFrame:
+    """The features of files whose headers agree. bbox searches each file's index, or looks at each feature where there is none.
+
+    Where headers name no columns, the first max_scan_records records of each
+    file do (None: all of them).
+    """
     files = list_files(spark, paths, ".fgb")
     if not files:
         raise GeoError("no FlatGeobuf files")
-    headers = [read_header(spark, f) for f in files]
+    with ThreadPoolExecutor(min(THREADS, len(files))) as pool:
+        headers = list(pool.map(lambda f: read_header(spark, f), files))
+    scanned: list[str] = []
+    if not any(h.columns for h in headers):
+        found: dict[str, tuple[str, str, bool]] = {}
+        for f, h in zip(files, headers, strict=True):
+            for c in scan_columns(spark, f, h, max_scan_records):
+                if found.setdefault(c[0], c)[1] != c[1]:
+                    raise GeoError(f"files differ in the type of {c[0]}")
+        headers, scanned = [replace(h, columns=list(found.values())) for h in headers], list(found)
     first = headers[0]
     for h in headers[1:]:
         if (h.columns, h.kind, h.dim, h.crs) != (first.columns, first.kind, first.dim, first.crs):
@@ -447,9 +533,11 @@ def read_flatgeobuf(spark: SparkSession, paths: str | list[str], bbox: tuple[flo
         raise GeoError(f"no such columns: {', '.join(sorted(missing))}")
     spark.dataSource.register(FlatGeobufSource)
     schema = first.schema(geometry_name, columns, read_geometry)
-    options = {"files": json.dumps(files), "schema": schema.json(), "batch_size": str(batch_size), "geometry_name": geometry_name}
-    if bbox is not None:
-        options["bbox"] = json.dumps([min(bbox[0], bbox[2]), min(bbox[1], bbox[3]), max(bbox[0], bbox[2]), max(bbox[1], bbox[3])])
+    box = None if bbox is None else [min(bbox[0], bbox[2]), min(bbox[1], bbox[3]), max(bbox[0], bbox[2]), max(bbox[1], bbox[3])]
+    parts = [r for f, h in zip(files, headers, strict=True) for r in runs(spark, f, h, box)]
+    options = {"runs": json.dumps(parts), "schema": schema.json(), "batch_size": str(batch_size), "geometry_name": geometry_name, "scanned": json.dumps(scanned)}
+    if box is not None:
+        options["bbox"] = json.dumps(box)
     df = spark.read.format("tessera_flatgeobuf").options(**options).load()
     if read_geometry:
         t = first.type()
@@ -572,4 +660,4 @@ def write_flatgeobuf(df: DataFrame, path: str, name: str = "layer", index: bool
         kind = "multi" + kind
     plan = {"geometry": names[0], "columns": columns, "kind": kind, "dim": g.type.dim, "multi": promote_to_multi, "index": index, "name": name, "crs": g.type.crs, "title": title, "description": description, "metadata": metadata}
     spark.dataSource.register(FlatGeobufSource)
-    out.write.format("tessera_flatgeobuf").mode("append").options(path=path, plan=json.dumps(plan), job=uuid.uuid4().hex[:8], schema=out.schema.json(), files="[]").save()
+    out.write.format("tessera_flatgeobuf").mode("append").options(path=path, plan=json.dumps(plan), job=uuid.uuid4().hex[:8], schema=out.schema.json(), runs="[]").save()

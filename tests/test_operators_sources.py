@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import kernel, native
 from tessera.operators.explode import explode
-from tessera.operators.join import candidates, distance_join, spatial_join
+from tessera.operators.join import candidates, cell_size, distance_join, spatial_join
 from tessera.sources import flatgeobuf, geoparquet, shapefile, text
 from tessera.streaming.geofence import fence_counts, in_fences
 from tessera.types import Geo, GeoError, geo, geometry, multilinestring, multipolygon, point, polygon
@@ -270,3 +270,128 @@ def test_fences_over_a_stream(spark, tmp_path):
     finally:
         q.stop()
     assert got == {("00", 0): 2, ("00", 1): 1, ("01", 1): 1}
+
+
+def test_join_keeps_columns_of_any_name(spark):
+    left = frame(spark, [["POINT (1 1)"], ["POINT (9 9)"], ["POINT (5 5)"]], [point()]).withColumnsRenamed({"i": "a"})
+    for c in ("_lbox", "_row", "_c", "_llevel", "_tl", "_TLbox", "_t_row"):
+        left = left.withColumn(c, F.concat(F.lit(c), F.col("a")))
+    zones = frame(spark, [["POLYGON ((0 0, 0 6, 6 6, 6 0, 0 0))"]], [polygon()]).withColumnsRenamed({"i": "z", "g0": "zone"}).withColumn("_rbox", F.lit("r"))
+    inner = spatial_join(left, zones, "g0", "zone", "within")
+    assert inner.columns == [*left.columns, *zones.columns]
+    assert sorted((r.a, r._lbox, r._row, r._c, r._rbox) for r in inner.collect()) == [(k, f"_lbox{k}", f"_row{k}", f"_c{k}", "r") for k in (0, 2)]
+    for how, want in (("semi", [0, 2]), ("anti", [1]), ("left", [0, 1, 2])):
+        out = spatial_join(left, zones, "g0", "zone", "within", how)
+        assert out.columns[: len(left.columns)] == left.columns and sorted((r.a, r._row) for r in out.collect()) == [(k, f"_row{k}") for k in want]
+    parts = explode(left.withColumn("_place", F.lit(7)), "g0")
+    assert {r._place for r in parts.collect()} == {7}
+
+
+def test_cells_fit_where_rows_lie_close(spark):
+    """A town in a world table: pairs that are tested stay near those that hit."""
+    rng = random.Random(12)
+    place = lambda: (rng.uniform(10, 11), rng.uniform(50, 51)) if rng.random() < 0.9 else (rng.uniform(-180, 180), rng.uniform(-90, 90))
+    boxes = spark.createDataFrame([(k, *place()) for k in range(3000)], "z long, x double, y double").select("z", native.box_to_polygon(native.make_box(F.col("x"), F.col("y"), F.col("x") + 0.001, F.col("y") + 0.001)).alias("zone"))
+    size = cell_size(boxes, geo(boxes, "zone"))
+    assert 0.001 <= size < 0.3
+    points = spark.createDataFrame([(k, *place()) for k in range(6000)], "a long, x double, y double").select("a", native.make_point(F.col("x"), F.col("y")).alias("g"))
+    cells = lambda df, x, y: df.groupBy(F.floor(x / size).alias("cx"), F.floor(y / size).alias("cy")).agg(F.count("*").alias("n"))
+    a, b = cells(points, F.col("g.x"), F.col("g.y")), cells(boxes, F.col("zone")[0][0]["x"], F.col("zone")[0][0]["y"])
+    tested = a.withColumnRenamed("n", "m").join(b, ["cx", "cy"]).agg(F.sum(F.col("m") * F.col("n"))).first()[0]
+    assert tested <= 100 * 6000  # 16 million if the town were one cell
+    hits = spatial_join(points, boxes, "g", "zone", "intersects")
+    assert hits.count() == spatial_join(points, boxes, "g", "zone", "intersects", size=0.001).count()
+
+
+def test_geoparquet_parts_of_different_kinds(spark, tmp_path):
+    df = frame(spark, [["POINT (1 4)"], ["POLYGON ((0 0, 0 6, 6 6, 6 0, 0 0))"], ["LINESTRING (7 8, 9 9)"], [None]], [geometry()])
+    path = str(tmp_path / "g")
+    geoparquet.write_geoparquet(df.repartitionByRange(4, "i"), path, generate_covering=True)
+    d = geoparquet.GeoParquetDataset.open(spark, path)
+    assert len(d.files) == 4 and d.meta.columns["g0"]["geometry_types"] == ["LineString", "Point", "Polygon"] and d.meta.columns["g0"]["bbox"] == [0, 0, 9, 9]
+    back = d.read()
+    assert [r.w for r in back.orderBy("i").select(kernel.to_wkt(geo(back, "g0")).column.alias("w")).collect()] == ["POINT (1 4)", "POLYGON ((0 0, 0 6, 6 6, 6 0, 0 0))", "LINESTRING (7 8, 9 9)", None]
+    assert [r.i for r in d.read(bbox=(6.5, 7, 10, 10)).collect()] == [2]
+
+
+@pytest.mark.parametrize("encoding", ["WKB", "native"])
+def test_geoparquet_without_rows(spark, tmp_path, encoding):
+    df = frame(spark, [["POINT (1 4)"]], [point()])
+    path = str(tmp_path / "g")
+    geoparquet.write_geoparquet(df.filter("i > 5"), path, encoding, generate_covering=True)
+    back = geoparquet.read_geoparquet(spark, path)
+    assert back.count() == 0 and set(df.columns) < set(back.columns) and geoparquet.GeoParquetDataset.open(spark, path).num_rows == 0
+    # tasks without rows leave no files beside those with rows
+    path = str(tmp_path / "h")
+    geoparquet.write_geoparquet(df.repartition(5), path, encoding)
+    assert len(geoparquet.GeoParquetDataset.open(spark, path).files) == 1
+
+
+def test_addresses_for_tasks():
+    from tessera.sources.paths import arrow_uri
+
+    assert [arrow_uri(p) for p in ("s3a://b/x", "s3://b/x", "abfss://c@a/x", "hdfs://h:9/x", "/a/b", "file:/a/b", "file:///a/b")] == ["s3://b/x", "s3://b/x", "abfss://c@a/x", "hdfs://h:9/x", "file:///a/b", "file:///a/b", "file:///a/b"]
+
+
+def test_flatgeobuf_runs(spark, tmp_path, monkeypatch):
+    """Files in runs of a few features; a box leaves most out, by an upper level of the index."""
+    rng = random.Random(16)
+    pts = [(rng.uniform(0, 10), rng.uniform(0, 10)) for _ in range(900)]
+    df = frame(spark, [[f"POINT ({x} {y})"] for x, y in pts], [point()])
+    path = str(tmp_path / "f")
+    flatgeobuf.write_flatgeobuf(df.coalesce(1), path)
+    monkeypatch.setattr(flatgeobuf, "RUN", 50)
+    monkeypatch.setattr(flatgeobuf, "NODES", 60)
+    whole = flatgeobuf.read_flatgeobuf(spark, path)
+    assert whole.rdd.getNumPartitions() == 18 and sorted(r.i for r in whole.collect()) == list(range(900))
+    near = flatgeobuf.read_flatgeobuf(spark, path, bbox=(2, 3, 3, 3.5))
+    assert 1 <= near.rdd.getNumPartitions() < 9 and sorted(r.i for r in near.collect()) == sorted(k for k, (x, y) in enumerate(pts) if 2 <= x <= 3 and 3 <= y <= 3.5)
+    assert flatgeobuf.read_flatgeobuf(spark, path, bbox=(20, 20, 30, 30)).count() == 0
+
+
+def test_flatgeobuf_records_name_their_columns(spark, tmp_path):
+    def feature(x, columns, values):
+        b = flatgeobuf.Builder()
+        return b.finish(b.table({0: ("table", {1: ("vector:d", [x, x])}), 1: ("bytes", flatgeobuf._write_properties(values, columns)), 2: ("tables", [{0: ("text", n), 1: ("B", flatgeobuf.COLUMN_TYPES.index(k))} for n, k in columns])}))
+
+    def write(name, features):
+        b = flatgeobuf.Builder()
+        head = flatgeobuf.MAGIC + b.finish(b.table({0: ("text", "t"), 2: ("B", 1), 8: ("Q", len(features)), 9: ("H", 0)}))
+        (tmp_path / name).write_bytes(head + b"".join(features))
+        return str(tmp_path / name)
+
+    rows = [feature(float(k), [("a", "int"), ("b", "string")][k % 2 :], {"a": k, "b": f"v{k}"}) for k in range(6)]
+    path = write("x.fgb", rows)
+    back = flatgeobuf.read_flatgeobuf(spark, path)
+    assert back.columns == ["a", "b", "geometry"] and sorted((r.geometry.x, r.a, r.b) for r in back.collect()) == [(float(k), None if k % 2 else k, f"v{k}") for k in range(6)]
+    other = write("y.fgb", [*rows, feature(9.0, [("a", "double")], {"a": 1.5})])
+    with pytest.raises(GeoError):
+        flatgeobuf.read_flatgeobuf(spark, other, max_scan_records=None)
+    late = write("z.fgb", [*rows, feature(9.0, [("c", "int")], {"c": 1})])
+    assert flatgeobuf.read_flatgeobuf(spark, late).columns == ["a", "b", "c", "geometry"]
+    with pytest.raises(Exception, match="max_scan_records"):
+        flatgeobuf.read_flatgeobuf(spark, late, max_scan_records=3).collect()
+
+
+def test_geoparquet_places_and_row_groups(spark, tmp_path):
+    df = frame(spark, [[f"POINT ({k} {k})"] for k in range(40)], [point()])
+    path = str(tmp_path / "g")
+    geoparquet.write_geoparquet(df.repartitionByRange(4, "i").sortWithinPartitions("i"), path, row_group_size=4, generate_covering=True)
+    d = geoparquet.GeoParquetDataset.open(spark, path)
+    every = [r.i for r in d.read().select("i").collect()]
+    order = [r.i for f in d.files for r in spark.read.parquet(f).collect()]
+    assert sorted(every) == list(range(40))
+    for offset, limit in ((0, 7), (5, 3), (13, 20), (33, None), (40, 5), (39, 1), (0, 100)):
+        got = [r.i for r in d.read(offset=offset, limit=limit).collect()]
+        assert sorted(got) == sorted(order[offset:][:limit])
+    assert len(d.read(offset=1, limit=2).inputFiles()) == 1
+    inside = [i for i in order if 3 <= i <= 30]
+    assert [r.i for r in d.read(bbox=(3, 3, 30, 30), offset=4, limit=9).collect()] == inside[4:13]
+    groups = [r for f in d.footers for r in f["groups"]]
+    assert d.num_row_groups == len(groups) > 8
+    some = d.read_row_groups([1, len(groups) - 1])
+    at = [0]
+    for g in groups:
+        at.append(at[-1] + g["rows"])
+    assert sorted(r.i for r in some.collect()) == sorted(order[at[1] : at[2]] + order[at[-2] : at[-1]]) and geo(some, "g0").type.kind == "point"
+    assert d.read_row_groups([0], columns=["i"]).columns == ["i"] and d.read_row_groups([]).count() == 0
