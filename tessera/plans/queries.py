@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import struct
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,11 +13,12 @@ from tessera import functions as st
 from tessera.functions import kernel, native
 from tessera.operators import downcast as narrow
 from tessera.operators import rows
-from tessera.operators.explode import explode
+from tessera.operators.explode import explode, geometries
 from tessera.operators.join import bbox_filter, distance_join, spatial_join
 from tessera.plans import shapes as s
-from tessera.sources import flatgeobuf, geoparquet, text
-from tessera.types import Geo, geo, geometry, multipoint, point, polygon
+from tessera.sources import flatgeobuf, geoparquet, shapefile, text
+from tessera.sources.paths import write_bytes
+from tessera.types import Geo, geo, geometry, linestring, multipoint, point, polygon
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -173,7 +176,7 @@ def geom_is_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {s.SQL_LINES} SELECT l_orderkey, n >= 4 AND xs[1] = xs[n] AND ys[1] = ys[n] AS ring FROM lines")
 def geom_is_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = s.order_lines(spark, sf_dir)
-    return df.select("l_orderkey", native.is_ring(geo(df, "g")).alias("ring"))
+    return df.select("l_orderkey", kernel.is_ring(geo(df, "g")).alias("ring"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 97 = 0 THEN NULL ELSE 1 END::INT AS native_id, CASE WHEN c_custkey % 97 = 0 THEN NULL ELSE 1 END::INT AS wkb_id, CASE WHEN c_custkey % 97 = 0 THEN -1 ELSE 0 END::INT AS other_id FROM customer""")
@@ -705,3 +708,159 @@ def frechet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = s.order_lines(spark, sf_dir)
     other = native.make_geometry("linestring", F.array(s.vertex(F.lit(0), F.lit(0)), s.vertex(F.lit(1000), F.lit(100))))
     return df.select("l_orderkey", r6(kernel.frechet_distance(geo(df, "g"), other), "distance"))
+
+
+# predicates where they bite
+
+
+def _level(x0: str, x1: str, y: str) -> Column:
+    return native.make_geometry("linestring", F.array(s.vertex(F.expr(x0), F.expr(y)), s.vertex(F.expr(x1), F.expr(y)))).column
+
+
+def _upright(x: str, y0: str, y1: str) -> Column:
+    return native.make_geometry("linestring", F.array(s.vertex(F.expr(x), F.expr(y0)), s.vertex(F.expr(x), F.expr(y1)))).column
+
+
+@query(f"""WITH {s.SQL_RECTANGLES} SELECT p_partkey, ay0 < by0 + 0.5 AND by0 + 0.5 < ay1 AND bx0 < ax1 AND bx1 > ax0 AND NOT (bx0 >= ax0 AND bx1 <= ax1) AS area,
+  bx0 < ax0 + 0.25 AND ax0 + 0.25 < bx1 AND ay0 < by0 + 0.5 AND by0 + 0.5 < ay1 AS line FROM rect""")
+def pred_crosses_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A level line through b's lower part with the area a, and with an upright line in a."""
+    df = s.rectangles(spark, sf_dir)
+    line = Geo(_level("box_b.xmin", "box_b.xmax", "box_b.ymin + 0.5"), linestring())
+    other = Geo(_upright("box_a.xmin + 0.25", "box_a.ymin", "box_a.ymax"), linestring())
+    return df.select("p_partkey", kernel.crosses(line, geo(df, "a")).alias("area"), kernel.crosses(other, line).alias("line"))
+
+
+def _corner(box: str, x: str, y: str, by: float = 0.0) -> Column:
+    at = lambda a, side: F.col(f"{box}.{a}{side}") + (by if side == "min" else -by)
+    return s.vertex(at("x", x), at("y", y))
+
+
+def _corners(box: str, order: str, by: float = 0.0) -> Column:
+    """A closed run of the box's corners, each a letter: a lower left, b lower right, c upper right, d upper left."""
+    places = {"a": ("min", "min"), "b": ("max", "min"), "c": ("max", "max"), "d": ("min", "max")}
+    return F.array(*[_corner(box, *places[k], by) for k in order])
+
+
+@query(f"""WITH {s.SQL_RECTANGLES} SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE holds END AS valid,
+  CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE holds END AS named FROM meet""")
+def pred_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles, bow-ties, and rectangles with another as a hole, which is inside or not."""
+    df = s.rectangles(spark, sf_dir)
+    k = F.col("p_partkey") % 3
+    rings = F.when(k == 0, F.array(_corners("box_a", "abcda"))).when(k == 1, F.array(_corners("box_a", "acbda"))).otherwise(F.array(_corners("box_a", "abcda"), _corners("box_b", "abcda", 0.25)))
+    g = Geo(rings, polygon())
+    return df.select("p_partkey", kernel.is_valid(g).alias("valid"), (kernel.is_valid_reason(g) == "Valid Geometry").alias("named"))
+
+
+@query("SELECT p_partkey, p_partkey % 3 <> 2 AS closed, p_partkey % 3 = 0 AS ring FROM part")
+def pred_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed lines round a rectangle, bow-ties, and open lines."""
+    df = s.rectangles(spark, sf_dir)
+    k = F.col("p_partkey") % 3
+    g = Geo(F.when(k == 0, _corners("box_a", "abcda")).when(k == 1, _corners("box_a", "acbda")).otherwise(_corners("box_a", "abcd")), linestring())
+    return df.select("p_partkey", native.is_closed(g).alias("closed"), kernel.is_ring(g).alias("ring"))
+
+
+@query("""SELECT p_partkey, CASE WHEN h > 2 THEN 3 ELSE 2 END::BIGINT AS rdp, CASE WHEN 10 * h > 20 THEN 3 ELSE 2 END::BIGINT AS vw, CASE WHEN 10 * h > 20 THEN 3 ELSE 2 END::BIGINT AS vw_preserve
+FROM (SELECT p_partkey, p_size % 50 / 10.0::DOUBLE + 0.05 AS h FROM part)""")
+def simplify_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A peak of some height between two feet twenty apart: it stays if it is higher than the tolerance, or its triangle larger."""
+    df = s.table(spark, sf_dir, "part")
+    h = F.expr("p_size % 50 / 10.0D + 0.05D")
+    g = native.make_geometry("linestring", F.array(s.vertex(F.lit(0), F.lit(0)), s.vertex(F.lit(10), h), s.vertex(F.lit(20), F.lit(0))))
+    many = lambda epsilon, method: F.size(st.simplify(g, epsilon, method).column).cast("long").alias(method)
+    return df.select("p_partkey", many(2.0, "rdp"), many(20.0, "vw"), many(20.0, "vw_preserve"))
+
+
+@query("SELECT c_custkey, round(6378137 * radians((c_custkey % 1700 + 1) / 10.0::DOUBLE), 3) AS geodesic, round(6378137 * radians((c_custkey % 1700 + 1) / 10.0::DOUBLE), 3) AS vincenty FROM customer")
+def geodesic_equator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths along the equator, a great circle of the ellipsoid."""
+    df = s.table(spark, sf_dir, "customer")
+    g = native.make_geometry("linestring", F.array(s.vertex(F.lit(-80), F.lit(0)), s.vertex(F.expr("(c_custkey % 1700 + 1) / 10.0D - 80"), F.lit(0))))
+    return df.select("c_custkey", F.round(st.length(g, "ellipsoidal"), 3).alias("geodesic"), F.round(st.length(g, "vincenty"), 3).alias("vincenty"))
+
+
+@query(f"""WITH {s.SQL_LINES}, {s.SQL_ELLS} SELECT kind, count(*) AS n FROM (
+  SELECT CASE WHEN c_custkey % 97 = 0 THEN 0 ELSE 1 END AS kind FROM customer UNION ALL SELECT 2 FROM lines UNION ALL SELECT 3 FROM ells) GROUP BY kind""")
+def geoparquet_mixed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nulls, points, lines and polygons of one column in four files by kind, read back by kind."""
+    path = s.workspace(spark, "mixed-parts")
+    df = _mixed(spark, sf_dir)
+    kind = F.coalesce(native.type_id(geo(df, "g")).cast("int"), F.lit(0))
+    parted = df.withColumn("kind", kind).repartitionByRange(4, "kind")
+    geoparquet.write_geoparquet(parted.drop("kind"), path, generate_covering=True)
+    back = geoparquet.read_geoparquet(spark, path)
+    return back.select(F.coalesce(native.type_id(geo(back, "g")).cast("int"), F.lit(0)).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def _utm_sql() -> str:
+    """Eastings and northings in zone 31 north, step by step."""
+    e = math.sqrt(native._F * (2 - native._F))
+    east = " + ".join(f"{a!r} * cos({2 * k} * xi) * sinh({2 * k} * eta)" for k, a in enumerate(native._TO_PLANE, 1))
+    north = " + ".join(f"{a!r} * sin({2 * k} * xi) * cosh({2 * k} * eta)" for k, a in enumerate(native._TO_PLANE, 1))
+    scale = native._K0 * native._RADIUS
+    return f"""WITH d AS (SELECT c_custkey, radians(c_custkey % 61 / 10.0::DOUBLE - 3) AS lon, tan(radians(c_custkey % 161 / 2.0::DOUBLE)) AS tau FROM customer),
+s AS (SELECT *, sinh({e!r} * atanh({e!r} * tau / sqrt(1 + tau * tau))) AS sigma FROM d),
+t AS (SELECT *, tau * sqrt(1 + sigma * sigma) - sigma * sqrt(1 + tau * tau) AS t FROM s),
+p AS (SELECT *, atan2(t, cos(lon)) AS xi, asinh(sin(lon) / sqrt(t * t + cos(lon) * cos(lon))) AS eta FROM t)
+SELECT c_custkey, round(500000 + {scale!r} * (eta + {east}), 3) AS x, round({scale!r} * (xi + {north}), 3) AS y, true AS back FROM p"""
+
+
+@query(_utm_sql())
+def geom_reproject_utm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places around a zone's meridian, there and back."""
+    df = s.table(spark, sf_dir, "customer")
+    g = native.make_point(F.expr("c_custkey % 61 / 10.0D"), F.expr("c_custkey % 161 / 2.0D"))
+    there = native.reproject(g, "EPSG:4326", "EPSG:32631")
+    back = native.reproject(there, "EPSG:32631", "EPSG:4326").column
+    near = (F.abs(back["x"] - g.column["x"]) < 1e-9) & (F.abs(back["y"] - g.column["y"]) < 1e-9)
+    return df.select("c_custkey", F.round(there.column["x"], 3).alias("x"), (F.round(there.column["y"], 3) + 0.0).alias("y"), near.alias("back"))
+
+
+@query(f"""WITH {s.SQL_RECTANGLES} SELECT p_partkey, round((ax1 - ax0 + 1) * (ay1 - ay0 + 1), 6) AS mitred, round(area_a + (ax1 - ax0 + ay1 - ay0) + 0.5, 6) AS bevelled, round(ax1 - ax0, 6) AS flat, round(ax1 - ax0 + 1, 6) AS square FROM meet""")
+def geom_buffer_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half a unit around rectangles with pointed and cut corners, and around level lines with flat and square ends."""
+    df = s.rectangles(spark, sf_dir)
+    a, line = geo(df, "a"), Geo(_level("box_a.xmin", "box_a.xmax", "box_a.ymin"), linestring())
+    out = df.select("p_partkey", kernel.buffer(a, 0.5, join="mitre").alias("m"), kernel.buffer(a, 0.5, join="bevel").alias("b"), kernel.buffer(line, 0.5, cap="flat").alias("f"), kernel.buffer(line, 0.5, cap="square").alias("q"))
+    return out.select("p_partkey", *[r6(st.area(geo(out, c)), name) for c, name in (("m", "mitred"), ("b", "bevelled"), ("f", "flat"), ("q", "square"))])
+
+
+@query(f"""WITH {s.SQL_CUSTOMERS}, p AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS k FROM cust)
+SELECT c_nationkey, count(*) AS n_vertices, round(min(x), 6) AS xmin, round(max(y), 6) AS ymax FROM p GROUP BY c_nationkey, k // 3""")
+def lines_from_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of three vertices, the last of fewer, cut out of each nation's points."""
+    df = s.nation_points(spark, sf_dir)
+    n = F.size("g")
+    offsets = F.when(n % 3 == 0, F.sequence(F.lit(0), n, F.lit(3))).otherwise(F.array_append(F.sequence(F.lit(0), n, F.lit(3)), n))
+    out = geometries(df, "line", "linestring", F.col("g"), offsets)
+    b = native.bounding_rect(geo(out, "line")).column
+    return out.select("c_nationkey", F.size("line").cast("long").alias("n_vertices"), r6(b["xmin"], "xmin"), r6(b["ymax"], "ymax"))
+
+
+def _nation_shapefile(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The nations' cells, some dozens, as polygons and attributes."""
+    shapes, rows = [], []
+    for r in s.nations(spark, sf_dir).orderBy("n_nationkey").collect():
+        ring = [(v.x, v.y) for v in reversed(r.cell[0])]  # shells run clockwise
+        if sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:])) > 0:
+            ring = ring[::-1]
+        xs, ys = [v[0] for v in ring], [v[1] for v in ring]
+        shapes.append(struct.pack("<i4diii", 5, min(xs), min(ys), max(xs), max(ys), 1, len(ring), 0) + struct.pack(f"<{2 * len(ring)}d", *[c for v in ring for c in v]))
+        rows.append(b" " + str(r.n_nationkey).rjust(6).encode() + r.n_name.encode().ljust(25))
+    records = b"".join(struct.pack(">ii", k + 1, len(x) // 2) + x for k, x in enumerate(shapes))
+    write_bytes(spark, f"{path}/nations.shp", struct.pack(">7i", 9994, 0, 0, 0, 0, 0, (100 + len(records)) // 2) + struct.pack("<ii8d", 1000, 5, *[0.0] * 8) + records)
+    columns = [(b"KEY", b"N", 6), (b"NAME", b"C", 25)]
+    head = struct.pack("<BBBBIHH20x", 3, 20, 1, 1, len(rows), 33 + 32 * len(columns), 1 + sum(c[2] for c in columns))
+    write_bytes(spark, f"{path}/nations.dbf", head + b"".join(struct.pack("<11sc4xBB14x", n, k, size, 0) for n, k, size in columns) + b"\r" + b"".join(rows))
+
+
+@query(f"WITH {s.SQL_NATIONS} SELECT n_nationkey AS key, n_name AS name, (x1 - x0) * (y1 - y0) AS area, x0 AS xmin, y1 AS ymax FROM cells")
+def shapefile_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons and attributes read from a shapefile."""
+    path = s.workspace(spark, "shapefile")
+    _nation_shapefile(spark, sf_dir, path)
+    df = shapefile.read_shapefile(spark, path, crs="EPSG:4326")
+    b = native.bounding_rect(geo(df)).column
+    return df.select(F.col("KEY").cast("int").alias("key"), F.col("NAME").alias("name"), st.area(geo(df)).alias("area"), b["xmin"].alias("xmin"), b["ymax"].alias("ymax"))

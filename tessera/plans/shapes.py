@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import native
+from tessera.operators.join import spread
 from tessera.types import Geo, linestring, multipoint
 
 
@@ -17,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir); a temporary one where that is unset."""
+    """A new path in the folder that all executors share (spark.checkpoint.dir); in local runs a temporary one where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
@@ -62,7 +65,7 @@ def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = F.expr("1 + s_suppkey % 5")
     ring = F.array(*[vertex(f * x + F.expr("s_suppkey % 100"), f * y + F.expr("s_suppkey % 50")) for x, y in ELL])
     g = native.make_geometry("polygon", F.array(ring))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", g.alias("g"))
+    return spread(table(spark, sf_dir, "supplier")).select("s_suppkey", "s_nationkey", g.alias("g"))
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +98,7 @@ def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     a = rect("p_partkey % 10", "p_partkey % 7", "1 + p_size % 4", "1 + p_partkey % 5")
     b = rect("p_partkey * 7 % 11", "p_partkey * 3 % 8", "1 + p_partkey % 3", "1 + p_size % 5")
-    df = table(spark, sf_dir, "part")
+    df = spread(table(spark, sf_dir, "part"))
     return df.select("p_partkey", a.alias("box_a"), b.alias("box_b"), native.box_to_polygon(a).alias("a"), native.box_to_polygon(b).alias("b"))
 
 
