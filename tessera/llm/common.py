@@ -20,21 +20,44 @@ GAP = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one where that is unset (local runs)."""
+    """The folder all executors share: spark.checkpoint.dir; in local runs a temporary one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Paths of tables that materialize has written and discard has not deleted, in order.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/tessera-llm/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tessera-llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def written() -> int:
+    """How many tables there are that discard could delete."""
+    return len(_written)
+
+
+def discard(spark: SparkSession, start: int = 0, stop: int | None = None) -> None:
+    """Deletes tables that materialize wrote, from the start-th up to the stop-th of them. Only for those that no result needs any more: results are computed late."""
+    jvm = spark.sparkContext._jvm
+    paths = _written[start:stop]
+    del _written[start:stop]
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release_memory() -> None:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import id_hash_mod, materialize
+from tessera.llm.common import id_hash_mod, materialize, release_memory
 
 #: Size of the hashed space of n-grams, lengths of n-grams in bytes of UTF-8.
 SPACE, LENGTHS = 1 << 12, (1, 2, 3, 4)
@@ -152,6 +152,7 @@ def fit(docs: DataFrame, max_rows: int = 2500) -> Model:
         for b in batches:
             rows = [(i, k, vector(t).tobytes()) for i, t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) if has_letter(t)]
             yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.binary()))], ["doc_id", "lang", "vector"])
+        release_memory()
 
     # the picked ids are broadcast; each row has a vector of fixed size; one row an id and language
     sample = known.join(F.broadcast(picked), F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("lang") == F.col("p_lang")), "left_semi").mapInArrow(run, "doc_id long, lang string, vector binary")
@@ -176,6 +177,7 @@ def predict(docs: DataFrame, model: Model, sure: float = 0.7) -> DataFrame:
                     for i, k in zip(np.flatnonzero(ok), best, strict=True):
                         names[i] = model.languages[k]
                 yield pa.record_batch([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(ok & (scores < sure), pa.bool_())], ["doc_id", "lang_pred", "score", "ambiguous"])
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
 
@@ -186,7 +188,9 @@ def identify(docs: DataFrame, max_rows: int = 2500) -> DataFrame:
     docs: doc_id, text and lang; other columns are ignored, and lang is only
     read where the classifiers are fitted. Repeated rows give repeated rows;
     null ids are held out or not as the empty text. One learned language is
-    always predicted, with score 1.
+    always predicted, with score 1. Very long texts are read whole; an empty
+    table gives no rows. Of languages with equal loss the first by code points
+    is predicted, and the row is ambiguous.
     """
     out = predict(docs, fit(docs, max_rows))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")

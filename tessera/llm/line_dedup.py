@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.common import SPACES, ascii_lower, materialize
+from tessera.types import free_name
 
 
 def lines_of(text: Column) -> Column:
@@ -69,29 +70,44 @@ def drop_bitmaps(docs: DataFrame, min_key_chars: int = 10, slices: tuple[int, ..
     return words.groupBy("doc_id", "text_hash").agg(F.sum(F.bit_count("bits")).cast("long").alias("n_dropped"), F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"))
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """Every row of docs with its columns and _lines (before), _n_dropped and _kept_text; rows as many as docs has."""
-    base = docs.select("*", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_whole"))
-    side = bitmaps.select(F.col("doc_id").alias("_b_id"), F.col("text_hash").alias("_b_hash"), F.col("n_dropped").alias("_dropped"), F.col("words").alias("_words"))
-    joined = base.join(side, (F.col("doc_id").cast("long").eqNullSafe(F.col("_b_id"))) & (F.xxhash64("_whole") == F.col("_b_hash")), "left")
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, name: str) -> DataFrame:
+    """Every row of docs with its columns and, their names starting with name, lines (before), n_dropped and kept_text; rows as many as docs has."""
+    whole, side_id, side_hash, dropped, words, dense, split = (f"{name}{x}" for x in ("whole", "id", "hash", "dropped", "words", "dense", "split"))
+    base = docs.select("*", F.coalesce(F.col("text").cast("string"), F.lit("")).alias(whole))
+    side = bitmaps.select(F.col("doc_id").alias(side_id), F.col("text_hash").alias(side_hash), F.col("n_dropped").alias(dropped), F.col("words").alias(words))
+    joined = base.join(side, (F.col("doc_id").cast("long").eqNullSafe(F.col(side_id))) & (F.xxhash64(whole) == F.col(side_hash)), "left")
     # zero words between those of the bitmap are put back, so that a line finds its bit at once
-    dense = F.expr("flatten(transform(_words, (x, i) -> concat(array_repeat(0L, cast(x.word - if(i = 0, 0, get(_words, i - 1).word + 1) as int)), array(x.bits))))")
-    joined = joined.withColumn("_dense", dense).withColumn("_split", lines_of(F.col("_whole")))
-    kept = F.expr("filter(_split, (x, i) -> coalesce(getbit(get(_dense, cast(i div 64 as int)), i % 64), 0) = 0)")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.size("_split").cast("long").alias("_lines"), F.coalesce("_dropped", F.lit(0)).cast("long").alias("_n_dropped"), F.when(F.col("_dropped").isNull(), F.col("_whole")).otherwise(F.array_join(kept, "\n")).alias("_kept_text"))
+    filled = F.expr(f"flatten(transform({words}, (x, i) -> concat(array_repeat(0L, cast(x.word - if(i = 0, 0, get({words}, i - 1).word + 1) as int)), array(x.bits))))")
+    joined = joined.withColumn(dense, filled).withColumn(split, lines_of(F.col(whole)))
+    kept = F.expr(f"filter({split}, (x, i) -> coalesce(getbit(get({dense}, cast(i div 64 as int)), i % 64), 0) = 0)")
+    return joined.select(
+        *[F.col(f"`{c}`") for c in docs.columns],
+        F.size(split).cast("long").alias(f"{name}lines"),
+        F.coalesce(dropped, F.lit(0)).cast("long").alias(f"{name}n_dropped"),
+        F.when(F.col(dropped).isNull(), F.col(whole)).otherwise(F.array_join(kept, "\n")).alias(f"{name}kept_text"),
+    )
 
 
 def dedup_lines(docs: DataFrame, min_key_chars: int = 10, slices: tuple[int, ...] = (1024, 1)) -> DataFrame:
-    """doc_id, n_lines, n_dropped and kept_text of every row: drop_bitmaps, then apply_bitmaps."""
+    """doc_id, n_lines, n_dropped and kept_text of every row: drop_bitmaps, then apply_bitmaps.
+
+    docs: doc_id and text; other columns are ignored. A null or empty text is
+    one empty line, which stays. Rows of one doc_id count as one document, so
+    a line that only they hold stays in all of them; repeated rows give
+    repeated rows. Null doc_ids count as one document after all others. A very
+    long text is cut into as many rows as it has lines; an empty table gives no
+    rows.
+    """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = apply_bitmaps(base, drop_bitmaps(base, min_key_chars, slices))
+    out = apply_bitmaps(base, drop_bitmaps(base, min_key_chars, slices), "_")
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.col("_kept_text").alias("kept_text"))
 
 
 def cleaned_documents(docs: DataFrame, min_key_chars: int = 10, slices: tuple[int, ...] = (1024, 1)) -> DataFrame:
-    """The rows of docs with their columns; text is what stays of it (null stays null), n_chars, if there, its number of characters."""
-    out = apply_bitmaps(docs, drop_bitmaps(docs, min_key_chars, slices))
-    new = {"text": F.when(F.col("text").isNotNull(), F.col("_kept_text"))}
+    """The rows of docs with their columns, whatever their names; text is what stays of it (null stays null), n_chars, if there, its number of characters. Otherwise as dedup_lines."""
+    own = free_name(docs)
+    out = apply_bitmaps(docs, drop_bitmaps(docs, min_key_chars, slices), own)
+    new = {"text": F.when(F.col("text").isNotNull(), F.col(f"{own}kept_text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_n_dropped") > 0, F.char_length("_kept_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col(f"{own}n_dropped") > 0, F.char_length(f"{own}kept_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])

@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import id_hash_mod
+from tessera.llm.common import id_hash_mod, release_memory
+from tessera.types import free_name
 
 #: Sizes of the hashed spaces of word n-grams and of class n-grams; longest class n-gram; longest run of equal words told apart.
 WORD_SPACE, CLASS_SPACE, CLASS_N, RUN = 1 << 17, 1 << 14, 5, 6
@@ -193,7 +194,7 @@ def score(docs: DataFrame, fitted: tuple[np.ndarray, Model], keep: tuple[str, ..
     scale, model = fitted
     # what the tasks get has a fixed size: two floats a feature
     squared, weights = (scale * scale).astype(np.float32), model.weights
-    kept = docs.select(F.col("text").cast("string").alias("_text"), *[F.col(f"`{c}`") for c in keep])
+    kept = docs.select(F.col("text").cast("string").alias(f"{free_name(docs)}text"), *[F.col(f"`{c}`") for c in keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
@@ -204,6 +205,7 @@ def score(docs: DataFrame, fitted: tuple[np.ndarray, Model], keep: tuple[str, ..
                 n = float(np.sqrt(squared[at].sum(dtype=np.float64)))
                 margin.append(float(weights[at].sum(dtype=np.float64)) / n + model.bias if n else model.bias)
             yield pa.record_batch([*b.columns[1:], pa.array(model.score(np.array(margin, float)), pa.float64())], [*b.schema.names[1:], to])
+        release_memory()
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields[1:], T.StructField(to, T.DoubleType())]))
 
@@ -213,13 +215,18 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_row
 
     docs: doc_id and text; labels: doc_id and quality; other columns are
     ignored. Null ids are held out or not as the empty text; repeated rows give
-    repeated rows.
+    repeated rows. A null text counts as empty, whose score is that of the bias;
+    very long texts are read whole and cost time in proportion. Of several
+    labels of a doc_id the lowest counts; labels without a document, and an
+    empty table of labels, leave the scores to what labels there are (one half
+    without any). An empty table of documents gives no rows.
     """
     scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs, labels, max_rows))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 4000) -> DataFrame:
-    """The rows of docs, with their columns, that classify predicts 1 for."""
-    scored = score(docs, fit(docs, labels, max_rows), tuple(docs.columns), "_quality_score")
-    return scored.filter(F.col("_quality_score") >= threshold).drop("_quality_score")
+    """The rows of docs, with their columns, whatever their names, that classify predicts 1 for."""
+    name = f"{free_name(docs)}score"
+    scored = score(docs, fit(docs, labels, max_rows), tuple(docs.columns), name)
+    return scored.filter(F.col(name) >= threshold).drop(name)

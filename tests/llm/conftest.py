@@ -53,4 +53,4 @@ def clashing(docs):
     """The same rows with columns whose names the operators use inside."""
     from pyspark.sql import functions as F
 
-    return docs.select("*", *[F.lit(f"x{k}").alias(c) for k, c in enumerate(("score", "size", "doc", "row", "key", "line", "pos", "h", "words", "root", "target", "_text", "plan_source", "n_tokens", "hashes", "copies"))])
+    return docs.select("*", *[F.lit(f"x{k}").alias(c) for k, c in enumerate(("score", "size", "doc", "row", "key", "line", "pos", "h", "words", "root", "target", "_text", "plan_source", "n_tokens", "hashes", "copies", "_whole", "_words", "_b_id", "_lines", "_mix_whole", "_mix_n", "_quality_score", "_kept_id", "_n", "_t", "_tn", "_TWords"))])

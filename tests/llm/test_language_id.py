@@ -97,3 +97,38 @@ def test_only_the_text_decides(spark):
     a = language_id.predict(df, model).select("lang_pred", "score").collect()
     b = language_id.predict(spark.createDataFrame([(None, t) for _, t, _ in rows], "doc_id long, text string"), model).select("lang_pred", "score").collect()
     assert sorted(a) == sorted(b)
+
+
+def plain_shares(text):
+    """Square roots of the shares of hashed n-grams, counted one by one."""
+    mask, times = (1 << 32) - 1, 2654435761
+    raw = [b if 97 <= b <= 122 or b >= 128 else 32 for b in b" " + text.encode().lower() + b" "]
+    raw = [b for k, b in enumerate(raw) if not k or b != 32 or raw[k - 1] != 32]
+    counts = {}
+    for i in range(len(raw)):
+        h = 0
+        for n, b in enumerate(raw[i : i + max(language_id.LENGTHS)], 1):
+            h = b if n == 1 else (h * 263 + b) & mask
+            at = (((h + n) & mask) * times & mask) >> 20
+            counts[at] = counts.get(at, 0) + 1
+    total = sum(counts.values())
+    return {k: (n / total) ** 0.5 for k, n in counts.items()}
+
+
+def test_predictions_by_brute_force(spark):
+    """Bits, losses and shares recomputed text by text and bit by bit."""
+    rows = some(4, 120) + [(1000, "", "aa"), (1001, None, "bb"), (1002, "12 3!", "cc"), (1003, "é", None), (1004, "Stra Ung BA", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = language_id.fit(df)
+    got = {r.doc_id: r for r in language_id.predict(df, m).collect()}
+    for i, text, _ in rows:
+        if not text or not any(c.isalpha() for c in text):
+            assert (got[i].lang_pred, got[i].score) == (language_id.UNKNOWN, 0.0)
+            continue
+        x, loss = plain_shares(text), []
+        for word in m.code:
+            bits = [sum(v * float(m.weights[k, b]) for k, v in x.items()) + float(m.bias[b]) for b in range(len(word))]
+            loss.append(sum(np.log1p(np.exp(-bit * sign)) for bit, sign in zip(bits, word)))
+        share = [np.exp(min(loss) - v) for v in loss]
+        best = max(range(len(share)), key=share.__getitem__)
+        assert got[i].lang_pred == m.languages[best] and got[i].score == pytest.approx(share[best] / sum(share), abs=1e-4)

@@ -92,3 +92,75 @@ def test_good_documents_keep_their_columns(tables):
     assert out.columns == docs.columns
     wanted = {r.doc_id for r in qc.classify(docs, labels).collect() if r.predicted}
     assert {r.doc_id for r in out.collect()} == wanted
+
+
+def plain_indicators(text):
+    """The indicators of a text, one by one."""
+    import zlib
+
+    mask, times = (1 << 32) - 1, 2654435761
+    found, raw = set(), text.encode()
+    tokens = raw.lower().split()
+    if tokens:
+        h = [zlib.crc32(t) for t in tokens]
+        found |= {(x * times & mask) >> 15 for x in h} | {(((a * 31 + b) & mask) * times & mask) >> 15 for a, b in zip(h, h[1:])}
+        runs, most, same = 0, 0, 0
+        for a, b in zip(tokens, tokens[1:]):
+            runs = runs + 1 if a == b else 0
+            most, same = max(most, runs), same + (a == b)
+        at = qc.WORD_SPACE + qc.CLASS_SPACE
+        found |= {at + k for k in range(min(most, qc.RUN) + 1)}
+        found |= {at + qc.RUN + 1 + k for k, x in enumerate(qc.SHARES) if same / len(tokens) >= x}
+    kinds = []
+    for b in raw:
+        k = "a" if 97 <= b <= 122 or b >= 128 else "A" if 65 <= b <= 90 else "0" if 48 <= b <= 57 else " " if 9 <= b <= 13 else chr(b)
+        if not kinds or kinds[-1] != k:
+            kinds.append(k)
+    for i in range(len(kinds)):
+        h = 0
+        for n, k in enumerate(kinds[i : i + qc.CLASS_N], 1):
+            h = ord(k) if n == 1 else (h * 257 + ord(k)) & mask
+            found.add(qc.WORD_SPACE + ((((h + n) & mask) * times & mask) >> 18))
+    return sorted(found)
+
+
+TEXTS = ["", " ", "One", "a a a a b", "Word, word! 12 34\t\n$$ é", "x " * 50, "ÄÖ 9" * 30, "the cat The CAT the cat"]
+
+
+def test_indicators_by_brute_force():
+    features = qc.Features()
+    for t in TEXTS + [r[1] for r in some(5, 40)[0]]:
+        assert sorted(features(t).tolist()) == plain_indicators(t)
+
+
+def test_score_by_brute_force(tables, spark):
+    """Every score recomputed text by text from the ratios, weights and the curve."""
+    docs, labels, _ = tables
+    docs = docs.unionAll(spark.createDataFrame([(10_000 + k, t) for k, t in enumerate([*TEXTS, None])], "doc_id long, text string"))
+    scale, m = qc.fit(docs, labels)
+    for r in qc.score(docs, (scale, m), ("doc_id", "text")).collect():
+        at = plain_indicators(r.text or "")
+        n = sum(float(scale[i]) ** 2 for i in at) ** 0.5
+        margin = (sum(float(m.weights[i]) for i in at) / n if n else 0.0) + m.bias
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(m.slope * margin + m.shift))), abs=1e-5)
+
+
+def test_ratios_and_the_dual_optimum():
+    """Ratios counted one by one; at the optimum no coordinate of the dual wants to move."""
+    rows_, labels, _ = some(3, 120)
+    good = {i: q for i, q, _ in labels}
+    some_rows = [(np.array(plain_indicators(t), np.int32), 1.0 if good[i] else -1.0) for i, t in rows_ if i in good]
+    rows, y = [r for r, _ in some_rows], np.array([k for _, k in some_rows])
+    scale = qc._ratios(rows, y)
+    n_good, n_bad = (y > 0).sum() + 2, (y < 0).sum() + 2
+    for f in sorted({int(i) for r in rows for i in r})[::97]:
+        a, b = (1 + sum(f in r for r, k in zip(rows, y) if (k > 0) == side) for side in (True, False))
+        assert scale[f] == pytest.approx(np.log(a / n_good) - np.log(b / n_bad))
+    cost = np.full(len(y), 0.7)
+    w, bias = qc.descend(rows, scale, y, cost, epochs=400)
+    x = [scale[r] / (np.sqrt((scale[r] ** 2).sum()) or 1) for r in rows]
+    primal = 0.5 * (w @ w + bias**2) + sum(c * max(0.0, 1 - k * (w[r] @ v + bias)) for r, v, k, c in zip(rows, x, y, cost))
+    for step in (1e-2, -1e-2):  # the objective is convex: shifting the weights or the bias makes it worse
+        for at, off in ((0.0, step), (step, 0.0)):
+            u, b = w * (1 + at), bias + off
+            assert 0.5 * (u @ u + b**2) + sum(c * max(0.0, 1 - k * (u[r] @ v + b)) for r, v, k, c in zip(rows, x, y, cost)) >= primal - 1e-3
