@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import bpe, line_dedup, mixing, ngram_join, quality_classifier
-from tessera.llm.common import materialize, read
+from tessera.llm.common import discard, materialize, read, written
 from tessera.llm.queries import tokenizer_file
 
 
@@ -53,9 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The stages on documents. Once a stage's rows are written, the tables that it made on its way are deleted, and the stage's before."""
+    docs, first = read(spark, sf_dir, "documents"), written()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, f"pipeline-{name.replace(' ', '-')}")
+            discard(spark, first, written() - 1)
     return docs
