@@ -3,10 +3,9 @@
 Ratios of a text are compared with fences taken from quantiles of the same
 ratio among texts of the same language and source: upper quartile plus reach
 times the spread between the quartiles, the spread being at least a floor.
-The quantiles come from mergeable Greenwald-Khanna sketches
-(percentile_approx), built for each language and source, each language, and
-all texts; groups that are too small use the next wider one. The fences are
-joined back and filter.
+The quantiles come from mergeable KLL sketches, built for each language and
+source and merged for each language and for all texts; groups that are too
+small use the next wider one. The fences are joined back and filter.
 """
 
 from __future__ import annotations
@@ -68,18 +67,29 @@ def measures(docs: DataFrame, window: int = 5) -> DataFrame:
     )
 
 
-def fences(measured: DataFrame, reach: float = 6.0, min_group: int = 100, accuracy: int = 10_000) -> DataFrame:
-    """lang, source, and for each ratio its low and high fence."""
+def fences(measured: DataFrame, reach: float = 6.0, min_group: int = 100, k: int = 4096, slices: int = 64) -> DataFrame:
+    """lang, source, and for each ratio its low and high fence.
+
+    Sketches are merged in steps: those of tasks by language, source and a
+    slice of the tasks, then by language and source, and from these by language
+    and over all. So a language and source that holds most rows is no one
+    task's, and no task merges more sketches than a slice of tasks gives. k is
+    the sketches' size: a group of up to k rows has exact quantiles, larger
+    ones are off by some rows in ten thousand.
+    """
     names = list(RATIOS)
-    sketches = ", ".join(f"percentile_approx({x}, array(0.25D, 0.75D), {accuracy}) q_{x}" for x in names)
-    measured.createOrReplaceTempView("tessera_measured")
-    levels = measured.sparkSession.sql(f"SELECT lang, source, cast(grouping_id(lang, source) as int) level, count(1) n, {sketches} FROM tessera_measured GROUP BY GROUPING SETS ((lang, source), (lang), ())")
-    levels = materialize(levels, "rules-quantiles")  # some rows for each language and source
-    fine = levels.filter("level = 0").alias("a")
-    lang = levels.filter("level = 1").alias("b")
-    top = levels.filter("level = 3").alias("c")
+    part = F.pmod(F.spark_partition_id(), F.lit(slices)).alias("slice")
+    by_task = measured.select("lang", "source", part, *names).groupBy("lang", "source", "slice").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(x, k).alias(x) for x in names])
+    merged = (F.sum("n").alias("n"), *[F.kll_merge_agg_double(x, k).alias(x) for x in names])
+    fine = materialize(by_task.groupBy("lang", "source").agg(*merged), "rules-quantiles")  # a row for each language and source
+
+    def quartiles(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        return df.select(*keys, "n", *[F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double(x, F.array(F.lit(0.25), F.lit(0.75)))).alias(f"q_{x}") for x in names])
+
+    lang = quartiles(fine.groupBy("lang").agg(*merged), ("lang",)).alias("b")
+    top = quartiles(fine.agg(*merged), ()).alias("c")
     # the widest level is one row
-    joined = fine.join(lang, F.expr("a.lang <=> b.lang"), "left").join(F.broadcast(top), F.lit(True), "left")
+    joined = quartiles(fine, ("lang", "source")).alias("a").join(lang, F.expr("a.lang <=> b.lang"), "left").join(F.broadcast(top), F.lit(True), "left")
     out = [F.col("a.lang").alias("lang"), F.col("a.source").alias("source")]
     for x, (floor, low_too) in RATIOS.items():
         q = F.expr(f"case when a.n >= {min_group} then a.q_{x} when b.n >= {min_group} then b.q_{x} else c.q_{x} end")
@@ -91,8 +101,11 @@ def fences(measured: DataFrame, reach: float = 6.0, min_group: int = 100, accura
 def apply_rules(docs: DataFrame, reach: float = 6.0, min_group: int = 100) -> DataFrame:
     """For every row of docs its measures, base_failed, outlier (the ratios beyond their fences, joined by commas) and kept.
 
-    Null languages and sources are groups of their own. Repeated rows give
-    repeated rows and count repeatedly. base_failed: less than ten words, or
+    docs: doc_id, text, lang and source; other columns are ignored. Null
+    languages and sources are groups of their own. A null, empty or blank text
+    has no words and fails the base. Repeated rows give repeated rows and count
+    repeatedly. Very long texts are measured whole in the task that reads them;
+    an empty table gives no rows. A ratio on its fence is no outlier. base_failed: less than ten words, or
     over a fifth of them in repeated windows.
     """
     measured = materialize(measures(docs), "rules-measures")
