@@ -74,9 +74,7 @@ WITH known(id, grams) AS (VALUES {known}),
 low AS (SELECT min(len(grams)) * 0.8 / 1.2 * (1 - 1e-9) AS least, max(len(grams)) * 1.2 / 0.8 / (1 - 1e-9) AS most FROM known),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 u AS (SELECT r, unnest(string_split(text, chr(10))) AS unit FROM d
-  UNION ALL SELECT r, unit FROM (SELECT r, unnest(string_split_regex(text, '
-[ 	-]*
-')) AS unit FROM d) WHERE contains(unit, chr(10))),
+  UNION ALL SELECT r, unit FROM (SELECT r, unnest(string_split_regex(text, '\n[\x20\x09-\x0D]*\n')) AS unit FROM d) WHERE contains(unit, chr(10))),
 w AS (SELECT r, string_split(trim(regexp_replace(lower(unit), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM u WHERE length(unit) >= 2 * greatest(1, (SELECT least FROM low)::INT) + 1),
 g AS (SELECT row_number() OVER () AS k, r, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) - 1 >= (SELECT least FROM low)),
 f AS (SELECT * FROM g WHERE len(g) BETWEEN (SELECT least FROM low) AND (SELECT most FROM low)),
