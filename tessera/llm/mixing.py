@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.common import WORD, materialize
+from tessera.types import free_name
 
 #: Bits of the hash that are used, and bits a level of the histogram looks at.
 BITS, LEVEL = 60, 12
@@ -32,35 +33,40 @@ def unit_hash(doc_id: Column, seed: str = "mix") -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def _places(sizes: DataFrame) -> DataFrame:
+    """sizes (source, source_size) with place: the source's place in order of code points, null last, from 0. Dealt by range, so no task has all sources."""
+    order = F.col("source").asc_nulls_last()
+    dealt = materialize(sizes.repartitionByRange(order).sortWithinPartitions(order).withColumn("id", F.monotonically_increasing_id()), "mix-sources")
+    part = F.shiftright("id", 33)
+    # a row for each partition
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return dealt.withColumn("part", part).join(starts, "part").select("source", "source_size", (F.col("start") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).alias("place"))
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """source, source_size and target for each row of sizes (source, source_size).
 
     Sources in order of code points, null last, weigh as weights say, again
     and again. share times the sum of all sizes is dealt out by weight; a
     target stops at most times its source's size and what is over goes to the
-    others by weight. That is: sources with the least size a weight stop
-    first, and the level of the rest follows from prefix sums. The window is
-    over sources, not documents. share must not exceed most.
+    others by weight, again until none is above: each time one sum over the
+    sources. share must not exceed most.
     """
     if share > most:
         raise ValueError("more is to be dealt than the sources may give")
-    n = len(weights)
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.col("place"), F.lit(n)) + 1).cast("int"))
-    by_room = Window.orderBy("room", "place")
-    before = by_room.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_room.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    ranked = (
-        sizes.withColumn("place", place)
-        .withColumn("weight", w)
-        .withColumn("cap", most * F.col("source_size"))
-        .withColumn("room", F.col("cap") / F.col("weight"))
-        # the level if all sources with less room are at their caps
-        .withColumn("level", (share * F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    )
-    # the first source that stays under its cap sets the level of all that follow
-    open_level = F.min(F.when(F.col("level") <= F.col("room"), F.struct("room", "place", "level"))).over(Window.partitionBy())["level"]
-    return ranked.select("source", "source_size", F.least(F.col("cap"), F.coalesce(open_level * F.col("weight"), F.col("cap"))).alias("target"))
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.col("place"), F.lit(len(weights))) + 1).cast("int"))
+    cap = most * F.col("source_size")
+    ranked = materialize(_places(sizes).select("source", "source_size", w.alias("weight"), cap.alias("cap"), (cap / w).alias("room")), "mix-ranked")
+    level = -1.0
+    while True:  # the level only rises, and each time another source stops
+        stops = F.col("room") < level
+        r = ranked.agg(share * F.sum("source_size"), F.sum(F.when(stops, F.col("cap"))), F.sum(F.when(~stops, F.col("weight")))).first()
+        new = (r[0] - (r[1] or 0.0)) / r[2] if r[2] else float("inf")
+        if new == level or not r[2]:
+            break
+        level = new
+    return ranked.select("source", "source_size", F.least(F.col("cap"), F.lit(new) * F.col("weight")).alias("target"))
 
 
 def _cut(items: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -127,9 +133,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
-    """The rows of docs that mix takes, with their columns, as often as it takes them; rows without words go."""
-    plan = mix_plan(materialize(_items(docs, seed), "mix-items"), weights, share, most).select(*[F.col(c).alias(f"_mix_{c}") for c in ("plan_source", "whole", "cut")])
-    out = docs.join(plan, F.col("source").cast("string").eqNullSafe(F.col("_mix_plan_source")), "left")
-    n = F.col("_mix_whole") + F.when(unit_hash(F.col("doc_id"), seed) < F.col("_mix_cut"), 1).otherwise(0)
-    out = out.withColumn("_mix_n", F.when(word_count(F.col("text").cast("string")) > 0, n).otherwise(0).cast("int")).filter("_mix_n > 0")
-    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that mix takes, with their columns, whatever their names, as often as it takes them; rows without words go. An empty table gives no rows."""
+    own = free_name(docs)
+    plan = mix_plan(materialize(_items(docs, seed), "mix-items"), weights, share, most).select(*[F.col(c).alias(f"{own}{c}") for c in ("plan_source", "whole", "cut")])
+    out = docs.join(plan, F.col("source").cast("string").eqNullSafe(F.col(f"{own}plan_source")), "left")
+    n = F.col(f"{own}whole") + F.when(unit_hash(F.col("doc_id"), seed) < F.col(f"{own}cut"), 1).otherwise(0)
+    out = out.withColumn(f"{own}n", F.when(word_count(F.col("text").cast("string")) > 0, n).otherwise(0).cast("int")).filter(F.col(f"{own}n") > 0)
+    return out.withColumn(f"{own}copy", F.explode(F.sequence(F.lit(1), F.col(f"{own}n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
