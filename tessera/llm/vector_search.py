@@ -24,8 +24,8 @@ holds one part and one block of queries, whatever the tables' sizes, and gives
 k rows a query at most, none below the first floor.
 
 How much coarse bounds save depends on the vectors: where all coordinates
-weigh alike (as in tests of random vectors) only the finest resolution prunes,
-to about a tenth of the pairs, at the cost of bounds for all.
+weigh alike (as in tests of random vectors) only the two finest resolutions
+prune, at the cost of bounds for all pairs.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ from tessera.llm.common import release_memory, shuffle_partitions
 #: Rows of a block of queries, of candidates, of a part, and of the sample.
 QUERY_ROWS, CANDIDATE_ROWS, PART_ROWS, SAMPLE_ROWS = 1024, 4096, 262_144, 2048
 #: Numbers of segments, coarse to fine. Longest vectors that are turned.
-RESOLUTIONS, TURNED = (1, 4, 16, 32), 512
+RESOLUTIONS, TURNED = (1, 4, 16, 32, 48), 512
 _PACKED = "dim int, ids binary, vectors binary, width string"
 
 
