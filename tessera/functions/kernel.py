@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.kernels import arrange, codecs, geodesic, planar
+from tessera.kernels import arrange, codecs, geodesic, planar, wkb
 from tessera.kernels.codecs import G
 from tessera.types import DEPTH, Geo, GeoError, GeoType, check_same
 
@@ -87,13 +87,15 @@ def encode(rows: list[G | None], t: GeoType) -> pa.Array:
     return pa.array([None if g is None else write(g) for g in rows], pa.string() if t.kind == "wkt" else pa.binary())
 
 
-def _call(f: Callable[..., Any], out: T.DataType | GeoType, geos: list[Geo], others: list[Column] = ()) -> Column:
-    """f row by row over geometry columns and further columns; NULL in any gives NULL."""
+def _call(f: Callable[..., Any], out: T.DataType | GeoType, geos: list[Geo], others: list[Column] = (), fast: Callable[..., pa.Array | None] | None = None) -> Column:
+    """f row by row over geometry columns and further columns; NULL in any gives NULL. fast: whole Arrow arrays at once, or None where it cannot."""
     types = [g.type for g in geos]
     n, kind = len(geos), out.storage if isinstance(out, GeoType) else out
     arrow = None if isinstance(out, GeoType) else to_arrow_type(out)
 
     def run(arrays: tuple[pa.Array, ...]) -> pa.Array:
+        if fast is not None and (found := fast(*arrays)) is not None:
+            return found.cast(to_arrow_type(kind))
         cols = [decode(a, t) for a, t in zip(arrays, types)] + [a.to_pylist() for a in arrays[n:]]
         rows = [None if any(v is None for v in row) else f(*row) for row in zip(*cols, strict=True)]
         return encode(rows, out) if isinstance(out, GeoType) else pa.array(rows, arrow)
@@ -129,7 +131,10 @@ def _xy(t: GeoType, kind: str) -> GeoType:
 
 def to_wkb(g: Geo) -> Geo:
     t = replace(g.type, kind="wkb")
-    return g if g.type.kind in ("wkb", "geometry") else Geo(_call(lambda x: x, t, [g]), t)
+    if g.type.kind in ("wkb", "geometry"):
+        return g
+    kind, dim = g.type.kind, g.type.dim
+    return Geo(_call(lambda x: x, t, [g], fast=lambda a: wkb.encode(a, kind, dim)), t)
 
 
 def to_wkt(g: Geo) -> Geo:
@@ -161,7 +166,7 @@ def from_wkb(c: Column, t: GeoType) -> Geo:
     """WKB as a column of type t. Boxes are refused."""
     if t.kind == "box":
         raise GeoError("WKB has no boxes")
-    return Geo(_call(lambda x: _fit(x, t), t, [Geo(c, GeoType("wkb"))]), t)
+    return Geo(_call(lambda x: _fit(x, t), t, [Geo(c, GeoType("wkb"))], fast=lambda a: wkb.decode(a, t.kind, t.dim)), t)
 
 
 def from_wkt(c: Column, t: GeoType) -> Geo:
@@ -330,12 +335,21 @@ def frechet_distance(a: Geo, b: Geo) -> Column:
     return _call(planar.frechet_distance, T.DoubleType(), [a, b])
 
 
+#: Lists that lines nest.
+_PATHS = {"linestring": 1, "multilinestring": 2}
+
+
+def _lengths(g: Geo, over_antipodes: bool) -> Callable[..., pa.Array | None] | None:
+    depth = _PATHS.get(g.type.kind)
+    return (lambda a: geodesic.lengths(a, depth, over_antipodes)) if depth else None
+
+
 def geodesic_length(g: Geo) -> Column:
-    return _call(geodesic.geodesic_length, T.DoubleType(), [g])
+    return _call(geodesic.geodesic_length, T.DoubleType(), [g], fast=_lengths(g, True))
 
 
 def vincenty_length(g: Geo) -> Column:
-    return _call(geodesic.vincenty_length, T.DoubleType(), [g])
+    return _call(geodesic.vincenty_length, T.DoubleType(), [g], fast=_lengths(g, False))
 
 
 def geodesic_perimeter(g: Geo) -> Column:
@@ -431,9 +445,29 @@ def _overlay(op: str) -> Callable[[Geo, Geo], Geo]:
 intersection, union, difference, sym_difference = map(_overlay, ("intersection", "union", "difference", "sym_difference"))
 
 
+def as_svg(g: Geo) -> Column:
+    """SVG elements: circles, polylines and paths, multi-part kinds in a group; y grows downwards, as the numbers are."""
+    return _call(codecs.to_svg, T.StringType(), [g])
+
+
 # user functions
 
 
+def map_chunks(f: Callable[[list[G | None]], list], out: T.DataType | GeoType, g: Geo) -> Column | Geo:
+    """f of whole batches of geometries, nulls among them; it gives as many values. For what is cheaper for many rows at once."""
+
+    t = g.type
+
+    def run(a: pa.Array) -> pa.Array:
+        rows = f(decode(a, t))
+        if len(rows) != len(a):
+            raise GeoError(f"{len(rows)} values for {len(a)} geometries")
+        return encode(rows, out) if isinstance(out, GeoType) else pa.array(rows, to_arrow_type(out))
+
+    c = F.arrow_udf(run, out.storage if isinstance(out, GeoType) else out)(g.column)
+    return Geo(c, out) if isinstance(out, GeoType) else c
+
+
 def unary(f: Callable[[G], Any], out: T.DataType | GeoType, g: Geo) -> Column | Geo:
     """f of each geometry; NULL stays NULL. out: a Spark type, or a geometry type if f gives geometries."""
     c = _call(f, out, [g])

@@ -13,7 +13,7 @@ import re
 import struct
 from typing import Any, NamedTuple
 
-from tessera.types import DEPTH, DIMS, KINDS, GeoError
+from tessera.types import DEPTH, DIMS, KINDS, SINGLE, GeoError
 
 
 class G(NamedTuple):
@@ -345,3 +345,23 @@ def from_geojson(x: dict | str) -> G:
     if kind == "point":
         return G(kind, dim, walk(c, 0) if c else None)
     return G(kind, dim, walk(c, depth))
+
+
+# SVG
+
+
+def to_svg(g: G) -> str:
+    """Elements of an SVG image: a circle a point, a polyline a line, a path an area with its holes, a group for several."""
+    at = lambda v: f"{_plain(v[0])},{_plain(v[1])}"
+    if g.kind == "point":
+        return "" if g.value is None else f'<circle cx="{_plain(g.value[0])}" cy="{_plain(g.value[1])}" r="1"/>'
+    if g.kind == "linestring":
+        return f'<polyline points="{" ".join(map(at, g.value))}" fill="none"/>' if g.value else ""
+    if g.kind == "polygon":
+        return f'<path d="{" ".join("M " + " L ".join(map(at, r[:-1] if r[0] == r[-1] else r)) + " Z" for r in g.value if r)}" fill-rule="evenodd"/>' if g.value else ""
+    parts = g.value if g.kind == "geometrycollection" else [G(SINGLE[g.kind], g.dim, x) for x in g.value]
+    return f"<g>{''.join(map(to_svg, parts))}</g>"
+
+
+def _plain(x: float) -> str:
+    return str(int(x)) if x == int(x) and abs(x) < 1e15 else repr(x)

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from tessera.kernels.codecs import G
 from tessera.kernels.planar import _lines, _polygons
 
@@ -51,6 +55,60 @@ def inverse(p: tuple, q: tuple) -> tuple[float, float, float] | None:
     return B * x * (sigma - d), azimuth, sigma
 
 
+def inverse_many(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Distances in metres between rows of points in degrees, all steps of the iteration at once; NaN where it does not converge."""
+    l = np.radians((q[:, 0] - p[:, 0] + 540) % 360 - 180)
+    u1, u2 = np.arctan((1 - FLAT) * np.tan(np.radians(p[:, 1]))), np.arctan((1 - FLAT) * np.tan(np.radians(q[:, 1])))
+    out = np.where((p[:, :2] == q[:, :2]).all(1), 0.0, np.nan)
+    at, lam = np.flatnonzero(np.isnan(out) & np.isfinite(l) & np.isfinite(u1) & np.isfinite(u2)), l.copy()
+    for _ in range(200):
+        if not len(at):
+            break
+        s1, c1, s2, c2 = np.sin(u1[at]), np.cos(u1[at]), np.sin(u2[at]), np.cos(u2[at])
+        sl, cl = np.sin(lam[at]), np.cos(lam[at])
+        ss = np.hypot(c2 * sl, c1 * s2 - s1 * c2 * cl)
+        out[at[ss == 0]] = 0.0
+        some = ss != 0
+        at, s1, c1, s2, c2, sl, cl, ss = (x[some] for x in (at, s1, c1, s2, c2, sl, cl, ss))
+        cs = s1 * s2 + c1 * c2 * cl
+        sigma, sa = np.arctan2(ss, cs), c1 * c2 * sl / ss
+        ca2 = 1 - sa * sa
+        c2m = np.where(ca2 > 1e-16, cs - 2 * s1 * s2 / np.where(ca2 > 1e-16, ca2, 1.0), 0.0)
+        k = FLAT / 16 * ca2 * (4 + FLAT * (4 - 3 * ca2))
+        new = l[at] + (1 - k) * FLAT * sa * (sigma + k * ss * (c2m + k * cs * (-1 + 2 * c2m * c2m)))
+        done = np.abs(new - lam[at]) < 1e-13
+        lam[at] = new
+        w = ca2 * (A * A - B * B) / (B * B)
+        x = 1 + w / 16384 * (4096 + w * (-768 + w * (320 - 175 * w)))
+        y = w / 1024 * (256 + w * (-128 + w * (74 - 47 * w)))
+        d = y * ss * (c2m + y / 4 * (cs * (-1 + 2 * c2m * c2m) - y / 6 * c2m * (-3 + 4 * ss * ss) * (-3 + 4 * c2m * c2m)))
+        out[at[done]] = (B * x * (sigma - d))[done]
+        at = at[~done & (np.abs(new) <= math.pi + 1e-9)]
+    return out
+
+
+def lengths(values: pa.Array, depth: int, over_antipodes: bool) -> pa.Array | None:
+    """Lengths of a native column of lines (depth 1) or multilines (depth 2). Steps that do not converge are sought one by one, or make the length null. None if there are nulls within geometries."""
+    paths, of = values, np.arange(len(values))
+    for _ in range(depth):
+        n = pc.fill_null(pc.list_value_length(paths), 0).to_numpy(zero_copy_only=False)
+        path = np.repeat(np.arange(len(n)), n)
+        of, paths = np.repeat(of, n), paths.flatten()
+        if paths.null_count:
+            return None
+    x, y = paths.field("x"), paths.field("y")
+    if x.null_count or y.null_count:
+        return None
+    xy = np.stack([x.to_numpy(zero_copy_only=False), y.to_numpy(zero_copy_only=False)], 1)
+    step = np.flatnonzero(path[1:] == path[:-1])
+    d = inverse_many(xy[step], xy[step + 1])
+    finite = np.isfinite(xy).all(1)
+    for k in np.flatnonzero(np.isnan(d) & finite[step] & finite[step + 1]).tolist() if over_antipodes else ():
+        d[k] = _step(tuple(xy[step[k]]), tuple(xy[step[k] + 1]))
+    total = np.bincount(of[step], d, len(values))
+    return pa.array(total, mask=~values.is_valid().to_numpy(zero_copy_only=False) | np.isnan(total))
+
+
 def vincenty_length(g: G) -> float | None:
     """Of lines, in metres; null if a step does not converge; 0 for other kinds."""
     total = 0.0

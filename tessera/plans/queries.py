@@ -8,12 +8,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera import functions as st
 from tessera.functions import kernel, native
 from tessera.operators import downcast as narrow
 from tessera.operators import rows
 from tessera.operators.explode import explode, geometries
+from tessera.operators.index import index_chunks, search_chunks
 from tessera.operators.join import bbox_filter, distance_join, spatial_join
 from tessera.plans import shapes as s
 from tessera.sources import flatgeobuf, geoparquet, shapefile, text
@@ -864,3 +866,18 @@ def shapefile_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = shapefile.read_shapefile(spark, path, crs="EPSG:4326")
     b = native.bounding_rect(geo(df)).column
     return df.select(F.col("KEY").cast("int").alias("key"), F.col("NAME").alias("name"), st.area(geo(df)).alias("area"), b["xmin"].alias("xmin"), b["ymax"].alias("ymax"))
+
+
+@query(f"WITH {s.SQL_EVENTS} SELECT event_id AS id FROM ev WHERE x >= -20 AND x <= 35.5 AND y >= 10 AND y <= 48")
+def index_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in a window, by trees over chunks of a thousand."""
+    return search_chunks(index_chunks(s.events(spark, sf_dir), "event_id", "g", 1000), (35.5, 48.0, -20.0, 10.0))
+
+
+@query(f"WITH {s.SQL_ELLS} SELECT s_suppkey, '<path d=\"M ' || array_to_string(list_transform([[0, 0], [4, 0], [4, 1], [1, 1], [1, 4], [0, 4]], lambda v: (v[1] * f + ox)::BIGINT || ',' || (v[2] * f + oy)::BIGINT), ' L ') || ' Z\" fill-rule=\"evenodd\"/>' AS svg, 7::BIGINT AS n FROM ells")
+def svg_and_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SVG paths, and vertices counted by whole batches."""
+    df = s.suppliers(spark, sf_dir)
+    g = geo(df, "g")
+    n = kernel.map_chunks(lambda rows: [None if x is None else len(x.value[0]) for x in rows], T.LongType(), g)
+    return df.select("s_suppkey", kernel.as_svg(g).alias("svg"), n.alias("n"))

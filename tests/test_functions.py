@@ -3,6 +3,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera import functions as st
 from tessera.functions import kernel, native
@@ -354,3 +355,28 @@ def test_arrangement_in_integers_and_rationals():
         for name, patterns in arrange.PATTERNS.items():
             assert arrange.predicate(name, a, b) == (any(arrange.matches(m, p) for p in patterns) != (name == "intersects"))
         assert arrange.predicate("overlaps", a, b) == arrange.matches(m, "T*T***T**") and not arrange.predicate("crosses", a, b)
+
+
+def test_svg_and_chunks(spark):
+    df = frame(spark, [["POINT (1 2.5)"], ["LINESTRING (0 0, 1 1)"], ["POLYGON ((0 0, 4 0, 4 4, 0 0), (1 1, 2 1, 2 2, 1 1))"], ["MULTIPOINT ((1 2), (3 4))"], [None]], [geometry()])
+    count = kernel.map_chunks(lambda rows: [None if g is None else len(list(vertices(g))) for g in rows], T.LongType(), geo(df))
+    svg, n = zip(*values(df, kernel.as_svg(geo(df)), count))
+    assert list(svg) == ['<circle cx="1" cy="2.5" r="1"/>', '<polyline points="0,0 1,1" fill="none"/>', '<path d="M 0,0 L 4,0 L 4,4 Z M 1,1 L 2,1 L 2,2 Z" fill-rule="evenodd"/>', '<g><circle cx="1" cy="2" r="1"/><circle cx="3" cy="4" r="1"/></g>', None]
+    assert list(n) == [1, 2, 8, 2, None]
+
+
+def test_geodesic_lengths_of_whole_columns():
+    """All steps at once give what steps one by one give, near antipodes and along meridians too."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    rng = random.Random(8)
+    spot = lambda: rng.choice([(rng.uniform(-180, 180), rng.uniform(-90, 90)), (0.0, 0.0), (179.7, 0.5), (10.0, rng.uniform(-80, 80)), (rng.uniform(-180, 180), 0.0)])
+    for kind, make in (("linestring", lambda: [spot() for _ in range(rng.randint(0, 5))]), ("multilinestring", lambda: [[spot() for _ in range(rng.randint(0, 4))] for _ in range(rng.randint(0, 3))])):
+        rows = [None if rng.random() < 0.1 else G(kind, "xy", make()) for _ in range(150)]
+        values = pa.array([codecs.to_native(g) for g in rows], to_arrow_type(GeoType(kind).storage))
+        for over, one in ((True, geodesic.geodesic_length), (False, geodesic.vincenty_length)):
+            got = geodesic.lengths(values, 1 if kind == "linestring" else 2, over).to_pylist()
+            for g, x in zip(rows, got, strict=True):
+                want = None if g is None else one(g)
+                assert (x is None) == (want is None) and (want is None or x == pytest.approx(want, rel=1e-9, abs=1e-6))

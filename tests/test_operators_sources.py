@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import kernel, native
 from tessera.operators.explode import explode
-from tessera.operators.join import candidates, cell_size, distance_join, spatial_join
+from tessera.operators.index import index_chunks, search_chunks
+from tessera.operators.join import bbox_filter, candidates, cell_size, distance_join, spatial_join
 from tessera.sources import flatgeobuf, geoparquet, shapefile, text
 from tessera.streaming.geofence import fence_counts, in_fences
-from tessera.types import Geo, GeoError, geo, geometry, multilinestring, multipolygon, point, polygon
+from tessera.types import Geo, GeoError, geo, geometry, linestring, multilinestring, multipolygon, point, polygon
 from tests.shapes import WKT, column
 from tests.shapes import from_wkt as frame
 
@@ -395,3 +396,64 @@ def test_geoparquet_places_and_row_groups(spark, tmp_path):
         at.append(at[-1] + g["rows"])
     assert sorted(r.i for r in some.collect()) == sorted(order[at[1] : at[2]] + order[at[-2] : at[-1]]) and geo(some, "g0").type.kind == "point"
     assert d.read_row_groups([0], columns=["i"]).columns == ["i"] and d.read_row_groups([]).count() == 0
+
+
+def test_index_of_chunks(spark, tmp_path):
+    rng = random.Random(21)
+    rows = [[f"LINESTRING ({x} {y}, {x + rng.random()} {y + rng.random()})"] for x, y in ((rng.uniform(0, 20), rng.uniform(0, 20)) for _ in range(700))] + [[None], ["LINESTRING EMPTY"]]
+    df = frame(spark, rows, [linestring()]).repartition(3)
+    index = index_chunks(df, "i", "g0", 100)
+    assert index.agg(F.sum("n"), F.max("n")).first()[:] == (700, 100)
+    index.write.parquet(str(tmp_path / "index"))
+    stored = spark.read.parquet(str(tmp_path / "index"))
+    for box in ((3, 4, 6, 5), (6, 5, 3, 4), (0, 0, 30, 30), (40, 40, 50, 50)):
+        want = sorted(r.i for r in bbox_filter(df, "g0", box).collect())
+        assert sorted(r.id for r in search_chunks(stored, box).collect()) == want
+    assert index_chunks(df.filter("i < 0"), "i", "g0").count() == 0
+
+
+class _Shape:
+    def __init__(self, wkb):
+        self.wkb = wkb
+
+
+def test_exchange_by_wkb(spark, monkeypatch):
+    """With stand-ins for the libraries, which are not there."""
+    import sys
+    import types
+
+    import pandas as pd
+
+    from tessera import interop
+    from tessera.kernels.codecs import from_wkt as read
+    from tessera.kernels.codecs import to_wkb
+
+    wkb = [to_wkb(read("POINT (1 2)")), None, to_wkb(read("LINESTRING (0 0, 1 1)"))]
+    df = interop.from_shapely(spark, [None if x is None else _Shape(x) for x in wkb], "EPSG:4326", "g")
+    assert geo(df).type.crs == "EPSG:4326" and [r.w for r in df.orderBy("place").select(kernel.to_wkt(geo(df)).column.alias("w")).collect()] == ["POINT (1 2)", None, "LINESTRING (0 0, 1 1)"]
+    with pytest.raises(GeoError):
+        interop.to_shapely(df)
+
+    class Column:
+        name = "shape"
+
+        def to_wkb(self):
+            return wkb
+
+    class Frame:
+        geometry, crs = Column(), types.SimpleNamespace(to_authority=lambda: ("EPSG", "3857"))
+
+        def drop(self, columns):
+            assert columns == ["shape"]
+            return pd.DataFrame({"a": [1, 2, 3]})
+
+    back = interop.from_geopandas(spark, Frame())
+    assert back.columns == ["a", "shape"] and geo(back).type.crs == "EPSG:3857" and back.filter("shape is null").first().a == 2
+    monkeypatch.setitem(sys.modules, "shapely", types.SimpleNamespace(from_wkb=_Shape))
+    assert [None if s is None else s.wkb for s in interop.to_shapely(df.orderBy("place"))] == wkb
+    fake = types.SimpleNamespace(GeoDataFrame=lambda plain, geometry: (list(plain.columns), geometry), GeoSeries=types.SimpleNamespace(from_wkb=lambda v, crs: (list(v), crs)))
+    monkeypatch.setitem(sys.modules, "geopandas", fake)
+    assert interop.to_geopandas(df.orderBy("place")) == (["place"], (wkb, "EPSG:4326"))
+    table = spark.createDataFrame([(1, bytearray(wkb[0]))], "a int, wkb_geometry binary").toArrow()
+    monkeypatch.setitem(sys.modules, "pyogrio", types.SimpleNamespace(read_arrow=lambda path: ({"crs": "EPSG:4326"}, table)))
+    assert geo(interop.read_pyogrio(spark, "x")).type.kind == "geometry"

@@ -157,3 +157,33 @@ def test_geojson_column(spark):
     assert j.first().j == '{"type":"Polygon","coordinates":[[[0.0,0.0],[1.0,0.0],[1.0,1.0],[0.0,0.0]]]}'
     back = j.select(kernel.from_geojson(j.j, polygon()).alias("g"))
     assert back.select(kernel.to_wkt(geo(back, "g")).column).first()[0] == "POLYGON ((0 0, 1 0, 1 1, 0 0))"
+
+
+@pytest.mark.parametrize("dim", ["xy", "xyz", "xym", "xyzm"])
+@pytest.mark.parametrize("kind", ["point", "linestring", "polygon"])
+def test_wkb_of_whole_columns(kind, dim):
+    """Columns at once give what rows give one by one, slices and nulls too; what is not uniform is left to the rows."""
+    import random
+
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    from tessera.kernels import codecs, wkb
+    from tessera.kernels.codecs import G
+    from tessera.types import DEPTH, GeoType
+
+    rng, t = random.Random(7), GeoType(kind, dim)
+    make = lambda depth: [make(depth - 1) for _ in range(rng.randint(0, 4))] if depth else tuple(rng.random() for _ in dim)
+    for _ in range(12):
+        rows = [None if rng.random() < 0.2 else G(kind, dim, None if kind == "point" and rng.random() < 0.1 else make(DEPTH[kind])) for _ in range(rng.randint(0, 40))]
+        native = pa.array([codecs.to_native(g) for g in rows], to_arrow_type(t.storage))
+        want = [None if g is None else codecs.to_wkb(g) for g in rows]
+        a, z = sorted((rng.randint(0, len(rows)), rng.randint(0, len(rows))))
+        assert wkb.encode(native, kind, dim).to_pylist() == want and wkb.encode(native.slice(a, z - a), kind, dim).to_pylist() == want[a:z]
+        plain = pa.array(want, pa.binary())
+        assert str(wkb.decode(plain, kind, dim).cast(native.type).to_pylist()) == str(native.to_pylist())
+        assert str(wkb.decode(plain.slice(a, z - a), kind, dim).cast(native.type).to_pylist()) == str(native.to_pylist()[a:z])
+        if any(want):
+            cut = [x[:-1] if x else x for x in want]
+            other = [*want, codecs.to_wkb(G("multipoint", dim, [])), b"\x00" + bytes(30)]
+            assert wkb.decode(pa.array(cut, pa.binary()), kind, dim) is None and wkb.decode(pa.array(other, pa.binary()), kind, dim) is None
