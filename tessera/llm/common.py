@@ -36,11 +36,25 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage, survives lost executors."""
+#: A table of numbers is written in at most so many files a core, or as many as hold so many numbers each, if that is more.
+FILES_A_CORE, NUMBERS_A_FILE = 2, 4_000_000
+
+
+def materialize(df: DataFrame, name: str, numbers: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it again: cuts lineage, survives lost executors.
+
+    numbers: how many numbers df is known to hold about; 0 for tables of a few
+    numbers a document, made from written tables, which are far less than the
+    texts. Such a table is written in fewer files than shuffles have
+    partitions: else it would be tiny ones by the hundred, again and again. A
+    task then has several partitions of what made df, so Python code of that
+    stage must not tell them apart by the task.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     _written.append(path)
+    if numbers is not None:
+        df = df.coalesce(max(FILES_A_CORE * spark.sparkContext.defaultParallelism, -(-numbers // NUMBERS_A_FILE)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -41,6 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import broadcast_if_small, materialize, release_memory, shuffle_partitions
+from tessera.types import free_name
 
 #: Characters and documents of a chunk; fragments that the order is cut into; members of a list that make a block.
 CHUNK_CHARS, CHUNK_DOCS, FRAGMENTS, LIST_ROWS = 12_000_000, 60_000, 8, 2000
@@ -188,22 +189,22 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
 def contract(links: DataFrame) -> DataFrame:
     """node and root for every node of links (a, b); nodes that links connect share a root, the smallest of them. Contracts links until none is left."""
-    edges = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "cc-links")
+    edges = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "cc-links", 0)
     roots: DataFrame | None = None
     while not edges.isEmpty():
         # each node hangs on its smallest neighbour, if that is smaller; one jump shortens chains
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("node"), F.least("a", "p").alias("up"))
         top = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        up = materialize(up.join(top, "up").select("node", F.col("top").alias("up")), "cc-up")
+        up = materialize(up.join(top, "up").select("node", F.col("top").alias("up")), "cc-up", 0)
         if roots is None:
             roots = up.select("node", F.col("up").alias("root"))
         else:
             to = up.select(F.col("node").alias("root"), F.col("up").alias("new"))
-            roots = materialize(roots.join(to, "root", "left").select("node", F.coalesce("new", "root").alias("root")), "cc-roots")
+            roots = materialize(roots.join(to, "root", "left").select("node", F.coalesce("new", "root").alias("root")), "cc-roots", 0)
         x, y = up.select(F.col("node").alias("a"), F.col("up").alias("x")), up.select(F.col("node").alias("b"), F.col("up").alias("y"))
         moved = edges.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        edges = materialize(moved.filter("a < b").distinct(), "cc-links")
+        edges = materialize(moved.filter("a < b").distinct(), "cc-links", 0)
     return roots if roots is not None else links.sparkSession.createDataFrame([], "node long, root long")
 
 
@@ -216,7 +217,7 @@ def _more_links(roots: DataFrame, links: DataFrame) -> DataFrame:
     to = new.select(F.col("node").alias("root"), F.col("root").alias("new"))
     old = r.join(to, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
     fresh = new.join(r.select("node"), "node", "left_anti")
-    return materialize(old.unionAll(fresh), "join-roots")
+    return materialize(old.unionAll(fresh), "join-roots", 0)
 
 
 def cuts(ordered: DataFrame) -> list[tuple[int, int]]:
@@ -238,9 +239,16 @@ def cuts(ordered: DataFrame) -> list[tuple[int, int]]:
     return out
 
 
-def fragment_of(at: list[tuple[int, int]]):
-    """The fragment of a place (df, h) of the order, as a function of columns."""
-    return lambda x: sum((F.when((x["df"] > df) | ((x["df"] == df) & (x["h"] >= h)), 1).otherwise(0) for df, h in at), F.lit(0))
+def segments_of(ordered: DataFrame, at: list[tuple[int, int]]) -> DataFrame:
+    """rep, fragment and part (hashes) of the sets of ordered (rep, g), which are in order: where each cut falls in a set is counted, and the set is sliced there."""
+
+    def before(df: int, h: int) -> Column:
+        return F.size(F.filter("g", lambda x: (x["df"] < df) | ((x["df"] == df) & (x["h"] < h))))
+
+    ends = F.array(F.lit(0), *[before(*cut) for cut in at], F.size("g"))
+    cut = ordered.select("rep", F.col("g.h").alias("hashes"), ends.alias("ends"))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(len(at))), lambda k: F.slice("hashes", F.get("ends", k) + 1, F.get("ends", k + 1) - F.get("ends", k)))
+    return cut.select("rep", F.posexplode(parts).alias("fragment", "part")).filter(F.size("part") > 0)
 
 
 def _counted(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
@@ -264,7 +272,7 @@ def _open_lists(lists: DataFrame, roots: DataFrame, turn: int) -> tuple[DataFram
     rank = F.col("own").cast("long") if turn == 0 else F.xxhash64("rep", F.lit(turn))
     parts = now.groupBy("h", "root").agg(F.count("*").alias("n"), F.min(F.struct(rank.alias("x"), "rep", "size", "rest")).alias("first"))
     by = parts.groupBy("h").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq"), F.count("*").alias("k"), F.min(F.struct("first.x", "first.rep", "first.size", "first.rest", "root")).alias("hub")).filter("k > 1")
-    by = materialize(by, "join-hubs")
+    by = materialize(by, "join-hubs", 0)
     across = by.agg(F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("sq")), F.lit(0))).first()[0] // 2
     return now.join(by.select("h", "hub", F.col("n").alias("members")), "h"), across
 
@@ -299,24 +307,19 @@ def _hopeful(lists: DataFrame, num: int, den: int) -> DataFrame:
 
 def link_representatives(reps: DataFrame, num: int, den: int, given: DataFrame, hub_rounds: int = 3) -> DataFrame:
     """node and root for those of reps (rep, size, hashes; distinct sets) that link with others. given: links (a, b) that hold anyway."""
+    n = reps.agg(F.sum("size")).first()[0] or 0
     grams = reps.select("rep", F.explode("hashes").alias("h"))
     twice = grams.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
     # what is dealt by shingle is the shingle and the set's name; sizes come back by name
     ordered = grams.join(twice, "h").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("g")).join(reps.select("rep", "size"), "rep")
     # shingles of one set only come first in the order; they are in the prefix but in no list
     ordered = ordered.withColumn("prefix", F.expr(f"cast(size(g) - (size * {num} + {den - 1}) div {den} + 1 as int)")).filter("prefix > 0")
-    ordered = materialize(ordered.select("rep", "size", "prefix", "g"), "join-ordered")
-    place = fragment_of(cuts(ordered))
+    ordered = materialize(ordered.select("rep", "size", "prefix", "g"), "join-ordered", 2 * n)
     # rest: shingles of the set from this one on
     lists = ordered.select("rep", "size", (F.col("size") - F.size("g")).alias("own"), F.size("g").alias("m"), F.posexplode(F.slice("g", F.lit(1), F.col("prefix"))).alias("pos", "s"))
     lists = lists.select("rep", "size", "own", (F.col("m") - F.col("pos")).alias("rest"), F.col("s.h").alias("h"))
-    lists = materialize(_hopeful(_hopeful(lists, num, den), num, den), "join-lists")
-
-    def segment(k: int) -> Column:
-        return F.transform(F.filter("g", lambda x: place(x) == k), lambda x: x["h"])
-
-    parts = F.array(*map(segment, range(FRAGMENTS)))
-    segments = materialize(ordered.select("rep", F.posexplode(parts).alias("fragment", "part")).filter(F.size("part") > 0), "join-segments")
+    lists = materialize(_hopeful(_hopeful(lists, num, den), num, den), "join-lists", 4 * n)
+    segments = materialize(segments_of(ordered, cuts(ordered)), "join-segments", n)
     n_rows = lists.count()
     roots, done = contract(given), None
     for turn in range(hub_rounds + 1):
@@ -332,8 +335,8 @@ def link_representatives(reps: DataFrame, num: int, den: int, given: DataFrame,
             met = now.filter((F.col("root") != F.col("hub.root")) & _fits(num, den, rest, size, F.col("hub.rest"), hub_size))
             pairs = met.select(F.least(rep, hub).alias("a"), F.greatest(rep, hub).alias("b"), F.when(rep < hub, size).otherwise(hub_size).alias("size_a"), F.when(rep < hub, hub_size).otherwise(size).alias("size_b"))
         pairs = pairs.distinct()
-        pairs = materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "join-pairs")
-        found = materialize(_counted(pairs, segments, num, den), "join-links")
+        pairs = materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "join-pairs", 0)
+        found = materialize(_counted(pairs, segments, num, den), "join-links", 0)
         if not found.isEmpty():
             roots = _more_links(roots, found)
         if last:
@@ -351,19 +354,21 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100)
     blank texts have no shingles and link with none. Rows of one doc_id are one
     document as far as components go, each with its own shingles. Rows with a
     null doc_id take no part: their component_id is null.
+    Very long texts are read whole; an empty table gives no rows. There are no
+    ties: every pair that may link is compared exactly.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    sizes = materialize(_sizes(base, n, num, den), "join-sizes")
-    may_link = broadcast_if_small(materialize(sizes.filter("may_link").select("doc").distinct(), "join-may-link"))
+    sizes = materialize(_sizes(base, n, num, den), "join-sizes", 0)
+    may_link = broadcast_if_small(materialize(sizes.filter("may_link").select("doc").distinct(), "join-may-link", 0))
     sets = materialize(_sets(base.join(may_link, "doc", "left_semi"), n).filter("size > 0"), "join-sets")
     # one class for each distinct set, named by half of its hash
-    chosen = broadcast_if_small(materialize(sets.filter("hashes is not null").groupBy("s1", "s2").agg(F.min("row").alias("row")).select("row"), "join-chosen"))
+    chosen = broadcast_if_small(materialize(sets.filter("hashes is not null").groupBy("s1", "s2").agg(F.min("row").alias("row")).select("row"), "join-chosen", 0))
     classes = sets.join(chosen, "row", "left_semi").select(F.col("s1").alias("rep"), "size", "hashes")
     member = sets.select("doc", F.col("s1").alias("node")).distinct()
     several = member.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("doc", "a")
     given = member.join(several, "doc").filter("node <> a").select("a", F.col("node").alias("b"))
-    roots = link_representatives(classes, num, den, materialize(given, "join-given"))
-    placed = materialize(member.join(roots, "node", "left").select("doc", F.coalesce("root", "node").alias("root")), "join-placed")
+    roots = link_representatives(classes, num, den, materialize(given, "join-given", 0))
+    placed = materialize(member.join(roots, "node", "left").select("doc", F.coalesce("root", "node").alias("root")), "join-placed", 0)
     least = placed.groupBy("root").agg(F.min("doc").alias("component_id"))
     of = placed.join(least, "root").select("doc", "component_id").distinct()
     return sizes.join(of, "doc", "left").select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
@@ -375,14 +380,15 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100) -> D
     Rows of one doc_id are one document, of which one row stays: the one whose
     text sorts first (nulls last), among equal texts the one whose JSON does.
     """
-    found = near_duplicates(docs, n, num, den).filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("_n"))
-    kept = materialize(found, "join-kept")
-    of = F.col("doc_id").cast("long") == F.col("_kept_id")
-    if kept.filter("_n > 1").isEmpty():
+    own = free_name(docs)
+    found = near_duplicates(docs, n, num, den).filter("doc_id = component_id").groupBy(F.col("doc_id").alias(f"{own}id")).agg(F.count("*").alias(f"{own}n"))
+    kept = materialize(found, "join-kept", 0)
+    of, often = F.col("doc_id").cast("long") == F.col(f"{own}id"), F.col(f"{own}n") > 1
+    if kept.filter(often).isEmpty():
         out = docs.join(kept, of, "left_semi")
     else:  # repeated rows
-        rows = docs.join(kept.filter("_n > 1"), of, "left_semi").select(F.struct("*").alias("row"))
+        rows = docs.join(kept.filter(often), of, "left_semi").select(F.struct("*").alias("row"))
         text = F.col("row.text").cast("string")
         first = rows.groupBy(F.col("row.doc_id").alias("id")).agg(F.min_by("row", F.struct(text.isNull(), text, F.to_json("row"))).alias("row"))
-        out = docs.join(kept.filter("_n = 1"), of, "left_semi").unionAll(first.select("row.*"))
+        out = docs.join(kept.filter(~often), of, "left_semi").unionAll(first.select("row.*"))
     return out.unionAll(docs.filter("doc_id is null"))

@@ -167,14 +167,12 @@ def test_cuts_part_the_order(spark):
     """Fragments follow the global order and hold about alike."""
     rng = random.Random(4)
     grams = [(min(50, 2 + int(rng.expovariate(0.4))), rng.randrange(-(2**63), 2**63)) for _ in range(4000)]
-    ordered = spark.createDataFrame([(sorted(grams[k : k + 100]),) for k in range(0, 4000, 100)], "g array<struct<df:long,h:long>>")
-    at = ngram_join.cuts(ordered)
-    place = ngram_join.fragment_of(at)
-    from pyspark.sql import functions as F
-
-    of = [(r.df, r.h, r.f) for r in ordered.select(F.explode("g").alias("x")).select("x.df", "x.h", place(F.col("x")).alias("f")).collect()]
-    assert [f for *_, f in sorted(of)] == sorted(f for *_, f in of) and at == sorted(at)
-    sizes = [sum(f == k for *_, f in of) for k in range(ngram_join.FRAGMENTS)]
+    ordered = spark.createDataFrame([(k, sorted(grams[k : k + 100])) for k in range(0, 4000, 100)], "rep long, g array<struct<df:long,h:long>>")
+    at, df = ngram_join.cuts(ordered), {h: df for df, h in grams}
+    parts = [(r.rep, r.fragment, [(df[h], h) for h in r.part]) for r in ngram_join.segments_of(ordered, at).collect()]
+    of = sorted((x, f) for _, f, part in parts for x in part)
+    assert [x for x, _ in of] == sorted(grams) and [f for _, f in of] == sorted(f for _, f in of) and at == sorted(at)
+    sizes = [sum(f == k for _, f in of) for k in range(ngram_join.FRAGMENTS)]
     assert min(sizes) > 300 and max(sizes) < 700
 
 
