@@ -58,11 +58,12 @@ def drop_bitmaps(docs: DataFrame, min_key_chars: int = 10, slices: tuple[int, ..
     )
     # numbers only; dealing by range reads its input twice
     dropped, rest = None, materialize(keyed, "lines-keyed")
+    n = 5 * rest.count()
     for n in slices:
         # text_hash only decides among rows of one doc_id
         ranged = rest.withColumn("slice", F.pmod(F.xxhash64(F.lit("slice"), "doc_id"), F.lit(n))).repartitionByRange("h1", "h2", "slice").sortWithinPartitions("h1", "h2", "slice", F.col("doc_id").asc_nulls_last(), "pos")
         stream = Window.partitionBy("h1", "h2", "slice").orderBy(F.col("doc_id").asc_nulls_last(), "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        seen = materialize(ranged.withColumn("is_first", F.first("doc_id").over(stream).eqNullSafe(F.col("doc_id"))), "lines-seen")
+        seen = materialize(ranged.withColumn("is_first", F.first("doc_id").over(stream).eqNullSafe(F.col("doc_id"))), "lines-seen", n)
         later = seen.filter(~F.col("is_first")).select("doc_id", "text_hash", "pos")
         dropped = later if dropped is None else dropped.unionAll(later)
         rest = seen.filter("is_first").drop("slice", "is_first")

@@ -36,7 +36,7 @@ def unit_hash(doc_id: Column, seed: str = "mix") -> Column:
 def _places(sizes: DataFrame) -> DataFrame:
     """sizes (source, source_size) with place: the source's place in order of code points, null last, from 0. Dealt by range, so no task has all sources."""
     order = F.col("source").asc_nulls_last()
-    dealt = materialize(sizes.repartitionByRange(order).sortWithinPartitions(order).withColumn("id", F.monotonically_increasing_id()), "mix-sources")
+    dealt = materialize(sizes.repartitionByRange(order).sortWithinPartitions(order).withColumn("id", F.monotonically_increasing_id()), "mix-sources", 0)
     part = F.shiftright("id", 33)
     # a row for each partition
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -57,7 +57,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), shar
         raise ValueError("more is to be dealt than the sources may give")
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.col("place"), F.lit(len(weights))) + 1).cast("int"))
     cap = most * F.col("source_size")
-    ranked = materialize(_places(sizes).select("source", "source_size", w.alias("weight"), cap.alias("cap"), (cap / w).alias("room")), "mix-ranked")
+    ranked = materialize(_places(sizes).select("source", "source_size", w.alias("weight"), cap.alias("cap"), (cap / w).alias("room")), "mix-ranked", 0)
     level = -1.0
     while True:  # the level only rises, and each time another source stops
         stops = F.col("room") < level
@@ -96,7 +96,7 @@ def _cut(items: DataFrame, budgets: DataFrame) -> DataFrame:
         else:  # the hash value that passes is taken if that comes nearer
             low = F.when(F.col("left") <= 0, F.col("low")).when(F.col("b").isNull(), F.col("low") + F.lit(step << LEVEL)).otherwise(F.col("b.bucket") + F.when(2 * rest >= F.col("b.words"), 1).otherwise(0))
             left = F.lit(0.0)
-        state = materialize(found.select("s", low.cast("long").alias("low"), left.alias("left")), "mix-cut")
+        state = materialize(found.select("s", low.cast("long").alias("low"), left.alias("left")), "mix-cut", 0)
     return state.select(F.col("s").alias("source"), F.col("low").alias("cut"))
 
 
@@ -105,10 +105,10 @@ def mix_plan(items: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), sha
     goal = targets(items.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goal = goal.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
-    goal = materialize(goal, "mix-goal")
+    goal = materialize(goal, "mix-goal", 0)
     cut = _cut(items, goal)
     plan = goal.join(cut.withColumnRenamed("source", "cut_source"), F.col("source").eqNullSafe(F.col("cut_source")), "left")
-    return materialize(plan.select(F.col("source").alias("plan_source"), "source_size", "target", "whole", F.coalesce("cut", F.lit(0)).alias("cut")), "mix-plan")
+    return materialize(plan.select(F.col("source").alias("plan_source"), "source_size", "target", "whole", F.coalesce("cut", F.lit(0)).alias("cut")), "mix-plan", 0)
 
 
 def _copies(h: Column) -> Column:

@@ -81,7 +81,7 @@ def fences(measured: DataFrame, reach: float = 6.0, min_group: int = 100, k: int
     part = F.pmod(F.spark_partition_id(), F.lit(slices)).alias("slice")
     by_task = measured.select("lang", "source", part, *names).groupBy("lang", "source", "slice").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(x, k).alias(x) for x in names])
     merged = (F.sum("n").alias("n"), *[F.kll_merge_agg_double(x, k).alias(x) for x in names])
-    fine = materialize(by_task.groupBy("lang", "source").agg(*merged), "rules-quantiles")  # a row for each language and source
+    fine = materialize(by_task.groupBy("lang", "source").agg(*merged), "rules-quantiles", 0)  # a row for each language and source
 
     def quartiles(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
         return df.select(*keys, "n", *[F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double(x, F.array(F.lit(0.25), F.lit(0.75)))).alias(f"q_{x}") for x in names])
