@@ -255,7 +255,7 @@ def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Tokenizer:
     """Encodes and decodes as a tokenizers file says: special tokens, normalizer, splitting, byte symbols, merges."""
 
-    def __init__(self, file: bytes, cache: int = 60_000):
+    def __init__(self, file: bytes, cache: int = 120_000):
         spec = json.loads(file)
         model = spec.pop("model")
         if model["type"] != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or spec.get("decoder"):
@@ -281,6 +281,7 @@ class Tokenizer:
         self.blank = False  # whether some chunk has no tokens
         ids = automaton.ids.tolist()
         self.id_text, self.token_text = [str(i) for i in ids], [labels[i] for i in ids]
+        self.alone = [(1, a, b) for a, b in zip(self.id_text, self.token_text)]  # of words that are one token
 
     def __getstate__(self) -> tuple:
         return self.spec, self.automaton, "\n".join(self.label), self.room
@@ -334,12 +335,12 @@ class Tokenizer:
         found: list[list[int] | None] = [None] * len(words)
         for k, tokens in zip(short, auto.encode_many([raw[k] for k in short]), strict=True):
             found[k] = tokens
-        ids, label = self.id_text, self.token_text
+        ids, label, alone = self.id_text, self.token_text, self.alone
         out = {}
         for k, w in enumerate(words):
             if (tokens := found[k]) is None:
                 tokens = auto.encode("".join([self.bytes[b] for b in raw[k]]))
-            out[w] = (len(tokens), " ".join([ids[t] for t in tokens]), " ".join([label[t] for t in tokens]))
+            out[w] = alone[tokens[0]] if len(tokens) == 1 else (len(tokens), " ".join([ids[t] for t in tokens]), " ".join([label[t] for t in tokens]))
         return out
 
     @staticmethod
