@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, class_lm, language_id, licenses, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, vector_search
 from tessera.llm.common import read
 from tessera.llm.oracles import ORACLE_SQL  # noqa: F401
+from tessera.operators.join import spread
 
 #: Which of the public tokenizer files to use.
 TOKENIZER = "word_bpe_49k.json"
@@ -23,33 +24,38 @@ def tokenizer_file(name: str = TOKENIZER) -> bytes:
         return f.read()
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table; a small one, whose file is one task, is dealt to all cores, as work on texts is much for their bytes."""
+    return spread(read(spark, sf_dir, "documents"))
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_digests(read(spark, sf_dir, "documents"), tokenizer_file())
+    return bpe.encode_digests(documents(spark, sf_dir), tokenizer_file())
 
 
 def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return class_lm.score_documents(read(spark, sf_dir, "documents"))
+    return class_lm.score_documents(documents(spark, sf_dir))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
+    return ngram_join.near_duplicates(documents(spark, sf_dir))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+    out = line_dedup.dedup_lines(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.apply_rules(read(spark, sf_dir, "documents"))
+    return quality_rules.apply_rules(documents(spark, sf_dir))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.identify(read(spark, sf_dir, "documents"))
+    return language_id.identify(documents(spark, sf_dir))
 
 
 def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,11 +63,11 @@ def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(read(spark, sf_dir, "documents"))
+    return licenses.scan_licenses(documents(spark, sf_dir))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return quality_classifier.classify(documents(spark, sf_dir), read(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_class_lm, op3_mixing, op4_ngram_join, op5_line_dedup, op6_quality_rules, op7_language_id, op8_vector_search, op9_licenses, op10_quality_classifier)}
