@@ -146,12 +146,14 @@ class Automaton:
         self.base = np.full(len(node), -1, np.int32)
         used, last = bytearray(n * len(node) + 2 * n), 0
         owner, target = np.full(len(used), -1, np.int32), np.full(len(used), -1, np.int32)
+        from_: dict[int, int] = {}  # where the last node with as many children fitted: what is before it is nearly full
         for p, children in sorted(below.items(), key=lambda x: (-len(x[1]), x[0])):
-            low, at = min(c for c, _ in children), n - 1
+            low, at = min(c for c, _ in children), from_.get(len(children), n) - 1
             while True:
                 at = used.find(0, at + 1)
-                if not any(used[at - low + c] for c, _ in children):
+                if len(children) == 1 or not any([used[at - low + c] for c, _ in children]):
                     break
+            from_[len(children)] = at
             self.base[p] = at - low
             for c, i in children:
                 used[at - low + c], owner[at - low + c], target[at - low + c] = 1, p, i
@@ -412,7 +414,7 @@ def packed(spark: SparkSession, file: bytes) -> bytes:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    yield pa.record_batch([pa.array([zlib.compress(pickle.dumps(Tokenizer(file)), 3)], pa.binary())], ["packed"])
+                    yield pa.record_batch([pa.array([zlib.compress(pickle.dumps(Tokenizer(file)), 1)], pa.binary())], ["packed"])
             release_memory()
 
         _packed[key] = bytes(spark.range(0, 1, 1, 1).mapInArrow(run, "packed binary").first()[0])
