@@ -362,17 +362,16 @@ _LEAF = np.dtype([("x0", "<f8"), ("y0", "<f8"), ("x1", "<f8"), ("y1", "<f8"), ("
 
 @dataclass
 class _Run(InputPartition):
-    """Features from first up to but without last by the index; all of the file's if last is 0."""
+    """Spans of features by the index, each from a first up to but without a last; all of the file's if there are none."""
 
     path: str
-    first: int
-    last: int
+    spans: list
 
 
-def runs(spark: SparkSession, path: str, header: Header, box: list[float] | None) -> list[tuple[str, int, int]]:
-    """The runs of features to be read, those aside that an upper level of the index shows to miss the box."""
+def runs(spark: SparkSession, path: str, header: Header, box: list[float] | None) -> list[tuple[str, list]]:
+    """Partitions: the path and spans of RUN features in all, those aside that an upper level of the index shows to miss the box."""
     if not header.index_size:
-        return [(path, 0, 0)]
+        return [(path, [])]
     spans = [(0, header.count)]
     if box is not None:
         sizes = _levels(header.count, header.node_size)
@@ -385,7 +384,14 @@ def runs(spark: SparkSession, path: str, header: Header, box: list[float] | None
                 spans[-1] = (spans[-1][0], min((k + 1) * under, header.count))
             else:
                 spans.append((k * under, min((k + 1) * under, header.count)))
-    return [(path, a, min(a + RUN, z)) for first, z in spans for a in range(first, z, RUN)]
+    out, n = [], RUN
+    for a, z in [(a, min(a + RUN, z)) for first, z in spans for a in range(first, z, RUN)]:
+        if n + z - a > RUN:
+            out.append((path, []))
+            n = 0
+        out[-1][1].append((a, z))
+        n += z - a
+    return out
 
 
 def _meet(nodes: np.ndarray, box: list[float]) -> np.ndarray:
@@ -397,7 +403,7 @@ class _Reader(DataSourceReader):
         self.options, self.wanted = options, schema
 
     def partitions(self) -> list[InputPartition]:
-        return [_Run(*r) for r in json.loads(self.options["runs"])] or [_Run("", 0, 0)]
+        return [_Run(*r) for r in json.loads(self.options["runs"])] or [_Run("", [])]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if not partition.path:
@@ -414,12 +420,15 @@ class _Reader(DataSourceReader):
             header = Header.parse(head + f.read(struct.unpack_from("<I", head, 8)[0]))
             first = header.end + header.index_size
             offsets, left = None, math.inf
-            if partition.last:
-                f.seek(first - _LEAF.itemsize * (header.count - partition.first))
-                leaves = np.frombuffer(f.read(_LEAF.itemsize * (partition.last - partition.first)), _LEAF)
+            if partition.spans:
+                parts = []
+                for a, z in partition.spans:
+                    f.seek(first - _LEAF.itemsize * (header.count - a))
+                    parts.append(np.frombuffer(f.read(_LEAF.itemsize * (z - a)), _LEAF))
+                leaves = np.concatenate(parts)
                 if box is not None:
                     offsets = np.sort(leaves["offset"][_meet(leaves, box)]).tolist()
-                else:  # features follow each other in the order of the leaves
+                else:  # one span, whose features follow each other in the order of the leaves
                     left = len(leaves)
                     first += int(leaves["offset"].min())
             f.seek(first)
