@@ -124,7 +124,7 @@ def pick(known: DataFrame, max_rows: int) -> DataFrame:
     h = F.xxhash64("doc_id")
     level = F.floor(-8 * F.log2(h / F.lit(2.0**64) + 0.5 + F.lit(2.0**-64))).cast("int")
     ids = known.select("doc_id", "text", "lang").mapInArrow(lettered, "doc_id long, lang string").distinct()
-    ids = materialize(ids.select("doc_id", "lang", level.alias("level")), "language-ids")
+    ids = materialize(ids.select("doc_id", "lang", level.alias("level")), "language-ids", 0)
     # some hundred rows a language
     steps = ids.groupBy("lang", "level").agg(F.count("*").alias("n")).collect()
     rows: dict[str, int] = {}
