@@ -48,10 +48,10 @@ END_TYPE = TYPES - 1
 END = b" "
 #: Counts of so many most frequent words go to the tasks. Bytes of an ending.
 HEAD, ENDING = 400_000, 3
-#: Words that a task counts before it gives the counts on, and tokens that it looks at together.
+#: Words that a task remembers, and tokens that it looks at together.
 ROOM, BLOCK, FEW = 400_000, 2_000_000, 300_000
-#: Of so many words a task gives on those only that it has met again.
-MANY = 20_000
+#: Words that a task counts before it gives the counts on.
+MANY = 400_000
 SMOOTH, PULL = 0.1, 20.0
 _CONTEXT = np.dtype([("slot", "u1"), ("n", "<u4")])
 #: In a sequence of classes: a word that is looked up.
@@ -90,11 +90,8 @@ class _Types(dict):
 def frequent_words(docs: DataFrame, n: int) -> list[bytes]:
     """The n most frequent words of docs (text), the end aside; equally frequent ones by their bytes.
 
-    A task gives its counts on in blocks. A block of many words leaves out
-    those that it holds once: words that are frequent overall lose nothing, or
-    a count where a block is an exception, so all texts are counted here while
-    most rare words are not dealt. Exact counts of all words are summed later
-    from their contexts.
+    A task gives its counts on in blocks, all of them, so the sums are exact
+    however the texts are dealt to tasks and cut into blocks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,24 +100,21 @@ def frequent_words(docs: DataFrame, n: int) -> list[bytes]:
 
         def out() -> pa.RecordBatch:
             count.pop(END, None)
-            some = {w: k for w, k in count.items() if k > 1} if len(count) > MANY else count
-            b = pa.record_batch([pa.array(some.keys(), pa.binary()), pa.array(some.values(), pa.int64())], ["word", "n"])
+            b = pa.record_batch([pa.array(count.keys(), pa.binary()), pa.array(count.values(), pa.int64())], ["word", "n"])
             count.clear()
             return b
 
         for b in batches:
             for x in b.column(0):
                 count.update(tokens_of(x.as_py()))
-                if len(count) >= ROOM:
+                if len(count) >= MANY:
                     yield out()
         yield out()
         release_memory()
 
-    counts = materialize(docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-frequent")
-    least = _least(counts, n)
-    if least is None:
-        return []
-    return _by_count(counts.filter(F.col("n") >= least).toArrow()).column("word").to_pylist()[:n]
+    counts = docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # each partition gives n rows at most
+    return counts.orderBy(F.col("n").desc(), "word").limit(n).toArrow().column("word").to_pylist()
 
 
 def _by_count(words: pa.Table) -> pa.Table:
@@ -128,8 +122,8 @@ def _by_count(words: pa.Table) -> pa.Table:
     return words.sort_by([("n", "descending"), ("word", "ascending")])
 
 
-def _least(counts: DataFrame, enough: int) -> int | None:
-    """A count that enough words reach, or all that do not add up to more than HEAD; None if there is none. From a histogram of counts, some thousand rows."""
+def _least(counts: DataFrame) -> int | None:
+    """A count that no more than HEAD words reach; None if there is none. From a histogram of counts, some thousand rows."""
     steps = counts.groupBy(F.floor(F.log2("n") * 64).alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.col("step").desc()).collect()
     least, reached = None, 0
     for r in steps:
@@ -137,8 +131,6 @@ def _least(counts: DataFrame, enough: int) -> int | None:
         if reached > HEAD:
             break
         least = int(r["least"])
-        if reached >= enough:
-            break
     return least
 
 
@@ -380,7 +372,7 @@ def cluster(train: DataFrame, sweeps: int = 1) -> Words:
     start = Start(types | {END: len(types)}, np.concatenate([of[: len(types)], [CLASSES - 1], endings]), between)
     for _ in range(sweeps):
         table = materialize(move_words(count_contexts(train, start, len(types)), start.bigrams), "lm-words")
-        least = _least(table, HEAD)
+        least = _least(table)
         # at most HEAD words
         head = _by_count(table.filter(F.col("n") >= (2**62 if least is None else least)).select("word", "n", "class").toArrow())
         index = types | {w: len(types) + i for i, w in enumerate(head.column("word").to_pylist())} | {END: len(types) + head.num_rows}

@@ -77,6 +77,18 @@ def test_frequent_words(docs, rows, monkeypatch):
     assert class_lm.frequent_words(docs, 10) == want[:10]
 
 
+def test_frequent_words_however_dealt(spark, monkeypatch):
+    """Words that each task meets once count as often as they are there; many equally frequent words are no fewer types."""
+    texts = [(f"often{k % 3} often{k % 3} " + " ".join(f"rare{k}x{i}" for i in range(40)) + " spread",) for k in range(40)]
+    monkeypatch.setattr(class_lm, "MANY", 30)
+    monkeypatch.setattr(class_lm, "HEAD", 50)
+    for parts in (1, 8, 40):
+        df = spark.createDataFrame(texts, "text string").repartition(parts)
+        assert class_lm.frequent_words(df, 6) == [b"spread", b"often0", b"often1", b"often2", b"rare0x0", b"rare0x1"]
+    equal = spark.createDataFrame([(" ".join(f"w{i:03}" for i in range(200)),)], "text string")
+    assert class_lm.frequent_words(equal, 3) == [b"w000", b"w001", b"w002"]
+
+
 def test_probabilities_sum_to_one(docs):
     """Words of a class and the endings of its unseen ones; classes after a class."""
     m = learned(docs)
