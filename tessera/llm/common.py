@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +43,7 @@ _written: list[str] = []
 FILES_A_CORE, NUMBERS_A_FILE = 2, 4_000_000
 
 
-def materialize(df: DataFrame, name: str, numbers: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, numbers: int | None = None, arrow: bool = False) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage, survives lost executors.
 
     numbers: how many numbers df is known to hold about; 0 for tables of a few
@@ -48,17 +51,51 @@ def materialize(df: DataFrame, name: str, numbers: int | None = None) -> DataFra
     texts. Such a table is written in fewer files than shuffles have
     partitions: else it would be tiny ones by the hundred, again and again. A
     task then has several partitions of what made df, so Python code of that
-    stage must not tell them apart by the task.
+    stage must not tell them apart by the task. arrow: on a local file system
+    Python tasks write it; for tables of flat rows.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     _written.append(path)
     if numbers is not None:
         df = df.coalesce(max(FILES_A_CORE * spark.sparkContext.defaultParallelism, -(-numbers // NUMBERS_A_FILE)))
-    df.write.parquet(path)
+    if arrow and path.startswith("file:"):
+        _write_local(df, "/" + path.removeprefix("file:").lstrip("/"))
+    else:
+        df.write.options(**_plain_files(spark)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _plain_files(spark: SparkSession) -> dict[str, str]:
+    """Options of a write: without a file that marks success, and on a local file system without a file of check sums beside each (Parquet's pages have their own). Without native libraries Hadoop forks the JVM for each."""
+    out = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+    if spark.sparkContext._jsc.hadoopConfiguration().get("fs.file.impl") in (None, "org.apache.hadoop.fs.LocalFileSystem"):
+        out |= {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+    return out
+
+
+def _write_local(df: DataFrame, folder: str) -> None:
+    """Write df to a folder of a local (or mounted) file system from Python tasks, so that no JVM is forked. Of a task's attempts only the one that counts gets a name that readers see."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, writer = f"part-{uuid.uuid4().hex}.parquet", None
+        for b in batches:
+            if b.num_rows:
+                if writer is None:
+                    os.makedirs(folder, exist_ok=True)
+                    writer = pq.ParquetWriter(f"{folder}/_{name}", b.schema)
+                writer.write_batch(b)
+        if writer is not None:
+            writer.close()
+            yield pa.record_batch([pa.array([name])], ["name"])
+        release_memory()
+
+    names = df.mapInArrow(run, "name string").collect()  # a row a file
+    os.makedirs(folder, exist_ok=True)
+    for r in names:
+        os.rename(f"{folder}/_{r[0]}", f"{folder}/{r[0]}")
+
+
 def written() -> int:
     """How many tables there are that discard could delete."""
     return len(_written)

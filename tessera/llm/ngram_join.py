@@ -189,22 +189,22 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
 def contract(links: DataFrame) -> DataFrame:
     """node and root for every node of links (a, b); nodes that links connect share a root, the smallest of them. Contracts links until none is left."""
-    edges = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "cc-links", 0)
+    edges = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "cc-links", 0, arrow=True)
     roots: DataFrame | None = None
     while not edges.isEmpty():
         # each node hangs on its smallest neighbour, if that is smaller; one jump shortens chains
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("node"), F.least("a", "p").alias("up"))
         top = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        up = materialize(up.join(top, "up").select("node", F.col("top").alias("up")), "cc-up", 0)
+        up = materialize(up.join(top, "up").select("node", F.col("top").alias("up")), "cc-up", 0, arrow=True)
         if roots is None:
             roots = up.select("node", F.col("up").alias("root"))
         else:
             to = up.select(F.col("node").alias("root"), F.col("up").alias("new"))
-            roots = materialize(roots.join(to, "root", "left").select("node", F.coalesce("new", "root").alias("root")), "cc-roots", 0)
+            roots = materialize(roots.join(to, "root", "left").select("node", F.coalesce("new", "root").alias("root")), "cc-roots", 0, arrow=True)
         x, y = up.select(F.col("node").alias("a"), F.col("up").alias("x")), up.select(F.col("node").alias("b"), F.col("up").alias("y"))
         moved = edges.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        edges = materialize(moved.filter("a < b").distinct(), "cc-links", 0)
+        edges = materialize(moved.filter("a < b").distinct(), "cc-links", 0, arrow=True)
     return roots if roots is not None else links.sparkSession.createDataFrame([], "node long, root long")
 
 
@@ -217,7 +217,7 @@ def _more_links(roots: DataFrame, links: DataFrame) -> DataFrame:
     to = new.select(F.col("node").alias("root"), F.col("root").alias("new"))
     old = r.join(to, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
     fresh = new.join(r.select("node"), "node", "left_anti")
-    return materialize(old.unionAll(fresh), "join-roots", 0)
+    return materialize(old.unionAll(fresh), "join-roots", 0, arrow=True)
 
 
 def cuts(ordered: DataFrame) -> list[tuple[int, int]]:
@@ -272,7 +272,7 @@ def _open_lists(lists: DataFrame, roots: DataFrame, turn: int) -> tuple[DataFram
     rank = F.col("own").cast("long") if turn == 0 else F.xxhash64("rep", F.lit(turn))
     parts = now.groupBy("h", "root").agg(F.count("*").alias("n"), F.min(F.struct(rank.alias("x"), "rep", "size", "rest")).alias("first"))
     by = parts.groupBy("h").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq"), F.count("*").alias("k"), F.min(F.struct("first.x", "first.rep", "first.size", "first.rest", "root")).alias("hub")).filter("k > 1")
-    by = materialize(by, "join-hubs", 0)
+    by = materialize(by, "join-hubs", 0, arrow=True)
     across = by.agg(F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("sq")), F.lit(0))).first()[0] // 2
     return now.join(by.select("h", "hub", F.col("n").alias("members")), "h"), across
 
@@ -318,7 +318,7 @@ def link_representatives(reps: DataFrame, num: int, den: int, given: DataFrame,
     # rest: shingles of the set from this one on
     lists = ordered.select("rep", "size", (F.col("size") - F.size("g")).alias("own"), F.size("g").alias("m"), F.posexplode(F.slice("g", F.lit(1), F.col("prefix"))).alias("pos", "s"))
     lists = lists.select("rep", "size", "own", (F.col("m") - F.col("pos")).alias("rest"), F.col("s.h").alias("h"))
-    lists = materialize(_hopeful(_hopeful(lists, num, den), num, den), "join-lists", 4 * n)
+    lists = materialize(_hopeful(_hopeful(lists, num, den), num, den), "join-lists", 4 * n, arrow=True)
     segments = materialize(segments_of(ordered, cuts(ordered)), "join-segments", n)
     n_rows = lists.count()
     roots, done = contract(given), None
@@ -335,8 +335,8 @@ def link_representatives(reps: DataFrame, num: int, den: int, given: DataFrame,
             met = now.filter((F.col("root") != F.col("hub.root")) & _fits(num, den, rest, size, F.col("hub.rest"), hub_size))
             pairs = met.select(F.least(rep, hub).alias("a"), F.greatest(rep, hub).alias("b"), F.when(rep < hub, size).otherwise(hub_size).alias("size_a"), F.when(rep < hub, hub_size).otherwise(size).alias("size_b"))
         pairs = pairs.distinct()
-        pairs = materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "join-pairs", 0)
-        found = materialize(_counted(pairs, segments, num, den), "join-links", 0)
+        pairs = materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "join-pairs", 0, arrow=True)
+        found = materialize(_counted(pairs, segments, num, den), "join-links", 0, arrow=True)
         if not found.isEmpty():
             roots = _more_links(roots, found)
         if last:
@@ -358,17 +358,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100)
     ties: every pair that may link is compared exactly.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    sizes = materialize(_sizes(base, n, num, den), "join-sizes", 0)
-    may_link = broadcast_if_small(materialize(sizes.filter("may_link").select("doc").distinct(), "join-may-link", 0))
+    sizes = materialize(_sizes(base, n, num, den), "join-sizes", 0, arrow=True)
+    may_link = broadcast_if_small(materialize(sizes.filter("may_link").select("doc").distinct(), "join-may-link", 0, arrow=True))
     sets = materialize(_sets(base.join(may_link, "doc", "left_semi"), n).filter("size > 0"), "join-sets")
     # one class for each distinct set, named by half of its hash
-    chosen = broadcast_if_small(materialize(sets.filter("hashes is not null").groupBy("s1", "s2").agg(F.min("row").alias("row")).select("row"), "join-chosen", 0))
+    chosen = broadcast_if_small(materialize(sets.filter("hashes is not null").groupBy("s1", "s2").agg(F.min("row").alias("row")).select("row"), "join-chosen", 0, arrow=True))
     classes = sets.join(chosen, "row", "left_semi").select(F.col("s1").alias("rep"), "size", "hashes")
     member = sets.select("doc", F.col("s1").alias("node")).distinct()
     several = member.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("doc", "a")
     given = member.join(several, "doc").filter("node <> a").select("a", F.col("node").alias("b"))
-    roots = link_representatives(classes, num, den, materialize(given, "join-given", 0))
-    placed = materialize(member.join(roots, "node", "left").select("doc", F.coalesce("root", "node").alias("root")), "join-placed", 0)
+    roots = link_representatives(classes, num, den, materialize(given, "join-given", 0, arrow=True))
+    placed = materialize(member.join(roots, "node", "left").select("doc", F.coalesce("root", "node").alias("root")), "join-placed", 0, arrow=True)
     least = placed.groupBy("root").agg(F.min("doc").alias("component_id"))
     of = placed.join(least, "root").select("doc", "component_id").distinct()
     return sizes.join(of, "doc", "left").select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
@@ -382,7 +382,7 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100) -> D
     """
     own = free_name(docs)
     found = near_duplicates(docs, n, num, den).filter("doc_id = component_id").groupBy(F.col("doc_id").alias(f"{own}id")).agg(F.count("*").alias(f"{own}n"))
-    kept = materialize(found, "join-kept", 0)
+    kept = materialize(found, "join-kept", 0, arrow=True)
     of, often = F.col("doc_id").cast("long") == F.col(f"{own}id"), F.col(f"{own}n") > 1
     if kept.filter(often).isEmpty():
         out = docs.join(kept, of, "left_semi")

@@ -186,3 +186,25 @@ def test_a_shingle_of_many_unlike_sets_is_in_no_list(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert {(r.doc_id, r.component_id) for r in ngram_join.near_duplicates(df).collect()} == {(k, k) for k in range(3000)}
     assert sum(seen) == 0
+
+
+def test_intermediate_tables_fork_no_jvm_for_side_files(spark, monkeypatch):
+    """Tables on a local file system: no check sums or marks beside the files, and those of links come from Python tasks, without folders of attempts."""
+    from pathlib import Path
+
+    from tessera.llm import common
+
+    df = spark.range(1000, numPartitions=4).selectExpr("id", "struct(id as x, -id as y) as s", "if(id % 3 = 0, null, id > 5) as b")
+    want = sorted(map(tuple, df.collect()))
+    for arrow in (False, True):
+        start = common.written()
+        assert sorted(map(tuple, common.materialize(df, "plain", arrow=arrow).collect())) == want
+        none = common.materialize(df.filter("id < 0"), "none", 0, arrow)
+        assert none.isEmpty() and none.dtypes == df.dtypes
+        for path in common._written[start:]:
+            assert all(x.is_file() and x.name.startswith("part-") and x.name.endswith(".parquet") for x in Path(path.removeprefix("file://")).iterdir())
+        common.discard(spark, start)
+    calls = []
+    monkeypatch.setattr(common, "_write_local", lambda d, folder, real=common._write_local: calls.append(folder) or real(d, folder))
+    assert ngram_join.near_duplicates(spark.createDataFrame(near(3), "doc_id long, text string")).count() == len(near(3))
+    assert any("join-links" in c for c in calls) and any("cc-links" in c for c in calls)
