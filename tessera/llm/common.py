@@ -10,7 +10,6 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +77,8 @@ def _write_local(df: DataFrame, folder: str) -> None:
     """Write df to a folder of a local (or mounted) file system from Python tasks, so that no JVM is forked. Of a task's attempts only the one that counts gets a name that readers see."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq  # costs memory in each worker that does
+
         name, writer = f"part-{uuid.uuid4().hex}.parquet", None
         for b in batches:
             if b.num_rows:
