@@ -122,6 +122,12 @@ def release_memory() -> None:
         pass
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Has the executors' JVMs collect all garbage, by a task a core: a heap that no full collection shrinks stays as large as it ever was, direct buffers stay with it, and Python workers need that memory. For the time between stages, when tasks hold nothing."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

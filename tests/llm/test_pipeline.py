@@ -79,3 +79,13 @@ def test_no_rows(spark, none):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_a_stage_begins_with_a_full_collection(spark, none):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Young" not in b.getName() and "Scavenge" not in b.getName() and b.getName() != "Copy")
+    docs = none
+    for name, stage in corpus_pipeline.STAGES:
+        before = full()
+        docs = stage(spark, docs, SF)
+        assert full() > before, name
