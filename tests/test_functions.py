@@ -312,6 +312,27 @@ def test_buffer_styles():
     assert area(planar.buffer(from_wkt("POINT (1 1)"), 1, cap="square")) == pytest.approx(4) and planar.buffer(from_wkt("POINT (1 1)"), 1, cap="flat").value == []
 
 
+def test_buffers_of_convex_rings_without_overlays(monkeypatch):
+    """Pointed and cut corners of convex rings, and level ends of single segments, are what unions of pieces give, and need none."""
+    area = lambda g: sum(abs(arrange.ring_area2(r)) / 2 * (1 if k == 0 else -1) for p in g.value for k, r in enumerate(p))
+    rng, found = random.Random(7), []
+    bow = from_wkt("POLYGON ((0 0, 2 2, 2 0, 0 2, 0 0))")
+    for k in range(20):
+        ring = planar.hull_points([(rng.uniform(0, 9), rng.uniform(0, 9)) for _ in range(rng.randint(3, 9))])[:: rng.choice((1, -1))]
+        styles = {"join": rng.choice(("mitre", "bevel")), "mitre_limit": rng.choice((1.2, 5.0))}
+        found.append((G("polygon", "xy", [[*ring, ring[0]]]), styles))
+        found.append((G("linestring", "xy", [tuple(rng.uniform(0, 9) for _ in "xy") for _ in "ab"]), {"cap": rng.choice(("flat", "square"))}))
+    with monkeypatch.context() as m:
+        m.setattr(planar, "_same_ring", lambda ring, h: False)
+        m.setattr(planar, "_bar", lambda *a: pytest.fail())
+        pieces = lambda g, **o: planar.buffer(G("multi" + g.kind, "xy", [g.value]), 0.7, **o)
+        slow = [pieces(g, **o) for g, o in found] + [planar.buffer(bow, 0.5, join="mitre")]
+    assert area(planar.buffer(bow, 0.5, join="mitre")) == pytest.approx(area(slow.pop()))  # no convex ring though its corners are a hull's
+    monkeypatch.setattr(planar, "overlay", lambda *a: pytest.fail("an overlay"))
+    for (g, o), whole in zip(found, slow, strict=True):
+        assert area(planar.buffer(g, 0.7, **o)) == pytest.approx(area(whole), rel=1e-9)
+
+
 def test_from_offsets(spark):
     df = spark.sql("select transform(sequence(0, 7), i -> named_struct('x', get(array(0D, 1D, 1D, 0D, 5D, 6D, 6D, 5D), i), 'y', get(array(0D, 0D, 1D, 0D, 5D, 5D, 6D, 5D), i))) c, array(0, 1, 2) a, array(0, 4, 8) b, array(0) e")
     lines = df.select(native.from_offsets("linestring", F.col("c"), F.col("b")).alias("v")).first().v
