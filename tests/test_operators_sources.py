@@ -4,11 +4,12 @@ import struct
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import kernel, native
 from tessera.operators.explode import explode
 from tessera.operators.index import index_chunks, search_chunks
-from tessera.operators.join import bbox_filter, candidates, cell_size, distance_join, spatial_join
+from tessera.operators.join import bbox_filter, candidates, cell_size, count_join, distance_join, spatial_join
 from tessera.sources import flatgeobuf, geoparquet, shapefile, text
 from tessera.streaming.geofence import fence_counts, in_fences
 from tessera.types import Geo, GeoError, geo, geometry, linestring, multilinestring, multipolygon, point, polygon
@@ -46,6 +47,28 @@ def test_spatial_join_is_complete(spark, size):
     assert len(outer) == len(want) + 61 - len(left)
 
 
+def test_geometries_are_joined_once(spark):
+    """Where one side is only looked for, or pairs are only counted, rows that share a geometry are no more pairs."""
+    df = spark.sql("select id i, named_struct('x', id % 4 * 1D, 'y', 0D) p from range(400) union all select 400, null union all select 401, named_struct('x', double('nan'), 'y', double('nan'))")
+    zones = spark.sql("select id k, array(array(named_struct('x', w, 'y', -1D), named_struct('x', w + 1.5D, 'y', -1D), named_struct('x', w + 1.5D, 'y', 1D), named_struct('x', w, 'y', 1D), named_struct('x', w, 'y', -1D))) z from (select id, id % 3 * 10D - 0.25D w from range(300))")
+    points, areas = df.select("i", Geo(F.col("p"), point()).alias("p")), zones.select("k", Geo(F.col("z"), polygon()).alias("z"))
+    tested = spark.sparkContext.accumulator(0)
+
+    def test(a, b):
+        def meets(x, y):
+            tested.add(1)
+            return x.value is not None and y.value[0][0][0] <= x.value[0] <= y.value[0][1][0]
+
+        return kernel.binary(meets, T.BooleanType(), a, b)
+
+    assert {r.k: r.n for r in count_join(points, areas, "p", "z", test, 2.0).collect()} == {k: 200 for k in range(0, 300, 3)}
+    assert sorted(r.i for r in spatial_join(points, areas, "p", "z", test, "semi", 2.0).collect()) == [k for k in range(400) if k % 4 < 2]
+    assert sorted(r.i for r in spatial_join(points, areas, "p", "z", test, "anti", 2.0).collect()) == [k for k in range(400) if k % 4 > 1] + [400, 401]
+    assert tested.value <= 3 * 12
+    with pytest.raises(GeoError):
+        count_join(points, areas.withColumnRenamed("k", "n"), "p", "z")
+
+
 def test_spatial_join_has_no_nested_loop(spark):
     (a, _), (b, _) = rects(spark, 1, 20, "a", 2), rects(spark, 2, 20, "b", 2)
     text_ = plan(candidates(a, geo(a, "a"), b, geo(b, "b"), 1.0))
