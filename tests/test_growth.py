@@ -21,3 +21,16 @@ def test_polylabel_does_not_walk_ridges(monkeypatch):
         p = planar.polylabel(G("polygon", "xy", [[(0.0, 0.0), (w, 0.0), (w, h), (0.0, h), (0.0, 0.0)]]), 0.01).value
         assert min(p[0], w - p[0], p[1], h - p[1]) >= min(w, h) / 2 - 0.01
     assert len(count) < 60
+
+
+def test_matrix_of_boxes(monkeypatch):
+    """Of all ways two upright rectangles lie: the same as from an arrangement."""
+    box = lambda x, y, w, h: G("polygon", "xy", [[(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]])
+    a = box(3.0, 3.0, 2.0, 2.0)
+    others = [box(float(x), float(y), float(w), float(h)) for x, y, w, h in itertools.product(range(0, 7), range(0, 7), (1, 2, 4), (1, 2, 4))]
+    fast = [(arrange.relate(a, b), arrange.relate(b, a)) for b in others]
+    with monkeypatch.context() as m:
+        m.setattr(arrange, "as_box", lambda g: None)
+        assert fast == [(arrange.relate(a, b), arrange.relate(b, a)) for b in others]
+    monkeypatch.setattr(arrange, "Arrangement", lambda *a: pytest.fail("an arrangement"))
+    assert arrange.relate(a, a) == "2FFF1FFF2"
