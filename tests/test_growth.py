@@ -34,3 +34,15 @@ def test_matrix_of_boxes(monkeypatch):
         assert fast == [(arrange.relate(a, b), arrange.relate(b, a)) for b in others]
     monkeypatch.setattr(arrange, "Arrangement", lambda *a: pytest.fail("an arrangement"))
     assert arrange.relate(a, a) == "2FFF1FFF2"
+
+
+def test_ring_query_has_its_sqls_rings(spark, tmp_path):
+    """A closed line that crosses itself is a ring to the query's SQL, which counts and compares vertices."""
+    duckdb = pytest.importorskip("duckdb")
+    places = [(0, 0), (10, 10), (10, 0), (0, 10), (0, 0)]
+    rows = [(1, 1000 + x, 100 + y, k) for k, (x, y) in enumerate(places)] + [(2, 1, 1, 0), (2, 2, 2, 1), (2, 1, 1, 2)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = db.execute(entry.oracle_sql()["geom_is_ring"]).fetchall()
+    assert sorted(map(tuple, entry.queries()["geom_is_ring"](spark, str(tmp_path)).collect())) == sorted(want) == [(1, True), (2, False)]
