@@ -46,3 +46,11 @@ def test_ring_query_has_its_sqls_rings(spark, tmp_path):
     db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     want = db.execute(entry.oracle_sql()["geom_is_ring"]).fetchall()
     assert sorted(map(tuple, entry.queries()["geom_is_ring"](spark, str(tmp_path)).collect())) == sorted(want) == [(1, True), (2, False)]
+
+
+def test_places_around_a_meridian_are_dealt_to_all_cores(spark, tmp_path):
+    """A table of one file is no single task where its rows are much work."""
+    spark.range(100).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    df = entry.queries()["geom_reproject_utm"](spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert df.count() == 100 and df.filter("back").count() == 100
