@@ -54,3 +54,22 @@ def test_places_around_a_meridian_are_dealt_to_all_cores(spark, tmp_path):
     df = entry.queries()["geom_reproject_utm"](spark, str(tmp_path))
     assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert df.count() == 100 and df.filter("back").count() == 100
+
+
+def test_mixed_parts_are_several_files_a_kind(spark, tmp_path, monkeypatch):
+    """A kind of a large table is no single task; each file still holds one kind."""
+    from tessera.plans import queries, shapes
+    from tessera.sources.geoparquet import GeoParquetDataset
+
+    one = lambda df, name: df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    one(spark.sql("select id c_custkey, 1 c_nationkey, 1D c_acctbal from range(200)"), "customer")
+    one(spark.sql("select id s_suppkey, 1 s_nationkey from range(50)"), "supplier")
+    one(spark.sql("select id div 3 l_orderkey, id l_partkey, id l_suppkey, cast(id % 3 as int) l_linenumber from range(900)"), "lineitem")
+    size = int(shapes.table(spark, str(tmp_path), "lineitem")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    monkeypatch.setattr(queries, "_KIND_BYTES", size // 3)
+    monkeypatch.setattr(queries.s, "workspace", lambda *a: f"file://{tmp_path}/out")
+    got = {r.kind: r.n for r in entry.queries()["geoparquet_mixed_parts"](spark, str(tmp_path)).collect()}
+    assert got == {0: 3, 1: 197, 2: 300, 3: 50}
+    found = GeoParquetDataset.open(spark, f"file://{tmp_path}/out")
+    kinds = [m.columns["g"]["geometry_types"] for m in found.metas]
+    assert all(len(k) < 2 for k in kinds) and sum(k == ["LineString"] for k in kinds) == 3
