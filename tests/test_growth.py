@@ -1,6 +1,7 @@
 """Growth and right results of what larger tables showed."""
 
 import itertools
+import math
 import random
 
 import pytest
@@ -73,3 +74,25 @@ def test_mixed_parts_are_several_files_a_kind(spark, tmp_path, monkeypatch):
     found = GeoParquetDataset.open(spark, f"file://{tmp_path}/out")
     kinds = [m.columns["g"]["geometry_types"] for m in found.metas]
     assert all(len(k) < 2 for k in kinds) and sum(k == ["LineString"] for k in kinds) == 3
+
+
+def test_insets_without_overlays(monkeypatch):
+    """Rings that only move in are what overlays of pieces leave; what splits or loses edges goes by overlays."""
+    area = lambda g: sum(abs(arrange.ring_area2(r)) / 2 * (1 if k == 0 else -1) for p in g.value for k, r in enumerate(p))
+    ell = [(0.0, 0.0), (4.0, 0.0), (4.0, 1.0), (1.0, 1.0), (1.0, 4.0), (0.0, 4.0)]
+    waist = [(0.0, 0.0), (4.0, 1.9), (8.0, 0.0), (8.0, 4.0), (4.0, 2.1), (0.0, 4.0)]
+    rng, cases = random.Random(11), [(ell, 0.2), (ell[::-1], 0.3), (ell, 0.6), (waist, 0.2)]
+    while len(cases) < 24:
+        spokes = sorted(rng.uniform(0, 2 * math.pi) for _ in range(rng.randint(3, 8)))
+        ring = [(r * math.cos(t), r * math.sin(t)) for t in spokes for r in [rng.uniform(1, 6)]]
+        if planar.invalid_reason(G("polygon", "xy", [[*ring, ring[0]]])) == planar.VALID:
+            cases.append((ring, rng.choice((0.05, 0.2, 0.6))))
+    shapes = [(G("polygon", "xy", [[*ring, ring[0]]]), w) for ring, w in cases]
+    fast = [planar.buffer(g, -w) for g, w in shapes]
+    with monkeypatch.context() as m:
+        m.setattr(planar, "_inset", lambda *a: None)
+        for (g, w), got in zip(shapes, fast, strict=True):
+            assert area(got) == pytest.approx(area(planar.buffer(g, -w)), rel=1e-9, abs=1e-9)
+    assert fast[2].value == [] and len(fast[3].value) == 2
+    monkeypatch.setattr(planar, "overlay", lambda *a: pytest.fail("an overlay"))
+    assert len(planar.buffer(shapes[0][0], -0.2).value) == len(planar.buffer(shapes[1][0], -0.3).value) == 1
