@@ -96,3 +96,20 @@ def test_insets_without_overlays(monkeypatch):
     assert fast[2].value == [] and len(fast[3].value) == 2
     monkeypatch.setattr(planar, "overlay", lambda *a: pytest.fail("an overlay"))
     assert len(planar.buffer(shapes[0][0], -0.2).value) == len(planar.buffer(shapes[1][0], -0.3).value) == 1
+
+
+def test_centroids_sum_once(spark):
+    """Legs are summed once, and vertices only where there is no length; what has no place stays null."""
+    df = spark.sql("select k, transform(v, x -> named_struct('x', x, 'y', 2 * x)) g from values (0, array(0D, 4D, 4D)), (1, array(3D, 3D)), (2, array(double('nan'))), (3, cast(array() as array<double>)), (4, null) t(k, v)")
+    c = native.centroid(native.make_geometry("linestring", F.col("g"))).column
+    out = df.select("k", c["x"].alias("x"), c["y"].alias("y"))
+    assert {r.k: (r.x, r.y) for r in out.collect()} == {0: (2.0, 4.0), 1: (3.0, 6.0), 2: (None, None), 3: (None, None), 4: (None, None)}
+    assert df.select(c)._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 2
+
+
+def test_densifying_repeats_its_leg_only(spark):
+    """Vertices of a leg come from its copies and their places; no second array goes along."""
+    df = spark.sql("select array(named_struct('x', 0D, 'y', 0D, 'z', 1D), named_struct('x', 3D, 'y', 4D, 'z', 2D), named_struct('x', 3D, 'y', 4D, 'z', 2D)) g")
+    d = native.densify(native.make_geometry("linestring", F.col("g"), "xyz"), 2.5)
+    assert [tuple(v) for v in df.select(d.column.alias("v")).first().v] == [(0, 0, 1), (1.5, 2, 1.5), (3, 4, 2), (3, 4, 2)]
+    assert "sequence(" not in df.select(d.column)._jdf.queryExecution().analyzed().toString()
