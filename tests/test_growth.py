@@ -113,3 +113,24 @@ def test_densifying_repeats_its_leg_only(spark):
     d = native.densify(native.make_geometry("linestring", F.col("g"), "xyz"), 2.5)
     assert [tuple(v) for v in df.select(d.column.alias("v")).first().v] == [(0, 0, 1), (1.5, 2, 1.5), (3, 4, 2), (3, 4, 2)]
     assert "sequence(" not in df.select(d.column)._jdf.queryExecution().analyzed().toString()
+
+
+def test_text_of_lines_by_batches():
+    """Whole batches of lines as text, and back, are what rows give one by one; what is not plain goes row by row."""
+    import pyarrow as pa
+
+    from tessera.functions import kernel
+    from tessera.kernels import codecs, wkb
+    from tessera.types import linestring
+
+    rng, t = random.Random(1), linestring()
+    rows = [G("linestring", "xy", [(float(rng.randint(-5, 999)), rng.choice((-0.0, 7.0, 1e9))) for _ in range(rng.randint(1, 7))]) for _ in range(300)]
+    lines, words = kernel.encode(rows, t), pa.array([codecs.to_wkt(r) for r in rows])
+    assert wkb.lines_to_text(lines).equals(words) and wkb.lines_to_text(lines.slice(40, 9)).equals(words.slice(40, 9))
+    assert kernel.decode(wkb.lines_from_text(words.slice(40, 9)).cast(lines.type), t) == rows[40:49]
+    odd = [G("linestring", "xy", [(rng.uniform(-1e3, 1e3), -0.1), (1.5, 2.0)]) for _ in range(99)]
+    assert kernel.decode(wkb.lines_from_text(pa.array([codecs.to_wkt(r) for r in odd])).cast(lines.type), t) == odd
+    for r in ([None, rows[0]], [G("linestring", "xy", [])], odd, [G("linestring", "xy", [(1e15, 0.0)])], [G("linestring", "xy", [(float("nan"), 0.0)])]):
+        assert wkb.lines_to_text(kernel.encode(r, t)) is None
+    for w in ("LINESTRING EMPTY", "linestring (0 0, 1 1)", "LINESTRING (0 0 0, 1 1 1)", "LINESTRING (0 1e3, 1 1)", "LINESTRING (0 \u0661, 1 1)", "POINT (1 1)", "LINESTRING (0 0, 1 1) ", None):
+        assert wkb.lines_from_text(pa.array(["LINESTRING (0 0, 1 1)", w])) is None
